@@ -28,8 +28,33 @@ def _p6(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(table(spark, d, "paragraphs"), table(spark, d, "recordings")).select("video_id", "n", F.col("line_no").cast("int").alias("line_no"))
 
 
-QUERIES = {"p6_found": _p6, "p8_found": _p8, "p10_found": _p10}
+LETTERED = ("en", "de", "es", "fr", "hi")
+
+
+def _p2(spark: SparkSession, d: str) -> DataFrame:
+    from cuewright.llm.repetition import judged
+
+    spoken = table(spark, d, "recordings").where(F.col("lang").isin(*LETTERED)).select("video_id").distinct()
+    cues = table(spark, d, "segments").select("video_id", "seq", "text").join(spoken, "video_id", "left_semi")
+    return judged(cues, "video_id", "seq", "text").where("rejected").select("video_id")
+
+
+QUERIES = {"p2_found": _p2, "p6_found": _p6, "p8_found": _p8, "p10_found": _p10}
 SQL = {
+    "p2_found": r"""
+WITH r AS (SELECT DISTINCT video_id FROM recordings WHERE lang IN ('en', 'de', 'es', 'fr', 'hi')),
+s AS (SELECT video_id, seq, min(text) AS text FROM segments JOIN r USING (video_id) WHERE seq IS NOT NULL GROUP BY video_id, seq),
+a AS (SELECT video_id, seq, string_split_regex(coalesce(text, ''), '[\s\p{Z}]+') AS ws FROM s),
+b AS (SELECT video_id, seq, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM a),
+c AS (SELECT video_id, seq, i, lower(regexp_replace(w, '^[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+$', '', 'g')) AS w FROM b),
+p AS (SELECT video_id, w, row_number() OVER (PARTITION BY video_id ORDER BY seq, i) AS pos FROM c WHERE w <> ''),
+g AS (SELECT video_id, pos, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o || ' ' || lead(w, 5) OVER o AS run
+      FROM p WINDOW o AS (PARTITION BY video_id ORDER BY pos)),
+f AS (SELECT video_id, pos, min(pos) OVER (PARTITION BY video_id, run) AS first FROM g WHERE run IS NOT NULL),
+v AS (SELECT DISTINCT video_id, pos + k.k AS at FROM f, (SELECT unnest(range(6)) AS k) k WHERE pos > first),
+t AS (SELECT video_id, count(*) AS words FROM p GROUP BY video_id),
+n AS (SELECT video_id, count(*) AS repeated FROM v GROUP BY video_id)
+SELECT video_id FROM t JOIN n USING (video_id) WHERE repeated / words >= 0.3""",
     "p6_found": r"""
 WITH src AS (SELECT DISTINCT video_id, channel FROM recordings WHERE channel IS NOT NULL AND video_id IS NOT NULL),
 tot AS (SELECT channel, count(*) AS total FROM src GROUP BY channel),
