@@ -28,6 +28,38 @@ def _p6(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(table(spark, d, "paragraphs"), table(spark, d, "recordings")).select("video_id", "n", F.col("line_no").cast("int").alias("line_no"))
 
 
+def _p1(spark: SparkSession, d: str) -> DataFrame:
+    from cuewright.llm.turns import speaker_turns
+
+    ship(spark)
+    out = speaker_turns(table(spark, d, "paragraphs"), table(spark, d, "known"))
+    return out.select("video_id", F.col("first_n").cast("int").alias("first_n"), F.col("last_n").cast("int").alias("last_n"), F.col("ord").cast("int").alias("ord"), "speaker")
+
+
+def _p3(spark: SparkSession, d: str) -> DataFrame:
+    from cuewright.llm.sentences import sentences
+
+    ship(spark)
+    return sentences(table(spark, d, "paragraphs"), ["video_id", "n"], "text")
+
+
+def _p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All pieces of the oversized paragraphs and segments."""
+    from cuewright.llm.sentences import model
+    from cuewright.llm.splitting import split
+
+    ship(spark)
+    paragraphs, segments = table(spark, d, "paragraphs"), table(spark, d, "segments")
+    w = model(paragraphs, "text")
+    a = split(paragraphs.select(F.lit("paragraph").alias("item_kind"), "video_id", F.col("n").cast("int").alias("pos"), "text"), ["item_kind", "video_id", "pos"], "text", 900, 90, w)
+    b = split(segments.select(F.lit("segment").alias("item_kind"), "video_id", F.col("seq").cast("int").alias("pos"), "text"), ["item_kind", "video_id", "pos"], "text", 200, 20, w)
+    return a.unionByName(b)
+
+
+def _p4(spark: SparkSession, d: str) -> DataFrame:
+    return _p4_pieces(spark, d).where("piece = 1").select("item_kind", "video_id", "pos", "boundary")
+
+
 LETTERED = ("en", "de", "es", "fr", "hi")
 
 
@@ -39,7 +71,7 @@ def _p2(spark: SparkSession, d: str) -> DataFrame:
     return judged(cues, "video_id", "seq", "text").where("rejected").select("video_id")
 
 
-QUERIES = {"p2_found": _p2, "p6_found": _p6, "p8_found": _p8, "p10_found": _p10}
+QUERIES = {"p1_found": _p1, "p2_found": _p2, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p8_found": _p8, "p10_found": _p10}
 SQL = {
     "p2_found": r"""
 WITH r AS (SELECT DISTINCT video_id FROM recordings WHERE lang IN ('en', 'de', 'es', 'fr', 'hi')),
