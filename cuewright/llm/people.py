@@ -117,3 +117,117 @@ def match_label(label: str, name: str) -> int:
         return max(best, 8 if initials else 0)
     straight, swapped = (_word(a[0], given), _word(a[-1], last)), (_word(a[-1], given), _word(a[0], last))
     return max(50 + sum(p) - k if min(p) > 0 else 0 for k, p in enumerate((straight, swapped)))
+
+
+#: The radius of the join in the metric (Levenshtein): neighbours swapped are two edits of it.
+RADIUS = 2
+#: Names a pivot should stand for; the bounds of the number of pivots.
+PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 25, 16, 512
+#: A key with so many different spellings stands by itself: two such keys are two people, however near.
+OWN = 3
+
+
+def radius_pairs(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b), a <> b, both ways, of the distinct strings in the column `key` at most `radius` edits apart: an exact join in a metric space.
+
+    Every string is at home in the cell of its nearest pivot, and is copied to each cell whose pivot is at most 2 * radius farther than that: by the
+    triangle inequality any two strings within the radius meet in the home cell of each. Within a cell rings of equal
+    distance to the pivot that differ by more than the radius cannot hold a pair, so cell and ring are the key of an equi-join, which AQE can split
+    where it is hot. Pivots are the strings of least hash, MOST_PIVOTS at most; more of them only make cells smaller.
+    """
+    keys = keys.select("key").where("key is not null").distinct()
+    n = keys.count()
+    want = max(LEAST_PIVOTS, min(MOST_PIVOTS, n // PER_PIVOT))
+    pivots = [r.key for r in keys.orderBy(F.xxhash64("key"), "key").limit(want).collect()]
+    if not pivots:
+        return keys.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    table = F.array(*[F.lit(p) for p in pivots])
+    d = keys.withColumn("d", F.transform(table, lambda p: F.levenshtein(F.col("key"), p)))
+    d = d.withColumn("least", F.array_min("d"))
+    home = d.select(F.col("key").alias("a"), (F.array_position("d", F.col("least")) - 1).cast("int").alias("cell"), F.col("least").alias("ring"))
+    home = home.select("a", "cell", F.explode(F.sequence(F.col("ring") - radius, F.col("ring") + radius)).alias("ring"))
+    cells = F.filter(F.transform("d", lambda x, i: F.struct(i.cast("int").alias("cell"), x.alias("ring"))), lambda c: c["ring"] <= F.col("least") + 2 * radius)
+    copies = d.select(F.col("key").alias("b"), F.explode(cells).alias("c")).select("b", "c.cell", "c.ring")
+    close = (F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= radius) & (F.levenshtein(F.col("a"), F.col("b"), radius) >= 0)
+    return home.join(copies, ["cell", "ring"]).where(close).select("a", "b").distinct()
+
+
+def _parsed(names: DataFrame) -> DataFrame:
+    """Adds w: the folded words of each name, short forms replaced, initials in the middle left out."""
+
+    @F.pandas_udf("array<string>")
+    def words(x: pd.Series) -> pd.Series:
+        def of(raw):
+            w = fold_words(raw or "")
+            return [nick(v) for k, v in enumerate(w) if len(v) > 1 or k in (0, len(w) - 1)] if len(w) > 2 else [nick(v) for v in w]
+
+        return x.map(of)
+
+    return names.withColumn("w", words("name")).where(F.size("w") > 0)
+
+
+def _roots(points: DataFrame) -> DataFrame:
+    """(key, root) from pointers (key, to): followed to their ends, distances doubling. Pointers never form a ring, as each leads to a key of higher rank."""
+    roots = cut(points.select("key", F.coalesce("to", "key").alias("root")))
+    for _ in range(40):
+        again = roots.select(F.col("key").alias("root"), F.col("root").alias("next"))
+        step = roots.join(again, "root", "left").select("key", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+        step = cut(step)
+        if step.where("moved").isEmpty():
+            return step.select("key", "root")
+        roots = step.select("key", "root")
+    return roots
+
+
+def variants(names: DataFrame, name: str = "name") -> DataFrame:
+    """Rows (name, person): every spelling that is linked to a person, and the person's key.
+
+    names: one row a mention. Spellings are folded to words (titles, suffixes, case, accents, marks, order after a comma, short forms); which of two words is
+    the given name is settled by how often each stands first and last over all spellings. Full names are joined within the radius of the edit metric and linked where they differ by one letter or
+    two swapped neighbours; each links to the neighbour with most spellings, so that two people of like names are not drawn together. Initials
+    and bare surnames link to the one person they fit, if it is only one; run-together names to the name they spell. A bare given name is linked to nothing.
+
+    Nulls and names without a letter give no rows; repeated mentions count as evidence only; further columns are ignored.
+    """
+    seen = names.select(F.col(f"`{name}`").alias("name")).where(F.col("name").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+    p = cut(_parsed(seen))
+    two = p.where((F.size("w") > 1)).withColumn("x", F.element_at("w", 1)).withColumn("z", F.array_join(F.slice("w", 2, 99), " "))
+    roles = two.where((F.length("x") > 1) & (F.length("z") > 1)).select(F.explode(F.array(F.struct(F.col("x").alias("t"), F.lit(1).alias("f"), F.lit(0).alias("l")), F.struct(F.col("z").alias("t"), F.lit(0).alias("f"), F.lit(1).alias("l")))).alias("r"))
+    roles = cut(roles.groupBy(F.col("r.t").alias("t")).agg(F.sum("r.f").alias("f"), F.sum("r.l").alias("l")))
+    role = lambda c: roles.select(F.col("t").alias(c), F.col("f").alias(f"f{c}"), F.col("l").alias(f"l{c}"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    two = two.join(role("x"), "x", "left").join(role("z"), "z", "left")
+    turned = ((zero("fz") + zero("lx") > zero("fx") + zero("lz")) | (F.length("z") == 1)) & (F.length("x") > 1)
+    two = two.select("name", "rows", F.when(turned, F.col("z")).otherwise(F.col("x")).alias("given"), F.when(turned, F.col("x")).otherwise(F.col("z")).alias("last"))
+    full = two.where((F.length("given") > 1) & (F.length("last") > 1)).withColumn("key", F.concat_ws(" ", "given", "last"))
+    keys = cut(full.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.first("given").alias("given"), F.first("last").alias("last")))
+
+    @F.pandas_udf("boolean")
+    def one_slip(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([near(x, y) for x, y in zip(a, b)])
+
+    rank = F.struct("n", "rows", "key")
+    pairs = radius_pairs(keys).where(one_slip("a", "b"))
+    a, b = keys.select(F.col("key").alias("a"), F.col("n").alias("an"), rank.alias("ra")), keys.select(F.col("key").alias("b"), F.col("n").alias("bn"), rank.alias("rb"))
+    up = pairs.join(a, "a").join(b, "b").where((F.col("rb") > F.col("ra")) & (F.col("an") < OWN))
+    best = up.groupBy(F.col("a").alias("key")).agg(F.max("rb")["key"].alias("to"))
+    roots = _roots(keys.select("key").join(best, "key", "left"))
+    of_full = full.select("name", "key").join(roots, "key").select("name", F.col("root").alias("person"))
+
+    people = keys.join(roots.where("key = root").select("key"), "key").select(F.col("key").alias("person"), "given", "last")
+    only = lambda d, by: d.groupBy(*by).agg(F.min("person").alias("person"), F.max("person").alias("other")).where("person = other").drop("other")
+    short = two.where((F.length("given") == 1) & (F.length("last") > 1))
+    of_short = short.join(only(people.withColumn("given", F.substring("given", 1, 1)), ["given", "last"]), ["given", "last"]).select("name", "person")
+    one = p.where(F.size("w") == 1).select("name", F.element_at("w", 1).alias("t"))
+    joined = keys.join(roots, "key").select(F.col("root").alias("person"), F.explode(F.array(F.concat("given", "last"), F.concat("last", "given"))).alias("t"))
+    of_joined = one.join(only(joined, ["t"]), "t").select("name", "person")
+    given = roles.where("f > 0").select("t")
+    of_last = one.join(given, "t", "left_anti").join(only(people.withColumnRenamed("last", "t"), ["t"]), "t").select("name", "person")
+    return of_full.unionByName(of_short).unionByName(of_joined).unionByName(of_last).distinct()
+
+
+def variant_pairs(names: DataFrame, name: str = "name") -> DataFrame:
+    """Pairs (name_a, name_b), name_a < name_b by code point, of different spellings of one person. Only distinct spellings are paired, never mentions."""
+    v = cut(variants(names, name))
+    a, b = v.select("person", F.col("name").alias("name_a")), v.select("person", F.col("name").alias("name_b"))
+    return a.join(b, "person").where("name_a < name_b").select("name_a", "name_b").distinct()

@@ -60,6 +60,30 @@ def _p4(spark: SparkSession, d: str) -> DataFrame:
     return _p4_pieces(spark, d).where("piece = 1").select("item_kind", "video_id", "pos", "boundary")
 
 
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    from cuewright.llm.people import variant_pairs
+
+    ship(spark)
+    names = table(spark, d, "people").select("name")
+    for c in ("from_name", "to_name"):
+        names = names.unionByName(table(spark, d, "edges").select(F.col(c).alias("name")))
+    return variant_pairs(names)
+
+
+def _p9(spark: SparkSession, d: str) -> DataFrame:
+    from cuewright.llm.mixture import mix
+
+    ship(spark)
+    return mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
+
+
+def _p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    from cuewright.llm.mixture import mix
+
+    ship(spark)
+    return mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
 LETTERED = ("en", "de", "es", "fr", "hi")
 
 
@@ -71,7 +95,7 @@ def _p2(spark: SparkSession, d: str) -> DataFrame:
     return judged(cues, "video_id", "seq", "text").where("rejected").select("video_id")
 
 
-QUERIES = {"p1_found": _p1, "p2_found": _p2, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p8_found": _p8, "p10_found": _p10}
+QUERIES = {"p1_found": _p1, "p2_found": _p2, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p7_found": _p7, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p10_found": _p10}
 SQL = {
     "p2_found": r"""
 WITH r AS (SELECT DISTINCT video_id FROM recordings WHERE lang IN ('en', 'de', 'es', 'fr', 'hi')),
