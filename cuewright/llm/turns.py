@@ -12,13 +12,15 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.llm.marks import FILLER_PHRASES, MAYBE_FILLERS, NUMBERED, is_filler, scan, units
 from cuewright.llm.people import deletions, fold_words, label_parts, match_label, nick
-from cuewright.operators.scan import _join, last_value, running_sum
+from cuewright.operators.scan import _join, last_value
+from cuewright.session import cut
 
 TAGS = ("speaker", "timestamp", "annotation", "filler", "speech")
 SPEAKER, STAMP, NOTE, FILLER, SPEECH = range(5)
@@ -154,7 +156,7 @@ def milliseconds(start_ms: Column, stamp: Column) -> Column:
 
 
 def tagged_units(paragraphs: DataFrame, tables) -> DataFrame:
-    """Rows (video_id, n, unit, opens, label, form, number, parts, keys, speech, clean) of the units of each paragraph.
+    """Rows (video_id, n, turn, ms, unit, opens, label, form, number, speech, clean) of the units of each paragraph (video_id, n, turn, ms, text).
 
     opens: a change marker stands before any word; label: the tokens of a speaker's label; number: its number if it is a numbered one; speech: holds a word of speech;
     clean: the words of speech.
@@ -162,16 +164,18 @@ def tagged_units(paragraphs: DataFrame, tables) -> DataFrame:
     b = paragraphs.sparkSession.sparkContext.broadcast(tables)
     keys = paragraphs.schema["video_id"].dataType, paragraphs.schema["n"].dataType
     schema = T.StructType(
-        [T.StructField("video_id", keys[0]), T.StructField("n", keys[1]), T.StructField("unit", T.IntegerType()), T.StructField("opens", T.BooleanType()), T.StructField("label", T.StringType()),
+        [T.StructField("video_id", keys[0]), T.StructField("n", keys[1]), T.StructField("turn", T.LongType()), T.StructField("ms", T.LongType()), T.StructField("unit", T.IntegerType()), T.StructField("opens", T.BooleanType()), T.StructField("label", T.StringType()),
          T.StructField("form", T.StringType()), T.StructField("number", T.LongType()), T.StructField("speech", T.BooleanType()), T.StructField("clean", T.StringType())]
     )
 
     def run(batches):
+        kinds = (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string())
         for whole in batches:
             for lo in range(0, len(whole), 1000):
-                pdf = whole.iloc[lo : lo + 1000]
+                pdf = whole.slice(lo, 1000)
+                texts = pdf.column("text").to_pylist()
                 where, toks = [], []
-                for i, t in enumerate(pdf["text"]):
+                for i, t in enumerate(texts):
                     us = units(t or "")
                     for k, (a, z) in enumerate(us):
                         where.append((i, k))
@@ -183,7 +187,7 @@ def tagged_units(paragraphs: DataFrame, tables) -> DataFrame:
                 paths = dict(zip(full, decode([[x[2] for x in toks[i]] for i in full], b.value)))
                 rows = []
                 for i, (p, k) in enumerate(where):
-                    text = pdf["text"].iat[p] or ""
+                    text = texts[p] or ""
                     opens = label = form = number = None
                     words, seen = [], False
                     for (a, z, _, span), tag in zip(toks[i], paths.get(i, ())):
@@ -199,12 +203,13 @@ def tagged_units(paragraphs: DataFrame, tables) -> DataFrame:
                         if span is None or span.kind not in ("marker", "time"):
                             seen = True
                     speech = any(c.isalnum() for w in words for c in w)
-                    rows.append((pdf["video_id"].iat[p], pdf["n"].iat[p], k, bool(opens), label, form, number, speech, " ".join(words)))
-                out = pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-                out["number"] = out["number"].astype("Int64")
-                yield out
+                    rows.append((p, k, bool(opens), label, form, number, speech, " ".join(words)))
+                at = np.array([r[0] for r in rows])
+                yield pa.RecordBatch.from_arrays(
+                    [pdf.column(c).take(pa.array(at)) for c in ("video_id", "n", "turn", "ms")] + [pa.array([r[k] for r in rows], t) for k, t in zip(range(1, 8), kinds)], names=[f.name for f in schema.fields]
+                )
 
-    return paragraphs.select("video_id", "n", "text").mapInPandas(run, schema)
+    return paragraphs.select("video_id", "n", F.col("turn").cast("long").alias("turn"), "ms", "text").mapInArrow(run, schema)
 
 
 def _named(labels: DataFrame, known: DataFrame) -> DataFrame:
@@ -246,40 +251,67 @@ def model(paragraphs: DataFrame, sample: int = SAMPLE):
 
 
 def speech_units(paragraphs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Rows (video_id, n, unit, t, an, b, speaker, run, clean): the units that are speech, in their order of time (t, an, n, unit), and the run of one speaker each lies in."""
+    """Rows (video_id, n, unit, t, an, speaker, run, clean): the units that are speech, in their order of time (t, an, n, unit), and the run of one speaker each lies in."""
     p = paragraphs.select("video_id", "n", "start_ms", "timestamp", "turn", "text").where("video_id is not null and n is not null")
     p = p.groupBy("video_id", "n").agg(F.min(F.struct("text", "turn", "start_ms", "timestamp")).alias("x")).select("video_id", "n", "x.*")
-    tagged = tagged_units(p, model(paragraphs, sample))
+    p = p.withColumn("ms", milliseconds(F.col("start_ms"), F.col("timestamp")))
+    tagged = cut(tagged_units(p, model(paragraphs, sample)))
 
-    times = p.select("video_id", "n", "turn", milliseconds(F.col("start_ms"), F.col("timestamp")).alias("ms")).withColumn("nb", F.floor(F.col("n") / BUCKET_N))
     # A paragraph whose time cannot be read follows the one before it by n.
-    times = last_value(times, ["video_id"], "nb", ["n"], F.when(F.col("ms").isNotNull(), F.struct("ms", "n")), "at")
-    times = times.select("video_id", "n", "turn", F.coalesce("at.ms", F.lit(-1)).alias("t"), F.coalesce("at.n", F.lit(-1)).alias("an"))
-    u = tagged.join(times, ["video_id", "n"]).withColumn("b", F.floor(F.col("t") / BUCKET_MS))
-    order = ["t", "an", "n", "unit"]
-
-    raw = u.where(F.col("label").isNotNull() & F.col("number").isNull()).select("video_id", "label").distinct()
-    u = _join(u, _named(raw, known), ["video_id", "label"])
+    times = tagged.where("unit = 0").select("video_id", "n", F.when(F.col("ms").isNotNull(), F.struct("ms", "n")).alias("own"), F.floor(F.col("n") / BUCKET_N).alias("nb"))
+    times = last_value(times, ["video_id"], "nb", ["n"], F.col("own"), "at")
+    times = times.select("video_id", "n", F.coalesce("at.ms", F.lit(-1)).alias("t"), F.coalesce("at.n", F.lit(-1)).alias("an"))
+    names = _named(tagged.where(F.col("label").isNotNull() & F.col("number").isNull()).select("video_id", "label").distinct(), known)
+    u = _join(tagged.join(times, ["video_id", "n"]), names, ["video_id", "label"])
     u = u.withColumn("who", F.coalesce("speaker", F.concat(F.lit("speaker "), F.col("number").cast("string")))).drop("speaker")
     # What looks like a label before a colon or dash but means nobody is speech; in brackets it is a note.
     u = u.withColumn("speech", F.col("speech") | (F.col("who").isNull() & F.col("form").isin("colon", "dash") & F.col("label").isNotNull()))
-    labelled = u.where("who is not null").select("video_id").distinct().withColumn("labelled", F.lit(True))
-    u = _join(u, labelled, ["video_id"])
-
-    # Without labels: turn numbers; a missing one is the one before, plus one where a change marker opens the paragraph.
-    turn = F.when(F.col("unit") == 0, F.col("turn").cast("long"))
-    step = F.when((F.col("unit") == 0) & F.col("turn").isNull() & F.col("opens"), 1).otherwise(0)
-    u = running_sum(u, ["video_id"], "b", order, step, "steps")
-    u = last_value(u, ["video_id"], "b", order, F.coalesce("who", F.lit(None).cast("string")), "name")
-    u = last_value(u, ["video_id"], "b", order, turn - F.col("steps"), "base")
-    number = F.coalesce("base", F.lit(0)) + F.col("steps")
-    u = u.withColumn("of", F.when(F.col("labelled"), F.coalesce("name", F.lit(""))).otherwise(number.cast("string")))
-    u = u.withColumn("speaker", F.when(F.col("labelled"), F.coalesce("name", F.lit(""))).otherwise(F.lit("")))
-
-    s = u.where("speech").select("video_id", "n", "unit", "t", "an", "b", "speaker", "of", "clean")
-    s = last_value(s, ["video_id"], "b", order, F.col("of"), "before", before=True)
-    s = running_sum(s, ["video_id"], "b", order, F.when(F.col("before").eqNullSafe(F.col("of")), 0).otherwise(1), "run")
-    return s.drop("before", "of")
+    u = cut(u.select("video_id", "n", "unit", "t", "an", F.floor(F.col("t") / BUCKET_MS).alias("b"), "turn", "opens", "who", "speech", "clean"))
+    s = cut(_speakers(u).where("speech").drop("speech"))
+    return _runs(s)
+
+
+_ORDER = ("t", "an", "n", "unit")
+
+
+def _speakers(u: DataFrame) -> DataFrame:
+    """Adds of (what a run has in common) and speaker to each unit: the last label so far where the recording has labels, else the turn number.
+
+    One window within buckets of time, one over a summary row a bucket. A missing turn number is the one before, plus one where a change marker opens the paragraph:
+    with steps counted so far, it is the last (number - steps) plus the steps here.
+    """
+    first = F.col("unit") == 0
+    step = F.when(first & F.col("turn").isNull() & F.col("opens"), 1).otherwise(0)
+    here = Window.partitionBy("video_id", "b").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = u.withColumn("steps", F.sum(step).over(here))
+    u = u.withColumn("name", F.last("who", ignorenulls=True).over(here)).withColumn("base", F.last(F.when(first, F.col("turn") - F.col("steps")), ignorenulls=True).over(here))
+    end = F.max(F.struct(*_ORDER, "steps", "name", "base"))
+    tops = u.groupBy("video_id", "b").agg(end.alias("e")).select("video_id", "b", "e.steps", "e.name", "e.base")
+    past = Window.partitionBy("video_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("before", F.coalesce(F.sum("steps").over(past), F.lit(0)))
+    tops = tops.withColumn("base0", F.last(F.col("base") - F.col("before"), ignorenulls=True).over(past)).withColumn("name0", F.last("name", ignorenulls=True).over(past))
+    tops = tops.withColumn("labelled", F.max(F.col("name").isNotNull()).over(Window.partitionBy("video_id")))
+    u = u.join(tops.select("video_id", "b", "before", "base0", "name0", "labelled"), ["video_id", "b"])
+    number = F.coalesce(F.col("base") - F.col("before"), F.col("base0"), F.lit(0)) + F.col("steps") + F.col("before")
+    name = F.coalesce("name", "name0", F.lit(""))
+    of = F.when(F.col("labelled"), name).otherwise(number.cast("string"))
+    return u.select("video_id", "n", "unit", "t", "an", "b", "speech", "clean", of.alias("of"), F.when(F.col("labelled"), name).otherwise(F.lit("")).alias("speaker"))
+
+
+def _runs(s: DataFrame) -> DataFrame:
+    """Adds run: the number of the run of one speaker each unit of speech lies in, within its recording. Scanned as in _speakers."""
+    order = Window.partitionBy("video_id", "b").orderBy(*_ORDER)
+    s = s.withColumn("prev", F.lag("of").over(order))
+    change = F.when(F.col("prev").isNotNull() & (F.col("prev") != F.col("of")), 1).otherwise(0)
+    s = s.withColumn("c", F.sum(change).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = F.struct(*_ORDER, "of", "c")
+    tops = s.groupBy("video_id", "b").agg(F.min(at)["of"].alias("head"), F.max(at).alias("e")).select("video_id", "b", "head", F.col("e.of").alias("tail"), F.col("e.c").alias("c"))
+    by = Window.partitionBy("video_id").orderBy("b")
+    before = F.lag("tail").over(by)
+    tops = tops.withColumn("new", F.when(before.isNull() | (before != F.col("head")), 1).otherwise(0))
+    tops = tops.withColumn("start", F.sum(F.col("new") + F.col("c")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c"))
+    s = s.join(tops.select("video_id", "b", "start"), ["video_id", "b"])
+    return s.select("video_id", "n", "unit", "t", "an", "speaker", (F.col("start") + F.col("c")).alias("run"), "clean")
 
 
 def speaker_turns(paragraphs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> DataFrame:
