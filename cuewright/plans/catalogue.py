@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.plans import interval_queries
+from cuewright.plans import caption_queries, interval_queries, name_queries
 
-_MODULES = [interval_queries]
-FLAGSHIP = "p5_found"
+_MODULES = [caption_queries, interval_queries, name_queries]
+FLAGSHIP = "paragraph_fold"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
