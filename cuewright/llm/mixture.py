@@ -6,11 +6,12 @@ import base64
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.operators.scan import running_sum
+from cuewright.session import cut
 
 #: Slices of the seeded order of a source; no task orders more than one slice.
 SLICES = 4096
@@ -82,8 +83,6 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("t")).where("doc_id is not null and source is not null")
     d = with_tokens(d.groupBy("doc_id").agg(F.min(F.struct("source", "t")).alias("x")).select("doc_id", "x.source", "x.t"), "t", "tokens", tokenizer).drop("t").where("tokens > 0")
     names = docs.sparkSession.createDataFrame([(r.source,) for r in plan], "source string")
-    from cuewright.session import cut
-
     d = cut(d.join(F.broadcast(names), "source", "left_semi"))  # read twice; tokens are counted once
     sizes = {r.source: r.n for r in d.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     wanted = water_fill(sizes, {r.source: r.target_share or 0.0 for r in plan}, {r.source: r.max_repeat or 0 for r in plan}, total)
@@ -103,9 +102,8 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     o = o.withColumn("copies", F.col("whole") + F.when(F.col("upto") - F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0))
     o = o.where("copies > 0").select("doc_id", "source", "tokens", F.col("copies").cast("int").alias("copies"))
     got = o.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
-    all_ = got.agg(F.sum("tokens").alias("all"))
-    s = p.join(got, "source", "left").crossJoin(F.broadcast(all_)).select(
-        "source", "target_share", "max_repeat", "size", "wanted", F.coalesce("tokens", F.lit(0)).alias("tokens"),
-        (F.coalesce("tokens", F.lit(0)) / F.greatest("size", F.lit(1))).alias("epochs"), (F.coalesce("tokens", F.lit(0)) / F.greatest("all", F.lit(1))).alias("share"),
+    share = F.coalesce("tokens", F.lit(0)) / F.greatest(F.sum("tokens").over(Window.partitionBy(F.lit(0))), F.lit(1))  # one row a source, MOST_SOURCES at most
+    s = p.join(got, "source", "left").select(
+        "source", "target_share", "max_repeat", "size", "wanted", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / F.greatest("size", F.lit(1))).alias("epochs"), share.alias("share"),
     )
     return o, s
