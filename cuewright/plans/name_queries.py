@@ -32,8 +32,8 @@ def tidy_names(spark, d):
 
 
 def names_in(spark, d):
-    """Names in descriptions that are plain ASCII, as SQL's word characters are."""
-    r = table(spark, d, "recordings").select("video_id", "description").distinct().where(F.length("description") == F.octet_length("description"))
+    """Names in the descriptions of each recording."""
+    r = table(spark, d, "recordings").select("video_id", "description").distinct()
     return r.select("video_id", F.explode(N.names_in(F.col("description"))).alias("x")).select("video_id", "x.key", "x.name").distinct()
 
 
@@ -239,8 +239,8 @@ _LABELS = "l AS (SELECT video_id, n, min(struct_pack(s := speaker, c := speaker_
 SQL = {
     "fold_key": f"SELECT person_id, {_fold('name')} AS key, len(list_filter(string_split({_fold(_tidy('name'))}, ' '), lambda x: x <> '')) >= 2 AS \"full\" FROM people WHERE name IS NOT NULL",
     "tidy_names": f"SELECT person_id, {_tidy('name')} AS name FROM people WHERE name IS NOT NULL",
-    "names_in": rf"""WITH r AS (SELECT DISTINCT video_id, description FROM recordings WHERE strlen(description) = length(description)),
-x AS (SELECT video_id, unnest(regexp_extract_all(description, '\b[A-Z][\w''’-]*(?:[ \t]+[A-Z][\w''’-]*){{1,3}}\b')) AS run FROM r)
+    "names_in": rf"""WITH r AS (SELECT DISTINCT video_id, description FROM recordings),
+x AS (SELECT video_id, unnest(regexp_extract_all(description, '(?:^|[^\pL\pN_])([A-Z][\pL\pN\pM_''’-]*(?:[ \t]+[A-Z][\pL\pN\pM_''’-]*){{1,3}})', 1)) AS run FROM r)
 SELECT DISTINCT video_id, {_fold('run')} AS key, trim(run, '.,;:') AS name FROM x
 WHERE length({_fold('run')}) >= 5 AND NOT list_has_any(list_transform(string_split_regex(run, '[ \t]+'), lambda w: {_fold('w')}), {_STOP})
 QUALIFY row_number() OVER (PARTITION BY video_id, {_fold('run')} ORDER BY 1) = 1""",
