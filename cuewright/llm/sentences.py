@@ -114,7 +114,7 @@ def candidates(s: str) -> list[tuple[int, tuple[str, ...], tuple[str, ...], int]
         if not gap and s[j - 1] not in _WIDE and _script(nc) == "latin" and not (close is not None or nc in "“«„「『（("):
             continue
         p = n
-        while p < len(s) and not s[p].isalnum() and p < n + 3 and s[p] in _OPEN:
+        while p < len(s) and p < n + 4 and (s[p] in _OPEN or s[p].isspace()):
             p += 1
         after = _AFTER.match(s, p)
         nxt = after.group()[:14] if after else ""

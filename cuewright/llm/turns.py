@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.marks import FILLER_PHRASES, MAYBE_FILLERS, NUMBERED, is_filler, scan, units
+from cuewright.llm.marks import FILLER_PHRASES, MAYBE_FILLERS, NUMBERED, TIME, is_filler, scan, units
 from cuewright.llm.people import deletions, fold_words, label_parts, match_label, nick
 from cuewright.operators.scan import _join, last_value
 from cuewright.session import cut
@@ -33,6 +33,8 @@ SAMPLE = 4000
 #: Time and order are cut into buckets of so many ms and paragraphs.
 BUCKET_MS, BUCKET_N = 1_800_000, 512
 _WORD = re.compile(r"\S+")
+#: A change marker that opens a text, time marks aside.
+_OPENING = re.compile(rf"(?:\s|{TIME.pattern})*>>")
 _EDGE = re.compile(r"^[^\wऀ-෿฀-๿]+|[^\wऀ-෿฀-๿]+$")
 
 
@@ -188,22 +190,17 @@ def tagged_units(paragraphs: DataFrame, tables) -> DataFrame:
                 rows = []
                 for i, (p, k) in enumerate(where):
                     text = texts[p] or ""
-                    opens = label = form = number = None
-                    words, seen = [], False
+                    label = form = number = None
+                    words = []
                     for (a, z, _, span), tag in zip(toks[i], paths.get(i, ())):
-                        if span is not None and span.kind == "marker":
-                            opens = opens or (not seen and k == 0)
-                        elif span is not None and span.kind == "label":
+                        if span is not None and span.kind == "label":
                             label, form = span.text, span.form
                             m = NUMBERED.match(span.text)
                             number = int(m.group(1)) if m else None
-                            seen = True
                         elif tag == SPEECH:
                             words.append(text[a:z])
-                        if span is None or span.kind not in ("marker", "time"):
-                            seen = True
                     speech = any(c.isalnum() for w in words for c in w)
-                    rows.append((p, k, bool(opens), label, form, number, speech, " ".join(words)))
+                    rows.append((p, k, k == 0 and bool(_OPENING.match(text)), label, form, number, speech, " ".join(words)))
                 at = np.array([r[0] for r in rows])
                 yield pa.RecordBatch.from_arrays(
                     [pdf.column(c).take(pa.array(at)) for c in ("video_id", "n", "turn", "ms")] + [pa.array([r[k] for r in rows], t) for k, t in zip(range(1, 8), kinds)], names=[f.name for f in schema.fields]
