@@ -61,8 +61,8 @@ def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(r):
         first[0] = True
         first[1:] = r[1:] != r[:-1]
-    at = np.concatenate((np.flatnonzero(first), np.flatnonzero(tail) + 1))
-    rows = np.concatenate((r[first], r[tail]))
+    at = np.concatenate((np.flatnonzero(tail) + 1, np.flatnonzero(first)))  # where both go to one place, the end of a row comes first
+    rows = np.concatenate((r[tail], r[first]))
     out, r = np.insert(out, at, _SPACE), np.insert(r, at, rows)
     return out, np.searchsorted(r, np.arange(n + 1))
 

@@ -221,7 +221,7 @@ def variants(names: DataFrame, name: str = "name") -> DataFrame:
     one = p.where(F.size("w") == 1).select("name", F.element_at("w", 1).alias("t"))
     joined = keys.join(roots, "key").select(F.col("root").alias("person"), F.explode(F.array(F.concat("given", "last"), F.concat("last", "given"))).alias("t"))
     of_joined = one.join(only(joined, ["t"]), "t").select("name", "person")
-    given = roles.where("f > 0").select("t")
+    given = roles.where("f >= l").select("t")  # stands first at least as often as last
     of_last = one.join(given, "t", "left_anti").join(only(people.withColumnRenamed("last", "t"), ["t"]), "t").select("name", "person")
     return of_full.unionByName(of_short).unionByName(of_joined).unionByName(of_last).distinct()
 

@@ -25,7 +25,6 @@ from cuewright.llm.marks import MAYBE_FILLERS, is_filler, scan, units
 #: Rows of text the model is fitted on, at most.
 SAMPLE = 8000
 BITS = 16
-WIDTH = 18
 
 # Titles and abbreviations that a capital may follow, and German months after an ordinal.
 TITLES = set("dr dra sr sra mr mrs ms mx st prof frau hr m mme mlle mgr rev hon gen col sgt capt lt jr डॉ श्री no nr vol fig approx vs ca bzw usw z b cf p pp ej art".split())
@@ -122,7 +121,7 @@ def candidates(s: str) -> list[tuple[int, tuple[str, ...], tuple[str, ...], int]
         if nc not in _OPEN and not nc.isalnum():
             nshape = "dash" if nc in "-–—" else "mark"
         token = _BEFORE.search(s, max(0, i - 24), i).group().lstrip(".'’-")
-        low = token.lower()
+        low = "<abbreviation>" if token.lower() in TITLES else token.lower()  # they share what is learnt of any of them
         tshape = _shape(token[-1]) if token else "mark"
         size = min(len(token), 5)
         mark = m.group()[-1] if len(m.group()) == 1 else ("..." if set(m.group()) == {"."} else m.group()[:2])
@@ -136,7 +135,7 @@ def candidates(s: str) -> list[tuple[int, tuple[str, ...], tuple[str, ...], int]
         def feats(nx: str, word: str, gap=gap, mark=mark, low=low, tshape=tshape, size=size, quote=quote, inq=inq, script=script, initial=initial, num=num, opening=nc in _OPEN):
             return (
                 "1", f"m{mark}", f"t{low}|{mark}", f"s{size}|{mark}|{initial}", f"n{nx}|{mark}", f"w{word}", f"q{quote}|{nx}|{opening}", f"q{quote}|{opening}", f"i{inq}|{nx}", f"g{gap}|{script}",
-                f"T{low[:12]}|{nx}", f"d{num}|{nx}", f"d{num}|{word}", f"u{tshape}|{nx}", f"I{initial}|{nx}|{mark}", f"h{opening}|{nx}", f"c{script}|{mark}|{quote}", f"x{nc if nx == 'letter' and not nc.islower() and not nc.isupper() else 0}|{quote}",
+                f"T{low}|{nx}", f"d{num}|{nx}", f"d{num}|{word}", f"u{tshape}|{nx}", f"I{initial}|{nx}|{mark}", f"h{opening}|{nx}", f"c{script}|{mark}|{quote}", f"x{nc if nx == 'letter' and not nc.islower() and not nc.isupper() else 0}|{quote}", f"o{word in MONTHS}|{num}",
             )
 
         plain, hidden = feats(nshape, nxt.lower()), feats("letter" if case else nshape, "")
@@ -145,7 +144,7 @@ def candidates(s: str) -> list[tuple[int, tuple[str, ...], tuple[str, ...], int]
             label = 0
         elif one_case:
             pass
-        elif mark == "." and (low in TITLES or (initial and nshape != "digit")):
+        elif mark == "." and (low == "<abbreviation>" or (initial and nshape != "digit")):
             label = 0
         elif token.isdigit() and len(token) < 3 and mark == "." and nxt.lower() in MONTHS:
             label = 0

@@ -88,7 +88,9 @@ def test_mix(spark):
         used = sum(r.tokens * r.copies for r in got if r.source == name)
         assert used == s[name].tokens and abs(used - s[name].wanted) <= 60
     assert abs(sum(r.share for r in s.values()) - 1) < 1e-9 and s["absent"].tokens == 0
-    assert s["small"].epochs == pytest.approx(2) and {r.source for r in got} == {"big", "mid", "small"}
+    assert {r.source for r in got} == {"big", "mid", "small"}
+    size = {r.source: r.size for r in s.values()}
+    assert sum(r.wanted for r in s.values()) == pytest.approx(sum(size.values())) and s["mid"].wanted / s["small"].wanted == pytest.approx(0.3 / 0.35) and s["big"].wanted == pytest.approx(0.3 / 0.95 * sum(size.values()))
     again = {(r.doc_id, r.copies) for r in M.mix(d.repartition(7), t, seed=7)[0].collect()}
     assert again == {(r.doc_id, r.copies) for r in got}
     empty = M.mix(d.limit(0), t)
