@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewright.functions.text import let
 from cuewright.operators.scan import _join
 
 RUN = 6
@@ -26,9 +27,8 @@ NAVIGATION = ("subscribe", "share this", "follow us", "click here", "cookie", "s
 
 def words(text: Column) -> Column:
     """The words of a text: cut at white space, lower case, without the marks at their ends; words of marks only are none."""
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "), " ")
-    bare = F.transform(cut, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+$", "")))
-    return F.filter(bare, lambda w: w != "")
+    edges = r"(?U)(?<=^|\s)[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+(?=\s|$)"
+    return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), edges, "")), r"(?U)\s+"), lambda w: w != "")
 
 
 def _lines(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -53,20 +53,33 @@ def line_rules(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
     )
 
 
-def _runs(lines: DataFrame) -> DataFrame:
-    """Rows (k, h, h2, pos): each run of RUN words, hashed to 96 bits within its document, and where it begins."""
+def _buckets(lines: DataFrame) -> DataFrame:
+    """(k, b, base, n, w): the words of each bucket of lines, RUN - 1 words of the buckets after it added, how many are its own, and how many words the document has before it."""
     b = lines.withColumn("w", words(F.col("t"))).where(F.size("w") > 0).select("k", "o", "w", F.floor(F.col("o") / BUCKET).alias("b"))
     b = b.groupBy("k", "b").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("o", "w"))), lambda x: x["w"])).alias("w"))
-    # Where the words of a bucket begin, and the first words of the buckets that follow: one small row a bucket.
-    tops = b.select("k", "b", F.size("w").alias("n"), F.slice("w", 1, RUN - 1).alias("head"))
+    tops = b.select("k", "b", F.size("w").alias("n"), F.slice("w", 1, RUN - 1).alias("head"))  # one small row a bucket
     order = Window.partitionBy("k").orderBy("b")
     ahead = F.slice(F.flatten(F.collect_list("head").over(order.rowsBetween(1, RUN - 1))), 1, RUN - 1)
-    tops = tops.select("k", "b", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), ahead.alias("ahead"))
-    b = b.join(tops, ["k", "b"]).select("k", "base", F.concat("w", "ahead").alias("w"), F.size("w").alias("n"))
+    tops = tops.select("k", "b", "n", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), ahead.alias("ahead"))
+    return b.join(tops, ["k", "b"]).select("k", "b", "base", "n", F.concat("w", "ahead").alias("w"))
+
+
+def _repeated_runs(lines: DataFrame) -> DataFrame:
+    """Rows (k, pos): where the runs of RUN words begin that began earlier in the document too.
+
+    Runs are hashed to 96 bits. Within a bucket all but the first of equal runs are hits as they stand: they are salted with their position, so of a run that fills a document one row a bucket
+    meets in the only shuffle by run.
+    """
     last = F.least(F.col("n"), F.size("w") - (RUN - 1))
-    run = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct((F.col("base") + i).alias("pos"), F.array_join(F.slice("w", i, RUN), " ").alias("g")))
-    r = b.where(last > 0).select("k", F.explode(run).alias("r"))
-    return r.select("k", F.xxhash64("r.g").alias("h"), F.hash("r.g").alias("h2"), F.col("r.pos").alias("pos"))
+
+    def marked(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), last), lambda i: let(F.array_join(F.slice(w, i, RUN), " "), lambda g: F.struct(F.xxhash64(g).alias("h"), F.hash(g).alias("h2"), (F.col("base") + i).alias("pos"))))
+        same = lambda s, x, i: (i > 0) & (F.get(s, i - 1)["h"] == x["h"]) & (F.get(s, i - 1)["h2"] == x["h2"])
+        return let(F.sort_array(runs), lambda s: F.transform(s, lambda x, i: F.struct(x["h"].alias("h"), x["h2"].alias("h2"), x["pos"].alias("pos"), F.when(same(s, x, i), x["pos"]).otherwise(-1).alias("salt"))))
+
+    r = _buckets(lines).where(last > 0).select("k", F.explode(let(F.col("w"), marked)).alias("r")).select("k", "r.h", "r.h2", "r.pos", "r.salt")
+    r = r.withColumn("first", F.min("pos").over(Window.partitionBy("k", "h", "h2", "salt")))
+    return r.where("salt >= 0 or pos > first").select("k", "pos")
 
 
 def repeated_share(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -77,9 +90,7 @@ def repeated_share(lines: DataFrame, key: str, order: str, text: str) -> DataFra
     """
     d = _lines(lines, key, order, text)
     total = d.groupBy("k").agg(F.sum(F.size(words(F.col("t")))).alias("words"))
-    runs = _runs(d)
-    again = runs.groupBy("k", "h", "h2").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    hit = runs.join(again, ["k", "h", "h2"]).where("pos > first").select("k", "pos")
+    hit = _repeated_runs(d)
     # Each run covers RUN positions; runs are merged within buckets of positions, to which those that reach over are given twice.
     size = 1 << 16
     near = hit.select("k", "pos", F.explode(F.array_distinct(F.array(F.floor(F.col("pos") / size), F.floor((F.col("pos") + RUN - 1) / size)))).alias("b"))
