@@ -9,6 +9,7 @@ turns are runs of one speaker over the speech, in the order of time.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,24 +39,30 @@ _OPENING = re.compile(rf"(?:\s|{TIME.pattern})*>>")
 _EDGE = re.compile(r"^[^\wऀ-෿฀-๿]+|[^\wऀ-෿฀-๿]+$")
 
 
+@lru_cache(1 << 16)
+def _plain(token: str) -> tuple[int, str]:
+    """(symbol, the word in it) of a plain token."""
+    bare = _EDGE.sub("", token).lower()
+    return _SYM["marks" if not bare else "filler" if is_filler(bare) else "maybe_filler" if bare in MAYBE_FILLERS else "word"], bare
+
+
+_PHRASES = {tuple(p.split()) for p in FILLER_PHRASES}
+_HEADS = {p[0] for p in _PHRASES}
+
+
 def tokens(text: str, a: int, z: int) -> list[tuple[int, int, int, object]]:
     """(start, end, symbol, span or None) of the tokens of a unit."""
     out, at = [], a
     spans = scan(text, a, z)
     for x in [*spans, None]:
         stop = x.start if x else z
-        plain = list(_WORD.finditer(text, at, stop))
-        k = 0
+        plain, k = [(m.start(), m.end(), *_plain(m.group())) for m in _WORD.finditer(text, at, stop)], 0
         while k < len(plain):
-            m = plain[k]
-            bare = _EDGE.sub("", m.group()).lower()
-            two = f"{bare} {_EDGE.sub('', plain[k + 1].group()).lower()}" if k + 1 < len(plain) else ""
-            if two in FILLER_PHRASES:
-                out.append((m.start(), plain[k + 1].end(), _SYM["maybe_filler"], None))
-                k += 2
-                continue
-            sym = "marks" if not bare else "filler" if is_filler(bare) else "maybe_filler" if bare in MAYBE_FILLERS else "word"
-            out.append((m.start(), m.end(), _SYM[sym], None))
+            i, j, sym, bare = plain[k]
+            if bare in _HEADS and k + 1 < len(plain) and (bare, plain[k + 1][3]) in _PHRASES:
+                k += 1
+                j, sym = plain[k][1], _SYM["maybe_filler"]
+            out.append((i, j, sym, None))
             k += 1
         if x:
             if x.kind == "label":
@@ -157,12 +164,13 @@ def milliseconds(start_ms: Column, stamp: Column) -> Column:
     return F.coalesce(F.when(start_ms >= 0, start_ms), read)
 
 
-def tagged_units(paragraphs: DataFrame, tables) -> DataFrame:
+def tagged_units(paragraphs: DataFrame, tables, text: bool = True) -> DataFrame:
     """Rows (video_id, n, turn, ms, unit, opens, label, form, number, speech, clean) of the units of each paragraph (video_id, n, turn, ms, text).
 
     opens: a change marker stands before any word; label: the tokens of a speaker's label; number: its number if it is a numbered one; speech: holds a word of speech;
-    clean: the words of speech.
+    clean: the words of speech; null unless `text`.
     """
+    with_text = text
     b = paragraphs.sparkSession.sparkContext.broadcast(tables)
     keys = paragraphs.schema["video_id"].dataType, paragraphs.schema["n"].dataType
     schema = T.StructType(
@@ -200,7 +208,7 @@ def tagged_units(paragraphs: DataFrame, tables) -> DataFrame:
                         elif tag == SPEECH:
                             words.append(text[a:z])
                     speech = any(c.isalnum() for w in words for c in w)
-                    rows.append((p, k, k == 0 and bool(_OPENING.match(text)), label, form, number, speech, " ".join(words)))
+                    rows.append((p, k, k == 0 and bool(_OPENING.match(text)), label, form, number, speech, " ".join(words) if with_text else None))
                 at = np.array([r[0] for r in rows])
                 yield pa.RecordBatch.from_arrays(
                     [pdf.column(c).take(pa.array(at)) for c in ("video_id", "n", "turn", "ms")] + [pa.array([r[k] for r in rows], t) for k, t in zip(range(1, 8), kinds)], names=[f.name for f in schema.fields]
@@ -247,12 +255,12 @@ def model(paragraphs: DataFrame, sample: int = SAMPLE):
     return fit([r.t for r in rows])
 
 
-def speech_units(paragraphs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def speech_units(paragraphs: DataFrame, known: DataFrame, sample: int = SAMPLE, text: bool = True) -> DataFrame:
     """Rows (video_id, n, unit, t, an, speaker, run, clean): the units that are speech, in their order of time (t, an, n, unit), and the run of one speaker each lies in."""
     p = paragraphs.select("video_id", "n", "start_ms", "timestamp", "turn", "text").where("video_id is not null and n is not null")
     p = p.groupBy("video_id", "n").agg(F.min(F.struct("text", "turn", "start_ms", "timestamp")).alias("x")).select("video_id", "n", "x.*")
     p = p.withColumn("ms", milliseconds(F.col("start_ms"), F.col("timestamp")))
-    tagged = cut(tagged_units(p, model(paragraphs, sample)))
+    tagged = cut(tagged_units(p, model(paragraphs, sample), text))
 
     # A paragraph whose time cannot be read follows the one before it by n.
     times = tagged.where("unit = 0").select("video_id", "n", F.when(F.col("ms").isNotNull(), F.struct("ms", "n")).alias("own"), F.floor(F.col("n") / BUCKET_N).alias("nb"))
@@ -317,7 +325,7 @@ def speaker_turns(paragraphs: DataFrame, known: DataFrame, sample: int = SAMPLE)
     Repeated rows count once; of rows that share (video_id, n) but differ the least by text, turn, start_ms, timestamp stays; null keys are left out; null and blank texts hold no
     speech; a recording without speech has no turn; an unlabelled beginning of a labelled recording has speaker ''; further columns are ignored.
     """
-    s = speech_units(paragraphs, known, sample)
+    s = speech_units(paragraphs, known, sample, text=False)
     at = F.struct("t", "an", "n", "unit")
     runs = s.groupBy("video_id", "run", "speaker").agg(F.min(at).alias("a"), F.max(at).alias("z"))
     in_paragraph = Window.partitionBy("video_id", "a.n").orderBy("run")
