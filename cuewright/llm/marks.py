@@ -21,7 +21,7 @@ FILLER_PHRASES = ("you know", "i mean", "sort of", "kind of", "o sea")
 TIME = re.compile(r"\[\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\]|\(\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\)|<\d{1,2}:\d{2}:\d{2}[.,]\d{3}>")
 MARKER = re.compile(r">{2,}")
 NOTE = re.compile(r"\[([^\[\]\n]{1,60})\]|\(([^()\n]{1,60})\)|（([^（）\n]{1,30})）|【([^【】\n]{1,30})】|<([^<>\n]{1,40})>|\*([^*\n]{1,40})\*|[♪♫]+(?:[^♪♫\n]{0,40}[♪♫]+)?")
-_NAME = r"[^\W\d_](?:[\w.'’,-]|\([^()\n]{1,20}\)| (?=\S)){0,58}?"
+_NAME = r"[^\W\d_](?:[\w.'’,-]|\([^()\n]{1,20}\)| (?=\S)(?!--|—)){0,58}?"
 LABEL = re.compile(rf"\*\*([^*\n]{{1,60}})\*\*:?|\[([^\[\]\n]{{1,60}})\]:?|<v[. ]\s*([^<>\n]{{1,60}})>|({_NAME})(?::|：)(?=\s|$|[^\x00-\x7f])|({_NAME}) (?:--|—)(?=\s|$)")
 NUMBERED = re.compile(r"(?i)^(?:speaker|spkr|spk|sprecher|locuteur|hablante|话者|話者)[ _#.-]*0*(\d{1,4})$")
 _UNIT = re.compile(r"\r\n|[\n\r\x85  ]|(?=(?<!>)>{2,})")

@@ -112,7 +112,8 @@ def match_label(label: str, name: str) -> int:
         w = a[0]
         if len(w) == 1:
             return 0
-        best = max(_word(w, last) + 1 if len(w) > 1 else 0, _word(w, given))
+        of_last = _word(w, last)
+        best = max(of_last + 1 if of_last else 0, _word(w, given))
         initials = w in (given[0] + last[0],) or (len(b) > 2 and w == "".join(x[0] for x in b))
         return max(best, 8 if initials else 0)
     straight, swapped = (_word(a[0], given), _word(a[-1], last)), (_word(a[-1], given), _word(a[0], last))
@@ -214,7 +215,7 @@ def variants(names: DataFrame, name: str = "name") -> DataFrame:
     roots = _roots(keys.select("key").join(best, "key", "left"))
     of_full = full.select("name", "key").join(roots, "key").select("name", F.col("root").alias("person"))
 
-    people = keys.join(roots.where("key = root").select("key"), "key").select(F.col("key").alias("person"), "given", "last")
+    people = keys.join(roots, "key").select(F.col("root").alias("person"), "given", "last")  # every spelling of a person, slips too
     only = lambda d, by: d.groupBy(*by).agg(F.min("person").alias("person"), F.max("person").alias("other")).where("person = other").drop("other")
     short = two.where((F.length("given") == 1) & (F.length("last") > 1))
     of_short = short.join(only(people.withColumn("given", F.substring("given", 1, 1)), ["given", "last"]), ["given", "last"]).select("name", "person")

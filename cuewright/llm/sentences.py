@@ -62,7 +62,8 @@ def blanked(text: str, a: int, z: int) -> tuple[str, bool]:
     """The unit with everything but speech blanked, positions kept; whether it holds speech."""
     s = text[a:z]
     for x in reversed(scan(text, a, z)):
-        if x.kind in ("marker", "time", "note") or (x.kind == "label" and (x.form in ("bold", "square", "voice") or _named(x.text))):
+        alone = x.kind == "label" and not any(c.isalnum() for c in s[x.end - a :])  # what follows is blank by now
+        if x.kind in ("marker", "time", "note") or (x.kind == "label" and (alone or x.form in ("bold", "square", "voice") or _named(x.text))):
             s = s[: x.start - a] + " " * (x.end - x.start) + s[x.end - a :]
     return s, any(c.isalnum() for c in s)
 
