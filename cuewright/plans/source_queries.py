@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as T
-from cuewright.operators import render, tracks
+from cuewright.operators import render, segment, tracks, transcript
 from cuewright.session import ship, table
 from cuewright.sources import captions, documents, feeds
 from cuewright.streaming import resume
@@ -160,9 +160,38 @@ def silence_sessions(spark, d):
     return resume.silence_sessions(s)
 
 
+def _transcripts(spark, d):
+    ship(spark)
+    spans = table(spark, d, "sponsors_removed").where("category = 'sponsor' and start_ms is not null and end_ms is not null")
+    rec = table(spark, d, "recordings").groupBy("video_id").agg(*[F.max(c).alias(c) for c in ("title", "channel", "upload_date", "description", "url", "source", "lang", "translated", "duration_ms")])
+    return transcript.transcripts(segment.cues_of(table(spark, d, "segments")), rec, spans)
+
+
+def transcript_facts(spark, d):
+    return _transcripts(spark, d)[0].select("video_id", "punctuated", "turns", "captions_end_ms", "duration_ms")
+
+
+def transcript_paragraphs(spark, d):
+    return _transcripts(spark, d)[1]
+
+
+def prompt_contexts(spark, d):
+    r = table(spark, d, "recordings").groupBy("video_id").agg(*[F.min(c).alias(c) for c in ("title", "channel", "upload_date", "description")])
+    return transcript.context(r, table(spark, d, "known").where("origin = 'corpus'"))
+
+
+def prompt_batches(spark, d):
+    p = table(spark, d, "paragraphs").groupBy("video_id", "n").agg(F.min("text").alias("text"))
+    return transcript.numbered_batches(p).select("video_id", "batch", F.md5(F.col("body").cast("binary")).alias("hash"))
+
+
+def missing_people(spark, d):
+    return transcript.failures(table(spark, d, "people").where("name is not null"), table(spark, d, "recordings"), table(spark, d, "known"))
+
+
 QUERIES = {f.__name__: f for f in (
     url_class, url_id, url_route, sha_ids, date_iso, rfc822_iso, duration_seconds, slugs, first_prose, markup, clean_documents, error_classes, track_pick, tracks_shown, playlist_entries, feed_scan, markdown_scan, json_documents,
-    resume_pending, source_tally, asr_fallback, silence_sessions,
+    transcript_facts, transcript_paragraphs, prompt_contexts, prompt_batches, missing_people, resume_pending, source_tally, asr_fallback, silence_sessions,
 )}
 
 _URLS = """r AS (SELECT DISTINCT video_id, url FROM recordings), u AS (SELECT unnest([url, 'https://www.youtube.com/watch?v=' || video_id, 'https://www.youtube.com/watch?v=' || video_id || '&list=PL1&t=9s', 'https://youtu.be/' || video_id || '?si=1',
@@ -176,6 +205,15 @@ _STORE = r"regexp_matches(url, '(?i)(?:music|open|podcasters)\.(?:amazon|spotify
 _APPLE = r"regexp_matches(url, '(?i)podcasts\.apple\.com/.*?/id(\d+)')"
 
 SQL = {
+    "prompt_contexts": """WITH r AS (SELECT video_id, min(title) AS title, min(channel) AS channel, min(upload_date) AS day, min(description) AS about FROM recordings GROUP BY video_id),
+k0 AS (SELECT DISTINCT video_id, name FROM known WHERE origin = 'corpus'), k AS (SELECT video_id, list(name ORDER BY name) AS names FROM k0 GROUP BY video_id)
+SELECT video_id, 'Title: ' || coalesce(title, '') || chr(10) || 'Channel (the host): ' || CASE WHEN trim(coalesce(channel, '')) <> '' THEN channel ELSE 'unknown' END || CASE WHEN trim(coalesce(day, '')) <> '' THEN chr(10) || 'Published: ' || day ELSE '' END
+|| CASE WHEN trim(coalesce(about, '')) <> '' THEN chr(10) || 'Description:' || chr(10) || left(trim(about), 1500) ELSE '' END || CASE WHEN names IS NOT NULL THEN chr(10) || 'People already identified elsewhere: ' || array_to_string(names[1:40], ', ') ELSE '' END AS context
+FROM r LEFT JOIN k USING (video_id)""",
+    "prompt_batches": """WITH p AS (SELECT video_id, n, min(text) AS text FROM paragraphs GROUP BY video_id, n)
+SELECT video_id, ((n - 1) // 40)::INTEGER AS batch, md5(string_agg('[' || n || '] ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY n)) AS hash FROM p GROUP BY 1, 2""",
+    "missing_people": """SELECT DISTINCT video_id, 'no people found, though the metadata names a speaker' AS failed FROM recordings r
+WHERE EXISTS (SELECT 1 FROM known k WHERE k.video_id = r.video_id) AND NOT EXISTS (SELECT 1 FROM people p WHERE p.video_id = r.video_id AND name IS NOT NULL)""",
     "url_class": f"WITH {_URLS} SELECT url, regexp_matches(url, '{_VIDEO}') AS video, regexp_matches(url, '{_LIST}') AND NOT regexp_matches(url, '{_VIDEO}') AS playlist, regexp_matches(url, '{_LIST}') AS forced, regexp_matches(url, '{_LIST}') AND regexp_matches(url, '{_VIDEO}') AS ambiguous FROM u",
     "url_id": f"""WITH {_URLS} SELECT url, CASE WHEN starts_with(url, 'podcast:') THEN nullif(regexp_extract(url, '#(.*)$', 1), '') ELSE nullif(regexp_extract(url, '{_VIDEO}', 1), '') END AS id,
 CASE WHEN regexp_matches(url, '{_VIDEO}') THEN 'https://www.youtube.com/watch?v=' || regexp_extract(url, '{_VIDEO}', 1) || '&t=61s' ELSE string_split(url, '#')[1] || '#t=61' END AS anchor FROM u""",

@@ -96,3 +96,8 @@ def expand(entries: DataFrame) -> DataFrame:
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
     url = F.coalesce(filled("url"), filled("webpage_url"), F.concat(F.lit(T.WATCH), filled("id")))
     return entries.select("playlist", "pos", url.alias("url")).where("url is not null")
+
+
+def references(episodes_: DataFrame) -> DataFrame:
+    """(feed, pos, reference) of the playable episodes of each feed: a whole feed, asked for."""
+    return playable(episodes_).select("feed", "pos", reference(F.col("feed"), F.col("id")).alias("reference"))

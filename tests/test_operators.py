@@ -295,3 +295,31 @@ def test_resumed_stream(spark, tmp_path):
     go()
     go()
     assert runs == [2, 2] and rows(spark.read.parquet(str(sink)).where("failed is null"), "video_id") == [("a",), ("b",), ("c",)]
+
+
+def test_transcripts_in_all_forms(spark, tmp_path):
+    from cuewright.operators import transcript
+    from cuewright.sources import sinks
+
+    ship(spark)
+    c = spark.createDataFrame([("a", i, i * 1000, i * 1000 + 900, t) for i, t in enumerate([">> Hello there.", "buy this now", ">> Bye."])], CUE)
+    r = spark.createDataFrame([("a", "T", None, "", "", "https://x.invalid/a", "auto", "en", False, 0), ("b", "Empty", "Ch", "2024-01-01", "About it.", "u", "auto", "en", False, 7)], "video_id string, title string, channel string, upload_date string, description string, url string, source string, lang string, translated boolean, duration_ms long")
+    s = spark.createDataFrame([("a", 900, 1900)], "video_id string, start_ms long, end_ms long")
+    facts, p, applied = transcript.transcripts(c, r, s)
+    assert rows(p) == [("a", 1, 0, "00:00", 1, "Hello there."), ("a", 2, 2000, "00:02", 2, "Bye.")] and rows(applied) == [("a", 900, 1900)]
+    assert rows(facts, "video_id", "punctuated", "turns", "captions_end_ms", "duration_ms") == [("a", True, 2, 2900, 2900), ("b", False, 0, 0, 7)]
+    got = {f: {x.video_id: x.body for x in transcript.rendered(f, facts, p, c).collect()} for f in ("md", "json", "srt", "vtt")}
+    assert "[00:02](https://x.invalid/a#t=2) >> Bye." in got["md"]["a"] and json.loads(got["json"]["a"])["paragraphs"][1]["text"] == "Bye." and got["srt"]["a"].startswith("1\n00:00:00,000") and got["vtt"]["a"].startswith("WEBVTT")
+    assert [x[1] for x in rows(transcript.context(r, spark.createDataFrame([("b", "Zoe"), ("b", "Ann")], "video_id string, name string")))] == ["Title: T\nChannel (the host): unknown", "Title: Empty\nChannel (the host): Ch\nPublished: 2024-01-01\nDescription:\nAbout it.\nPeople already identified elsewhere: Ann, Zoe"]
+    assert rows(transcript.numbered_batches(p, 1)) == [("a", 0, "[1] Hello there."), ("a", 1, "[2] Bye.")]
+    v = spark.createDataFrame([("a", "many_speakers", "7 speakers")], "video_id string, kind string, detail string")
+    assert rows(transcript.retry_hints(v, spark.createDataFrame([("a", "Ann")], "video_id string, name string")))[0][1].endswith("- 7 speakers\n\nPeople this recording's metadata names: Ann")
+    assert rows(transcript.failures(spark.createDataFrame([("a",)], "video_id string"), r, r)) == [("b", "no people found, though the metadata names a speaker")]
+    out = tmp_path / "docs"
+    for _ in range(2):
+        sinks.write_files(spark.createDataFrame([("x", "one"), ("y", "two\n"), (None, "z")], "name string, body string"), str(out), ".md")
+    assert sorted(f.name for f in out.iterdir()) == ["x.md", "y.md"] and (out / "x.md").read_text() == "one\n"
+    sinks.write_people(spark.createDataFrame([("b b", "B B"), ("a a", "A A")], "key string, name string"), str(tmp_path / "people"))
+    assert rows(documents.read_people(spark, str(tmp_path / "people"))) == [("a a", "A A"), ("b b", "B B")]
+    e = spark.createDataFrame([("f", 0, "i1", "a", ""), ("f", 1, "i2", "", "")], "feed string, pos int, id string, audio string, transcript_url string")
+    assert rows(feeds.references(e)) == [("f", 0, "podcast:f#i1")]
