@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.operators.scan import _join
-
 
 def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, bucket: int = 600_000) -> DataFrame:
     """Rows (what, *keys, start, end): the longest continuous periods of each key, and the gaps between one and the next.
@@ -20,28 +18,27 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, b
     Rows with a null bound, or whose end is not after the start, are left out; intervals that touch are one period; repeated
     rows count once; a null key is a key of its own; an empty table gives no rows; all other columns are ignored.
     """
-    key = [f"__k{i}" for i in range(len(keys))]
-    s, e, b = F.col("__s"), F.col("__e"), "__b"
-    rows = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, key)], F.col(f"`{start}`").cast("long").alias("__s"), F.col(f"`{end}`").cast("long").alias("__e")).where(e > s)
-    rows = rows.withColumn(b, F.floor(s / F.lit(bucket)))
-    rows = rows.groupBy(*key, b, "__s").agg(F.max("__e").alias("__e"))
-
-    tops = rows.groupBy(*key, b).agg(F.max("__e").alias("__m"))
-    of_key = Window.partitionBy(*key)
-    tops = tops.withColumn("__carry", F.max("__m").over(of_key.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)))
-    tops = tops.withColumn("__last", F.max("__m").over(of_key)).drop("__m")
-
-    here = Window.partitionBy(*key, b).orderBy("__s")
-    rows = _join(rows.withColumn("__p", F.max("__e").over(here.rowsBetween(Window.unboundedPreceding, -1))), tops, [*key, b])
-    rows = rows.withColumn("__prev", F.greatest("__p", "__carry"))
-    starts = rows.where(F.col("__prev").isNull() | (s > F.col("__prev"))).select(*key, b, "__s", "__prev", "__last")
+    s, e = F.col("__s"), F.col("__e")
+    key = F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)])  # a struct is never null, and equal if its fields are, nulls among them
+    rows = df.select(key.alias("k"), F.col(f"`{start}`").cast("long").alias("__s"), F.col(f"`{end}`").cast("long").alias("__e")).where(e > s)
+    rows = rows.select(F.struct("k", F.floor(s / F.lit(bucket)).alias("b")).alias("__kb"), "__s", "__e").groupBy("__kb", "__s").agg(F.max("__e").alias("__e"))
+
+    of_key = Window.partitionBy("__kb.k")
+    tops = rows.groupBy("__kb").agg(F.max("__e").alias("__m"))
+    carry = F.max("__m").over(of_key.orderBy("__kb.b").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select(F.col("__kb").alias("__tb"), carry.alias("__carry"), F.max("__m").over(of_key).alias("__last"))
+
+    here = Window.partitionBy("__kb").orderBy("__s")
+    rows = rows.withColumn("__p", F.max("__e").over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(tops, F.col("__kb") == F.col("__tb")).withColumn("__prev", F.greatest("__p", "__carry"))
+    starts = rows.where(F.col("__prev").isNull() | (s > F.col("__prev"))).select("__kb", "__s", "__prev", "__last")
 
     # An island ends at the maximum before the next island's start; the last one of a key at the key's maximum.
-    heads = starts.groupBy(*key, b).agg(F.min_by("__prev", "__s").alias("__first"))
-    heads = heads.withColumn("__next", F.lead("__first").over(of_key.orderBy(b))).drop("__first")
-    starts = _join(starts.withColumn("__lead", F.lead("__prev").over(here)), heads, [*key, b])
+    heads = starts.groupBy("__kb").agg(F.min_by("__prev", "__s").alias("__first"))
+    heads = heads.select(F.col("__kb").alias("__hb"), F.lead("__first").over(of_key.orderBy("__kb.b")).alias("__next"))
+    starts = starts.withColumn("__lead", F.lead("__prev").over(here)).join(heads, F.col("__kb") == F.col("__hb"))
     stop = F.coalesce("__lead", "__next", "__last")
     period = F.struct(F.lit("period").alias("what"), s.alias("a"), stop.alias("z"))
     gap = F.struct(F.lit("gap").alias("what"), F.col("__prev").alias("a"), s.alias("z"))
-    out = starts.select(*key, F.explode(F.when(F.col("__prev").isNull(), F.array(period)).otherwise(F.array(period, gap))).alias("x"))
-    return out.select(F.col("x.what").alias("what"), *[F.col(n).alias(k) for k, n in zip(keys, key)], F.col("x.a").alias(start), F.col("x.z").alias(end))
+    out = starts.select("__kb.k", F.explode(F.when(F.col("__prev").isNull(), F.array(period)).otherwise(F.array(period, gap))).alias("x"))
+    return out.select(F.col("x.what").alias("what"), *[F.col(f"k.k{i}").alias(k) for i, k in enumerate(keys)], F.col("x.a").alias(start), F.col("x.z").alias(end))
