@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuewright.session import cut
+
 # Letters of Latin, Cyrillic and Greek that look alike, one class a line, a blank where a script has none.
 LOOK_ALIKE = """
 aаα AАΑ BВΒ cс  CС  eе  EЕΕ hһ  HНΗ iіι IІΙ jј  JЈ  k κ KКΚ MМΜ N Ν oоο OОΟ pрρ PРΡ qԛ
@@ -273,17 +275,18 @@ def with_canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFram
 def look_alikes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (doc_a, doc_b), doc_a < doc_b, whose texts have one canonical form and are not the same string.
 
-    Only 128-bit fingerprints travel. Classes are first reduced to those with two or more different texts, so that a text
-    copied very often but always in the same characters is never joined with anything; the pairs of a class
-    (as the result asks for) come from an equi-join on the class whose hot classes AQE splits. Rows with a null key or text are left out;
+    Only 128-bit fingerprints travel. Different texts of a class are paired first, which classes of one text, however often copied, never enter; the pairs of texts are then
+    expanded to the documents the result asks for, so nothing is joined that is not a row of it. Rows with a null key or text are left out;
     repeated rows count once; empty table, no rows.
     """
     d = with_canonical(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull()), "t", "c")
     d = d.select("id", F.md5(F.encode("t", "utf-8")).alias("t"), F.md5(F.encode("c", "utf-8")).alias("c"))
-    kinds = d.groupBy("c", "t").count().groupBy("c").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("c")
-    d = d.distinct().join(kinds, "c", "left_semi")
-    a, b = d.select("c", F.col("id").alias("doc_a"), F.col("t").alias("ta")), d.select("c", F.col("id").alias("doc_b"), F.col("t").alias("tb"))
-    return a.join(b, "c").where((F.col("doc_a") < F.col("doc_b")) & (F.col("ta") != F.col("tb"))).select("doc_a", "doc_b")
+    d = cut(d.distinct())  # fingerprints are read three times, texts once
+    texts = d.select("c", "t").distinct()
+    pairs = texts.select("c", F.col("t").alias("ta")).join(texts.select("c", F.col("t").alias("tb")), "c").where("ta < tb").select("ta", "tb")
+    ids = d.select("id", "t")
+    out = pairs.join(ids.select(F.col("t").alias("ta"), F.col("id").alias("a")), "ta").join(ids.select(F.col("t").alias("tb"), F.col("id").alias("b")), "tb")
+    return out.where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
 
 
 def canonical_column(text: Column) -> Column:
