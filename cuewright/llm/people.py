@@ -6,12 +6,11 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.operators.scan import _join
+from cuewright.llm.sampling import least_hashes
 from cuewright.session import cut
 
 # Short forms of given names and what they stand for, titles before a name, and what may follow one.
@@ -86,11 +85,6 @@ def near(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and x[:2] == y[1::-1] and x[2:] == y[2:])
 
 
-def label_parts(raw: str) -> tuple[tuple[str, ...], str]:
-    w = fold_words(raw)
-    return w, w[0] if w else ""
-
-
 def _word(a: str, b: str) -> int:
     """How well a label's word stands for a name's: 0 for not at all."""
     if a == b:
@@ -139,7 +133,7 @@ def radius_pairs(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
     keys = keys.select("key").where("key is not null").distinct()
     n = keys.count()
     want = max(LEAST_PIVOTS, min(MOST_PIVOTS, n // PER_PIVOT))
-    pivots = [r.key for r in keys.orderBy(F.xxhash64("key"), "key").limit(want).collect()]
+    pivots = least_hashes(keys, "key", want, n)
     if not pivots:
         return keys.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     table = F.array(*[F.lit(p) for p in pivots])

@@ -57,7 +57,8 @@ def _p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p4(spark: SparkSession, d: str) -> DataFrame:
-    return _p4_pieces(spark, d).where("piece = 1").select("item_kind", "video_id", "pos", "boundary")
+    best = F.when(F.col("boundary").isin("section", "line"), "sentence").otherwise(F.col("boundary"))  # a sentence ends at each of them
+    return _p4_pieces(spark, d).where("piece = 1").select("item_kind", "video_id", "pos", best.alias("boundary"))
 
 
 def _p7(spark: SparkSession, d: str) -> DataFrame:

@@ -15,12 +15,12 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.llm.marks import MAYBE_FILLERS, is_filler, scan, units
+from cuewright.llm.sampling import fit_texts
 
 #: Rows of text the model is fitted on, at most.
 SAMPLE = 8000
@@ -223,9 +223,8 @@ def ends(text: str, w: np.ndarray) -> list[int]:
 
 
 def model(df: DataFrame, text: str, sample: int = SAMPLE) -> np.ndarray:
-    """Fit on at most `sample` texts: those whose hash is least, the same at every run and independent of the order of rows."""
-    rows = df.select(F.col(f"`{text}`").alias("t")).where(F.col("t").isNotNull()).withColumn("h", F.xxhash64("t")).orderBy("h", "t").limit(sample).collect()
-    return fit([r.t for r in rows])
+    """Fit on at most `sample` texts, the same at every run."""
+    return fit(fit_texts(df, text, sample))
 
 
 def sentences(df: DataFrame, keys: list[str], text: str, trained_on: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:

@@ -12,43 +12,52 @@ from pyspark.sql import types as T
 
 from cuewright.llm import sentences as S
 
-_SECTION, _LINE, _SPACE = re.compile(r"\n[ \t]*\n\s*"), re.compile(r"\n\s*"), re.compile(r"\s+")
+_SPACE = re.compile(r"\s+")
+#: What a piece may end at, the best first.
+LEVELS = ("section", "line", "sentence")
+
+
+def _ends(text: str, w: np.ndarray) -> list[np.ndarray]:
+    """Sentence ends by what follows them: a blank line (end of a section), a line break, anything."""
+    every = np.array(S.ends(text, w), np.int64)
+    breaks = np.array([(gap := _SPACE.match(text, e)) and gap.group().count("\n") or 0 for e in every], np.int64)
+    return [every[breaks > 1], every[breaks > 0], every]
 
 
 def pieces(text: str, limit: int, overlap: int, w: np.ndarray) -> list[tuple[int, int, str]]:
     """(start, end, boundary at the end) of the pieces of a text: each within the limit, each but the first beginning `overlap` before the last one's end.
 
-    A piece ends at the last end of a section, else line, else sentence, else at white space, else anywhere; the first three are all called
-    'sentence', as a line break ends one too. Among them the latest is taken, which packs the most units into a piece.
+    A piece ends where the last section ends that fits; where none does, the last line, else the last sentence, else at the last white space, else at the limit. So whole sections are packed
+    as far as they fit, and only one that is too large is cut by what is below it.
     """
     if len(text) <= limit:
         return [(0, len(text), "end")]
-    sentence = S.ends(text, w)
-    spaces = [m.start() for m in _SPACE.finditer(text)]
+    levels = _ends(text, w)
+    spaces = np.array([m.start() for m in _SPACE.finditer(text)], np.int64)
     out, start, done = [], 0, 0
-    while True:
-        if len(text) - start <= limit:
-            out.append((start, len(text), "end"))
-            return out
+    while len(text) - start > limit:
         most = start + limit
-        k = np.searchsorted(sentence, most, side="right") - 1
-        j = np.searchsorted(spaces, most - 1, side="right") - 1
-        if k >= 0 and sentence[k] > done:
-            cut, kind = sentence[k], "sentence"
-        elif j >= 0 and spaces[j] >= done and text[done : spaces[j] + 1].strip():
-            cut, kind = max(spaces[j], done + 1), "space"
-        elif j >= 0 and spaces[j] >= done:
-            cut, kind = most, "space"
+        cut, kind = most, "none"
+        for name, at in zip(LEVELS, levels):
+            k = np.searchsorted(at, most, side="right") - 1
+            if k >= 0 and at[k] > done:
+                cut, kind = int(at[k]), name
+                break
         else:
-            cut, kind = most, "none"
-        out.append((start, int(cut), kind))
-        done, start = int(cut), max(int(cut) - overlap, 0)
+            j = np.searchsorted(spaces, most - 1, side="right") - 1
+            if j >= 0 and spaces[j] >= done:
+                # White space before the first word is no place to cut, but the piece has some.
+                cut, kind = int(spaces[j]) if text[done : spaces[j]].strip() else most, "space"
+        out.append((start, cut, kind))
+        done, start = cut, max(cut - overlap, 0)
+    out.append((start, len(text), "end"))
+    return out
 
 
 def split(df: DataFrame, keys: list[str], text: str, limit: int, overlap: int, w: np.ndarray) -> DataFrame:
     """Rows (*keys, piece, start_pos, end_pos, boundary, size, part) of the items larger than the limit, in characters; w: the weights of sentences.model.
 
-    boundary is what the piece is cut at: 'sentence', 'space', 'none', or 'end' for the last. Null texts and items within the limit
+    boundary is what the piece is cut at: 'section', 'line', 'sentence', 'space', 'none', or 'end' for the last. Null texts and items within the limit
     give no rows; repeated rows count once; of rows that share the keys but not the text the least text stays; further columns are ignored.
     """
     if overlap >= limit:

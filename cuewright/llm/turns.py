@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.llm.marks import FILLER_PHRASES, MAYBE_FILLERS, NUMBERED, TIME, is_filler, scan, units
-from cuewright.llm.people import deletions, fold_words, label_parts, match_label, nick
+from cuewright.llm.people import deletions, fold_words, match_label, nick
+from cuewright.llm.sampling import fit_texts
 from cuewright.operators.scan import _join, last_value
 from cuewright.session import cut
 
@@ -227,7 +228,7 @@ def _named(labels: DataFrame, known: DataFrame) -> DataFrame:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def keys(x: pd.Series) -> pd.Series:
         def of(raw: str) -> list[str]:
-            words, first = label_parts(raw)
+            words = fold_words(raw)
             out = {d for w in words for d in deletions(w)} | {nick(w) for w in words}
             letters = [w[0] for w in words if w]
             if len(letters) > 1:
@@ -250,9 +251,8 @@ def _named(labels: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def model(paragraphs: DataFrame, sample: int = SAMPLE):
-    """Fit on at most `sample` paragraphs: those whose hash is least, the same at every run."""
-    rows = paragraphs.select(F.col("text").alias("t")).where(F.col("t").isNotNull()).withColumn("h", F.xxhash64("t")).orderBy("h", "t").limit(sample).collect()
-    return fit([r.t for r in rows])
+    """Fit on at most `sample` paragraphs, the same at every run."""
+    return fit(fit_texts(paragraphs, "text", sample))
 
 
 def speech_units(paragraphs: DataFrame, known: DataFrame, sample: int = SAMPLE, text: bool = True) -> DataFrame:

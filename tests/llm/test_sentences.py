@@ -76,6 +76,8 @@ def test_boundaries(w):
     text = "One two three. " + "Four " * 60
     a = P.pieces(text, 200, 20, w)
     assert a[0] == (0, 14, "sentence") and a[1][2] == "space"
+    text = "A. B.\nC.\n\nD. " + "word " * 6 + "E. F."
+    assert P.pieces(text, 20, 3, w)[0] == (0, 8, "section") and P.pieces(text[:7] + " " + "word " * 9, 20, 3, w)[0] == (0, 5, "line")
     assert P.pieces("short", 200, 20, w) == [(0, 5, "end")]
     assert P.pieces(">> " + "y" * 300, 200, 20, w)[0][2] == "space"
 
