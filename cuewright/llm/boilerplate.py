@@ -38,17 +38,22 @@ def _supported(pairs: DataFrame, keys: list[str], sizes: DataFrame, share: float
     return n.join(sizes, "channel").where(F.col("docs") >= F.col("total") * share).select("channel", *keys, "docs")
 
 
+def _keyed(paragraphs: DataFrame, recordings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines that count with their channel and key, recordings of each channel)."""
+    src = _sources(recordings)
+    lines = lines_of(paragraphs).withColumn("key", letters("line")).where(F.length("key") >= MIN_LETTERS).join(src, "video_id")
+    return lines, src.groupBy("channel").agg(F.count(F.lit(1)).alias("total"))
+
+
 def repeated_lines(paragraphs: DataFrame, recordings: DataFrame, share: float = 0.1, least: int = 3) -> DataFrame:
-    """Rows (video_id, n, line_no, channel, key): each place of a line found in at least `share` of its channel's recordings and in at least `least`.
+    """Rows (video_id, n, line_no, channel, key, block): each place of a line of a boilerplate block, whose lines are found in at least `share` of their channel's recordings and in at least `least`.
 
     The share is of all video_ids the channel has in recordings. Lines of fewer than 20 letters and null channels are left out;
     recordings delivered twice count once; empty tables give no rows.
     """
-    src = _sources(recordings)
-    sizes = src.groupBy("channel").agg(F.count(F.lit(1)).alias("total"))
-    lines = lines_of(paragraphs).withColumn("key", letters("line")).where(F.length("key") >= MIN_LETTERS).join(src, "video_id")
-    nodes = _supported(lines, ["key"], sizes, share, least).drop("docs")
-    return lines.join(nodes, ["channel", "key"]).select("video_id", "n", "line_no", "channel", "key")
+    lines, sizes = _keyed(paragraphs, recordings)
+    known = _blocks(lines, sizes, share, least).select("channel", "key", "block")
+    return lines.join(known, ["channel", "key"]).select("video_id", "n", "line_no", "channel", "key", "block")
 
 
 def blocks(paragraphs: DataFrame, recordings: DataFrame, share: float = 0.1, least: int = 3) -> DataFrame:
@@ -57,9 +62,10 @@ def blocks(paragraphs: DataFrame, recordings: DataFrame, share: float = 0.1, lea
     A channel has at most (lines of a document / share) supported lines, whatever its size, since each of them takes a share of the documents: so one group
     of the component search is bounded.
     """
-    src = _sources(recordings)
-    sizes = src.groupBy("channel").agg(F.count(F.lit(1)).alias("total"))
-    lines = lines_of(paragraphs).withColumn("key", letters("line")).where(F.length("key") >= MIN_LETTERS).join(src, "video_id")
+    return _blocks(*_keyed(paragraphs, recordings), share, least)
+
+
+def _blocks(lines: DataFrame, sizes: DataFrame, share: float, least: int) -> DataFrame:
     nodes = _supported(lines, ["key"], sizes, share, least)
     one = lines.groupBy("channel", "video_id", "n").agg(F.sort_array(F.collect_list(F.struct("line_no", "key"))).alias("l"))
     follow = F.filter(F.arrays_zip(F.slice("l", 1, F.greatest(F.size("l") - 1, F.lit(0))).alias("a"), F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))).alias("b")), lambda x: x["b"]["line_no"] == x["a"]["line_no"] + 1)

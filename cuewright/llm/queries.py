@@ -25,6 +25,7 @@ def _p8(spark: SparkSession, d: str) -> DataFrame:
 def _p6(spark: SparkSession, d: str) -> DataFrame:
     from cuewright.llm.boilerplate import repeated_lines
 
+    ship(spark)
     return repeated_lines(table(spark, d, "paragraphs"), table(spark, d, "recordings")).select("video_id", "n", F.col("line_no").cast("int").alias("line_no"))
 
 
