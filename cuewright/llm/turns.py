@@ -2,8 +2,8 @@
 
 Every line is a sequence of tokens, each with a symbol for its shape; a hidden Markov model tags them as speaker, timestamp,
 annotation, filler or speech, decoded by Viterbi for a whole batch at once. Its tables are counted on a bounded sample whose
-unambiguous symbols carry their tag, then re-estimated by decoding the sample again. Labels are then linked to the names the metadata of the recording knows, and
-turns are runs of one speaker over the speech, in the order of time.
+unambiguous symbols carry their tag, then re-estimated by decoding the sample again. What could be a label is linked to the names the metadata of the recording knows first,
+as that it means one is a symbol of its own; a label is what is decoded as speaker. Turns are runs of one speaker over the speech, in the order of time.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from cuewright.session import cut
 
 TAGS = ("speaker", "timestamp", "annotation", "filler", "speech")
 SPEAKER, STAMP, NOTE, FILLER, SPEECH = range(5)
-SYMBOLS = ("marker", "time", "label_syntax", "label_colon", "label_number", "note", "bracket_short", "bracket_long", "filler", "maybe_filler", "word", "marks")
+SYMBOLS = ("marker", "time", "label_syntax", "label_colon", "label_number", "note", "bracket_short", "bracket_long", "filler", "maybe_filler", "word", "marks", "label_known")
 _SYM = {s: i for i, s in enumerate(SYMBOLS)}
 #: Symbols whose tag is certain.
-_SURE = {"time": STAMP, "label_syntax": SPEAKER, "label_number": SPEAKER, "note": NOTE, "bracket_long": SPEECH, "filler": FILLER, "word": SPEECH, "marker": SPEAKER}
+_SURE = {"time": STAMP, "label_syntax": SPEAKER, "label_number": SPEAKER, "note": NOTE, "bracket_long": SPEECH, "filler": FILLER, "word": SPEECH, "marker": SPEAKER, "label_known": SPEAKER}
 #: Paragraphs the model is counted on, at most.
 SAMPLE = 4000
 #: Time and order are cut into buckets of so many ms and paragraphs.
@@ -51,8 +51,8 @@ _PHRASES = {tuple(p.split()) for p in FILLER_PHRASES}
 _HEADS = {p[0] for p in _PHRASES}
 
 
-def tokens(text: str, a: int, z: int) -> list[tuple[int, int, int, object]]:
-    """(start, end, symbol, span or None) of the tokens of a unit."""
+def tokens(text: str, a: int, z: int, means=()) -> list[tuple[int, int, int, object]]:
+    """(start, end, symbol, span or None) of the tokens of a unit; means: the labels that mean a known name."""
     out, at = [], a
     spans = scan(text, a, z)
     for x in [*spans, None]:
@@ -67,7 +67,7 @@ def tokens(text: str, a: int, z: int) -> list[tuple[int, int, int, object]]:
             k += 1
         if x:
             if x.kind == "label":
-                sym = "label_number" if NUMBERED.match(x.text) else "label_syntax" if x.form in ("bold", "voice") else "label_colon" if x.form in ("colon", "dash") else "bracket_short"
+                sym = "label_number" if NUMBERED.match(x.text) else "label_known" if x.text in means else "label_syntax" if x.form in ("bold", "voice") else "label_colon" if x.form in ("colon", "dash") else "bracket_short"
             elif x.kind == "bracket":
                 sym = "bracket_long" if len(x.text.split()) > 3 or x.text[-2:-1] in ".!?。！？…" or x.text[1:2].isdigit() or not x.text.isascii() else "bracket_short"
             else:
@@ -166,12 +166,12 @@ def milliseconds(start_ms: Column, stamp: Column) -> Column:
 
 
 def tagged_units(paragraphs: DataFrame, tables, text: bool = True) -> DataFrame:
-    """Rows (video_id, n, turn, ms, unit, opens, label, form, number, speech, clean) of the units of each paragraph (video_id, n, turn, ms, text).
+    """Rows (video_id, n, turn, ms, unit, opens, label, form, number, speech, clean) of the units of each paragraph (video_id, n, turn, ms, text, and, if it is there, means: the labels in it that mean a known name).
 
-    opens: a change marker stands before any word; label: the tokens of a speaker's label; number: its number if it is a numbered one; speech: holds a word of speech;
+    opens: a change marker stands before any word; label: the tokens of a speaker's label, if they are decoded as one (decoded as speech they are words of it); number: its number if it is a numbered one; speech: holds a word of speech;
     clean: the words of speech; null unless `text`.
     """
-    with_text = text
+    with_text, named = text, "means" in paragraphs.columns
     b = paragraphs.sparkSession.sparkContext.broadcast(tables)
     keys = paragraphs.schema["video_id"].dataType, paragraphs.schema["n"].dataType
     schema = T.StructType(
@@ -185,12 +185,13 @@ def tagged_units(paragraphs: DataFrame, tables, text: bool = True) -> DataFrame:
             for lo in range(0, len(whole), 1000):
                 pdf = whole.slice(lo, 1000)
                 texts = pdf.column("text").to_pylist()
+                means = pdf.column("means").to_pylist() if named else [None] * len(texts)
                 where, toks = [], []
                 for i, t in enumerate(texts):
                     us = units(t or "")
                     for k, (a, z) in enumerate(us):
                         where.append((i, k))
-                        toks.append(tokens(t, a, z))
+                        toks.append(tokens(t, a, z, means[i] or ()))
                     if not us:
                         where.append((i, 0))
                         toks.append([])
@@ -202,7 +203,7 @@ def tagged_units(paragraphs: DataFrame, tables, text: bool = True) -> DataFrame:
                     label = form = number = None
                     words = []
                     for (a, z, _, span), tag in zip(toks[i], paths.get(i, ())):
-                        if span is not None and span.kind == "label":
+                        if tag == SPEAKER and span is not None and span.kind == "label":
                             label, form = span.text, span.form
                             m = NUMBERED.match(span.text)
                             number = int(m.group(1)) if m else None
@@ -215,7 +216,20 @@ def tagged_units(paragraphs: DataFrame, tables, text: bool = True) -> DataFrame:
                     [pdf.column(c).take(pa.array(at)) for c in ("video_id", "n", "turn", "ms")] + [pa.array([r[k] for r in rows], t) for k, t in zip(range(1, 8), kinds)], names=[f.name for f in schema.fields]
                 )
 
-    return paragraphs.select("video_id", "n", F.col("turn").cast("long").alias("turn"), "ms", "text").mapInArrow(run, schema)
+    return paragraphs.select("video_id", "n", F.col("turn").cast("long").alias("turn"), "ms", "text", *(["means"] if named else [])).mapInArrow(run, schema)
+
+
+def label_candidates(paragraphs: DataFrame) -> DataFrame:
+    """Rows (video_id, n, label): what stands where a label can, numbered ones aside, in each paragraph (video_id, n, text)."""
+    schema = T.StructType([*[T.StructField(c, paragraphs.schema[c].dataType) for c in ("video_id", "n")], T.StructField("label", T.StringType())])
+
+    def run(batches):
+        for pdf in batches:
+            found = sorted({(i, x.text) for i, t in enumerate(pdf.column("text").to_pylist()) for a, z in units(t or "") for x in scan(t, a, z) if x.kind == "label" and not NUMBERED.match(x.text)})
+            at = pa.array([i for i, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([pdf.column("video_id").take(at), pdf.column("n").take(at), pa.array([x for _, x in found], pa.string())], names=["video_id", "n", "label"])
+
+    return paragraphs.select("video_id", "n", "text").where(F.col("text").rlike(r"[:：\[*<—]|--")).mapInArrow(run, schema)
 
 
 def _named(labels: DataFrame, known: DataFrame) -> DataFrame:
@@ -260,13 +274,16 @@ def speech_units(paragraphs: DataFrame, known: DataFrame, sample: int = SAMPLE,
     p = paragraphs.select("video_id", "n", "start_ms", "timestamp", "turn", "text").where("video_id is not null and n is not null")
     p = p.groupBy("video_id", "n").agg(F.min(F.struct("text", "turn", "start_ms", "timestamp")).alias("x")).select("video_id", "n", "x.*")
     p = p.withColumn("ms", milliseconds(F.col("start_ms"), F.col("timestamp")))
-    tagged = cut(tagged_units(p, model(paragraphs, sample), text))
+    p = cut(p)  # read twice
+    candidates = cut(label_candidates(p))
+    names = cut(_named(candidates.select("video_id", "label").distinct(), known))
+    means = candidates.join(names, ["video_id", "label"]).groupBy("video_id", "n").agg(F.collect_set("label").alias("means"))
+    tagged = cut(tagged_units(p.join(means, ["video_id", "n"], "left"), model(paragraphs, sample), text))
 
     # A paragraph whose time cannot be read follows the one before it by n.
     times = tagged.where("unit = 0").select("video_id", "n", F.when(F.col("ms").isNotNull(), F.struct("ms", "n")).alias("own"), F.floor(F.col("n") / BUCKET_N).alias("nb"))
     times = last_value(times, ["video_id"], "nb", ["n"], F.col("own"), "at")
     times = times.select("video_id", "n", F.coalesce("at.ms", F.lit(-1)).alias("t"), F.coalesce("at.n", F.lit(-1)).alias("an"))
-    names = _named(tagged.where(F.col("label").isNotNull() & F.col("number").isNull()).select("video_id", "label").distinct(), known)
     u = _join(tagged.join(times, ["video_id", "n"]), names, ["video_id", "label"])
     u = u.withColumn("who", F.coalesce("speaker", F.concat(F.lit("speaker "), F.col("number").cast("string")))).drop("speaker")
     # What looks like a label before a colon or dash but means nobody is speech; in brackets it is a note.

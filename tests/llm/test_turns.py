@@ -50,6 +50,23 @@ def test_a_colon_is_no_label(spark):
     assert run(spark, [("a", 1, 0, None, 3, "One thing: it rains"), ("a", 2, 1, None, 4, "He said:")], [("a", "x", "Denise Okonkwo", "own")]) == [("a", 1, 1, 1, ""), ("a", 2, 1, 2, "")]
 
 
+def test_the_decoded_tag_decides_what_a_label_is(spark):
+    """An opening before a colon is a label where it is decoded as one, and words where it is decoded as speech."""
+    ship(spark)
+    first, move, emit = R.fit(["One thing: it rains", "so it goes on"])
+    colon = R.SYMBOLS.index("label_colon")
+    p = spark.createDataFrame([("a", 1, 1, 0, "One thing: it rains")], "video_id string, n int, turn int, ms long, text string")
+    read = {}
+    for tag in (R.SPEAKER, R.SPEECH):
+        e = emit.copy()
+        e[:, colon], e[tag, colon] = -50.0, -0.1
+        read[tag] = [(u.label, u.form, u.number, u.speech, u.clean) for u in R.tagged_units(p, (first, move, e)).collect()]
+    assert read == {R.SPEAKER: [("One thing", "colon", None, True, "it rains")], R.SPEECH: [(None, None, None, True, "One thing: it rains")]}
+    e[:, R.SYMBOLS.index("label_known")] = emit[:, R.SYMBOLS.index("label_known")]
+    known = p.withColumn("means", F.array(F.lit("One thing")))
+    assert [(u.label, u.clean) for u in R.tagged_units(known, (first, move, e)).collect()] == [("One thing", "it rains")]
+
+
 def test_turn_numbers(spark):
     rows = [("a", 1, 0, None, 1, "one"), ("a", 2, 10, None, None, "same"), ("a", 3, 20, None, None, "[00:01:02] >> next"), ("a", 4, 30, None, None, "goes on >> here too"), ("a", 5, 40, None, 2, "two"), ("a", 6, 50, None, 3, "[music]"), ("a", 7, 60, None, 2, "two still")]
     assert run(spark, rows) == [("a", 1, 1, 2, ""), ("a", 3, 1, 7, "")]
