@@ -118,8 +118,9 @@ def match_label(label: str, name: str) -> int:
 RADIUS = 2
 #: Names a pivot should stand for; the bounds of the number of pivots.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 25, 16, 512
-#: A key with so many different spellings stands by itself: two such keys are two people, however near.
-OWN = 3
+#: A key stands by itself, however near another, if this share of its mentions is not in its commonest form and it has more than this share of the other's mentions.
+#: Both are ratios, so a slip is one at every size: forms that come with more mentions do not make it a person.
+OWN_VARIETY, OWN_SHARE = 0.25, 0.1
 
 
 def radius_pairs(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -195,7 +196,7 @@ def variants(names: DataFrame, name: str = "name") -> DataFrame:
     turned = ((zero("fz") + zero("lx") > zero("fx") + zero("lz")) | (F.length("z") == 1)) & (F.length("x") > 1)
     two = two.select("name", "rows", F.when(turned, F.col("z")).otherwise(F.col("x")).alias("given"), F.when(turned, F.col("x")).otherwise(F.col("z")).alias("last"))
     full = two.where((F.length("given") > 1) & (F.length("last") > 1)).withColumn("key", F.concat_ws(" ", "given", "last"))
-    keys = cut(full.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.first("given").alias("given"), F.first("last").alias("last")))
+    keys = cut(full.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.max("rows").alias("top"), F.first("given").alias("given"), F.first("last").alias("last")))
 
     @F.pandas_udf("boolean")
     def one_slip(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -203,8 +204,9 @@ def variants(names: DataFrame, name: str = "name") -> DataFrame:
 
     rank = F.struct("n", "rows", "key")
     pairs = radius_pairs(keys).where(one_slip("a", "b"))
-    a, b = keys.select(F.col("key").alias("a"), F.col("n").alias("an"), rank.alias("ra")), keys.select(F.col("key").alias("b"), F.col("n").alias("bn"), rank.alias("rb"))
-    up = pairs.join(a, "a").join(b, "b").where((F.col("rb") > F.col("ra")) & (F.col("an") < OWN))
+    a, b = keys.select(F.col("key").alias("a"), "rows", "top", rank.alias("ra")), keys.select(F.col("key").alias("b"), F.col("rows").alias("of"), rank.alias("rb"))
+    own = (F.col("rows") - F.col("top") >= OWN_VARIETY * F.col("rows")) & (F.col("rows") > OWN_SHARE * F.col("of"))
+    up = pairs.join(a, "a").join(b, "b").where((F.col("rb") > F.col("ra")) & ~own)
     best = up.groupBy(F.col("a").alias("key")).agg(F.max("rb")["key"].alias("to"))
     roots = _roots(keys.select("key").join(best, "key", "left"))
     of_full = full.select("name", "key").join(roots, "key").select("name", F.col("root").alias("person"))

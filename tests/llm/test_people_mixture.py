@@ -67,6 +67,18 @@ def test_people_of_like_names_stay_apart(spark):
     assert {v[n] for n in a} == {v["Lillian Dosuratskyy"]} != {v[n] for n in b} and len({v[n] for n in b}) == 1
 
 
+@pytest.mark.parametrize("times", [1, 5])
+def test_a_slip_in_many_forms_is_still_a_slip(spark, times):
+    """What decides are ratios: the same table many times over, and slips in as many forms as the name itself, give the same people."""
+    ship(spark)
+    slips = ["Micheal Denunodalo", "micheal denunodalo", "Denunodalo, Micheal", "MICHEAL DENUNODALO"]
+    right = [n.replace("ea", "ae").replace("EA", "AE") for n in slips]
+    other = [n.replace("Micheal", "Michael").replace("micheal", "michael").replace("MICHEAL", "MICHAEL").replace("nod", "rod").replace("NOD", "ROD") for n in slips]
+    rows = [(n,) for n in slips + right * 15 + other * 6] * times
+    v = {r.name: r.person for r in P.variants(spark.createDataFrame(rows, "name string")).collect()}
+    assert {v[n] for n in slips} == {v[n] for n in right} == {"michael denunodalo"} and {v[n] for n in other} == {"michael denurodalo"}
+
+
 def test_water_fill():
     sizes, caps = {"a": 100, "b": 1000, "c": 10}, {"a": 2, "b": 4, "c": 3}
     got = M.water_fill(sizes, {"a": 0.5, "b": 0.4, "c": 0.1}, caps)
