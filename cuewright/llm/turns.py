@@ -14,10 +14,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuewright.functions.text import milliseconds
 from cuewright.llm.marks import FILLER_PHRASES, MAYBE_FILLERS, NUMBERED, TIME, is_filler, scan, units
 from cuewright.llm.people import deletions, fold_words, match_label, nick
 from cuewright.llm.sampling import fit_texts
@@ -153,18 +154,6 @@ def fit(texts: list[str], rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.n
     return norm(first), norm(move), norm(emit)
 
 
-def milliseconds(start_ms: Column, stamp: Column) -> Column:
-    """start_ms, else the time a timestamp spells: MM:SS, H:MM:SS, with a fraction, in brackets, or 1h02m03s; null where neither can be read."""
-    s = F.regexp_replace(F.trim(stamp), r"^[\[(]|[\])]$", "")
-    clock = r"^(?:(\d+):)?(\d{1,3}):(\d{2})(?:[.,](\d{1,3}))?$"
-    worded = r"^(?:(\d+)h)?(?:(\d+)m)?(?:(\d+)s)$"
-    part = lambda pattern, k: F.coalesce(F.expr("1L") * F.nullif(F.regexp_extract(s, pattern, k), F.lit("")).try_cast("long"), F.lit(0))
-    hms = lambda p: (part(p, 1) * 3600 + part(p, 2) * 60 + part(p, 3)) * 1000
-    frac = F.rpad(F.regexp_extract(s, clock, 4), 3, "0").try_cast("long")
-    read = F.when(s.rlike(clock), hms(clock) + F.coalesce(frac, F.lit(0))).when(s.rlike(worded), hms(worded))
-    return F.coalesce(F.when(start_ms >= 0, start_ms), read)
-
-
 def tagged_units(paragraphs: DataFrame, tables, text: bool = True) -> DataFrame:
     """Rows (video_id, n, turn, ms, unit, opens, label, form, number, speech, clean) of the units of each paragraph (video_id, n, turn, ms, text, and, if it is there, means: the labels in it that mean a known name).
 

@@ -61,10 +61,15 @@ def front_matter(recordings: DataFrame) -> DataFrame:
 
 
 def markdown(recordings: DataFrame, paragraphs: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
-    """(video_id, body): front matter, title, chapters as headings, and paragraphs with linked times and markers of speaker or turn."""
+    """(video_id, body): front matter, title, chapters as headings, and paragraphs with linked times and markers of speaker or turn.
+
+    A time without start_ms is read from timestamp; one that can be read from neither is 00:00. A timestamp in another form than the documents' is written in theirs.
+    """
     r = recordings.select("video_id", "title", "url")
     p = turn_markers(paragraphs).join(r, "video_id")
-    link = F.concat(F.lit("["), F.coalesce("timestamp", T.stamp(F.col("start_ms"))), F.lit("]("), T.anchor_url(F.col("url"), F.coalesce("start_ms", F.lit(0))), F.lit(") "), "marker", "text")
+    ms = T.milliseconds(F.col("start_ms"), F.col("timestamp"))
+    shown = F.coalesce(F.when(F.col("timestamp").rlike(r"^\d[\d:]*$"), F.col("timestamp")), T.stamp(ms), F.lit("00:00"))
+    link = F.concat(F.lit("["), shown, F.lit("]("), T.anchor_url(F.col("url"), F.coalesce(ms, F.lit(0))), F.lit(") "), "marker", "text")
     lines = p.select("video_id", "n", F.lit(1).alias("k"), F.lit(0).cast("long").alias("s"), link.alias("line"))
     if chapters is not None:
         placed = place_chapters(chapters, paragraphs).select("video_id", "n", F.lit(0).alias("k"), F.col("start_ms").cast("long").alias("s"), F.concat(F.lit("## "), "title").alias("line"))

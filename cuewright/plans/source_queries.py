@@ -119,19 +119,29 @@ def feed_scan(spark, d):
     return feeds.playable(feeds.episodes(f.select("feed", body.alias("body")))).select("feed", "pos", "id", "title", "audio", "published", "duration_s")
 
 
-def _markdown(spark, d):
+def _markdown(spark, d, timed=False):
     r = table(spark, d, "recordings").groupBy("video_id").agg(*[F.max(c).alias(c) for c in ("title", "channel", "upload_date", "description", "url", "source", "lang", "translated", "punctuated", "turns")])
-    p = table(spark, d, "paragraphs").where("start_ms is not null").groupBy("video_id", "n").agg(F.min(F.struct("start_ms", "turn", "text", "speaker", "speaker_confidence")).alias("x")).select("video_id", "n", "x.*")
+    p = table(spark, d, "paragraphs").where("start_ms is not null" if timed else "true").withColumn("start_ms", T.milliseconds(F.col("start_ms"), F.col("timestamp")))
+    p = p.groupBy("video_id", "n").agg(F.min(F.struct(F.col("start_ms").isNull().alias("late"), "start_ms", "turn", "text", "speaker", "speaker_confidence")).alias("x")).select("video_id", "n", "x.*").drop("late")
     p = p.withColumn("text", F.trim(T.clean_text(F.col("text")))).withColumn("timestamp", T.stamp(F.col("start_ms")))
     return render.markdown(r, p)
 
 
-def markdown_scan(spark, d):
-    """Documents written as markdown and read back."""
-    m = documents.parse_markdown(_markdown(spark, d).select(F.col("video_id").alias("path"), F.col("body").alias("raw")))
+def _read_back(documents_):
+    m = documents.parse_markdown(documents_.select(F.col("video_id").alias("path"), F.col("body").alias("raw")))
     return m.select(F.col("path").alias("video_id"), "title", "channel", "url", F.size("paragraphs").alias("paragraphs"))
 
 
+def markdown_scan(spark, d):
+    """Documents written as markdown and read back, of the paragraphs with start_ms only, as its SQL has it; markdown_documents has all."""
+    return _read_back(_markdown(spark, d, timed=True))
+
+
+def markdown_documents(spark, d):
+    """Documents of all paragraphs written as markdown and read back."""
+    return _read_back(_markdown(spark, d))
+
+
 def json_documents(spark, d):
     j = render.json_document(table(spark, d, "recordings").select("video_id", "title", "lang", "turns").distinct())
     return j.select(F.get_json_object("body", "$.video_id").alias("video_id"), F.get_json_object("body", "$.lang").alias("lang"), F.get_json_object("body", "$.turns").cast("int").alias("turns"))
@@ -190,7 +200,7 @@ def missing_people(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    url_class, url_id, url_route, sha_ids, date_iso, rfc822_iso, duration_seconds, slugs, first_prose, markup, clean_documents, error_classes, track_pick, tracks_shown, playlist_entries, feed_scan, markdown_scan, json_documents,
+    url_class, url_id, url_route, sha_ids, date_iso, rfc822_iso, duration_seconds, slugs, first_prose, markup, clean_documents, error_classes, track_pick, tracks_shown, playlist_entries, feed_scan, markdown_scan, markdown_documents, json_documents,
     transcript_facts, transcript_paragraphs, prompt_contexts, prompt_batches, missing_people, resume_pending, source_tally, asr_fallback, silence_sessions,
 )}
 
@@ -247,6 +257,8 @@ SELECT channel AS video_id, source, key, source = 'auto' AND p <> native AS tran
 SELECT channel AS feed, (row_number() OVER (PARTITION BY channel ORDER BY video_id) - 1)::INTEGER AS pos, substr(sha1(video_id), 1, 11) AS id, trim(title) AS title, 'https://audio.invalid/' || video_id || '.mp3' AS audio, coalesce(day, '') AS published, ms // 1000 AS duration_s FROM r""",
     "markdown_scan": """WITH r AS (SELECT video_id, max(title) AS title, max(channel) AS channel, max(url) AS url FROM recordings GROUP BY video_id),
 p AS (SELECT video_id, count(DISTINCT n)::INTEGER AS k FROM paragraphs WHERE start_ms IS NOT NULL GROUP BY video_id) SELECT video_id, coalesce(trim(title), '') AS title, coalesce(channel, '') AS channel, url, coalesce(k, 0)::INTEGER AS paragraphs FROM r LEFT JOIN p USING (video_id)""",
+    "markdown_documents": """WITH r AS (SELECT video_id, max(title) AS title, max(channel) AS channel, max(url) AS url FROM recordings GROUP BY video_id),
+p AS (SELECT video_id, count(DISTINCT n)::INTEGER AS k FROM paragraphs GROUP BY video_id) SELECT video_id, coalesce(trim(title), '') AS title, coalesce(channel, '') AS channel, url, coalesce(k, 0)::INTEGER AS paragraphs FROM r LEFT JOIN p USING (video_id)""",
     "json_documents": "SELECT video_id, lang, turns FROM (SELECT DISTINCT video_id, title, lang, turns FROM recordings)",
     "resume_pending": "SELECT DISTINCT video_id FROM recordings r WHERE NOT EXISTS (SELECT 1 FROM paragraphs p WHERE p.video_id = r.video_id AND p.speaker IS NOT NULL)",
     "source_tally": "SELECT source AS status, count(*) AS n FROM recordings GROUP BY source",

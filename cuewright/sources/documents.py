@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuewright.functions.text import let
 
 FILE_ID = r"-([\w-]{11})$"
-PARAGRAPH = r"(?m)^\[([\d:]+)\]\(([^)]*)\)[ \t]*(?:\*\*(?:[^*]+)\*\*:[ \t]*)?(?:>> )?(.+)$"
+PARAGRAPH = r"(?m)^\[[\[(]?((?:\d[\d:]*(?:[.,]\d+)?|(?:\d+h)?(?:\d+m)?\d+s)?)[\])]?\]\(([^)]*)\)[ \t]*(?:\*\*(?:[^*]+)\*\*:[ \t]*)?(?:>> )?(.+)$"
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:

@@ -212,6 +212,16 @@ def test_markdown_round_trip(spark):
     assert back.title == "A: title" and [x.text for x in back.paragraphs] == ["Hello.", "Bye.", "End."] and back.text == "Hello. Bye. End."
 
 
+def test_markdown_keeps_paragraphs_without_a_start(spark):
+    r = spark.createDataFrame([("abcdefghijk", "T", "", "", "", "https://x.invalid/a", "auto", "en", False, True, 1)], "video_id string, title string, channel string, upload_date string, description string, url string, source string, lang string, translated boolean, punctuated boolean, turns int")
+    times = [(0, None), (None, "00:01:02,500"), (None, "[1:03]"), (None, "1m04s"), (None, "--:--"), (None, None)]
+    p = spark.createDataFrame([("abcdefghijk", n, ms, at, 1, f"text {n}", None, None) for n, (ms, at) in enumerate(times)], "video_id string, n int, start_ms long, timestamp string, turn int, text string, speaker string, speaker_confidence string")
+    read = lambda body: [(x.timestamp, x.url, x.text) for x in documents.parse_markdown(spark.createDataFrame([("f.md", body)], "path string, raw string")).first().paragraphs]
+    want = [("00:00", 0), ("01:02", 62), ("01:03", 63), ("01:04", 64), ("00:00", 0), ("00:00", 0)]
+    assert read(render.markdown(r, p).first().body) == [(at, f"https://x.invalid/a#t={s}", f"text {n}") for n, (at, s) in enumerate(want)]
+    assert read("---\n---\n\n[00:01:02,500](u) a\n\n[[1:03]](u) b\n\n[1h02m03s](u) c\n\n[](u) d\n\n[more](u) e\n") == [("00:01:02,500", "u", "a"), ("1:03", "u", "b"), ("1h02m03s", "u", "c"), ("", "u", "d")]
+
+
 def test_subtitles(spark):
     c = spark.createDataFrame([("a", 1, 0, 900, "x"), ("a", 2, 500, 1500, "<i>y</i>")], CUE)
     assert render.srt(c).first().body == "1\n00:00:00,000 --> 00:00:00,500\nx\n\n2\n00:00:00,500 --> 00:00:01,500\n<i>y</i>\n"
