@@ -10,15 +10,16 @@ FIT_CHARS = 10_000
 
 
 def least_hashes(df: DataFrame, column: str, size: int, total: int | None = None) -> list[str]:
-    """The values of `column` with the least hashes, `size` at most.
+    """The different values of `column` with the least hashes, `size` at most; one that is repeated counts once. total: how many different ones there are, if known.
 
-    Only rows whose hash lies in the share that holds some four times as many are sorted: else every task would send `size` rows to the driver.
+    Only those whose hash lies in the share that holds some four times as many are made distinct and sorted: else every task would send `size` rows to the driver.
+    They are counted by their hashes, so texts are not shuffled for it.
     """
     d = df.select(F.col(f"`{column}`").alias("t")).where(F.col("t").isNotNull()).withColumn("h", F.xxhash64("t"))
-    n = d.count() if total is None else total
+    n = d.select("h").distinct().count() if total is None else total
     if n > 4 * size:
         d = d.where(F.col("h") < int(-(2**63) + 2**64 * (4 * size / n)))
-    return [r.t for r in d.orderBy("h", "t").limit(size).collect()]
+    return [r.t for r in d.distinct().orderBy("h", "t").limit(size).collect()]
 
 
 def fit_texts(df: DataFrame, column: str, size: int) -> list[str]:
