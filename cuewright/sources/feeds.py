@@ -63,15 +63,23 @@ def route(c: Column) -> Column:
     return F.when(c.startswith("podcast:"), "reference").when(feedish, "feed").when(c.rlike(APPLE), "apple").when(c.rlike(STOREFRONT), "storefront").otherwise("search")
 
 
+#: Characters by which a target meets the shows that may contain it.
+GRAM = 6
+
+
 def resolve(targets: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(target, feed, how) of targets against a catalogue (show, feed, apple_id, rank): references and feeds as they stand, Apple ids by lookup, names by the first show in rank that contains them; feed is null where there is none."""
+    """(target, feed, how) of targets against a catalogue (show, feed, apple_id, rank): references and feeds as they stand, Apple ids by lookup, names by the first show in rank that contains them, also inside a word; feed is null where there is none. Candidates meet on the first GRAM characters of the target."""
     t = targets.withColumn("how", route(F.col("target")))
     c = catalogue.where("feed <> ''")
     own = t.where("how in ('reference', 'feed', 'storefront')").select("target", F.when(F.col("how") != "storefront", parse_reference(F.col("target"))["feed"]).alias("feed"), "how")
     apple = t.where("how = 'apple'").withColumn("id", F.regexp_extract("target", APPLE, 1)).join(c.groupBy(F.col("apple_id").cast("string").alias("id")).agg(F.min_by("feed", "rank").alias("feed")), "id", "left").select("target", "feed", "how")
     named = t.where("how = 'search'").select("target", "how").distinct()
-    words = c.select("feed", "rank", F.explode(F.array_distinct(F.split(F.lower("show"), r"(?U)\W+"))).alias("w"), F.lower("show").alias("show"))
-    hit = named.withColumn("w", F.get(F.filter(F.split(F.lower("target"), r"(?U)\W+"), lambda x: x != ""), F.lit(0))).join(words, "w", "left").where(F.col("show").isNull() | F.contains("show", F.lower("target")))
+    low = c.where("show <> ''").select("feed", "rank", F.lower("show").alias("show"))
+    # All runs of GRAM characters, and of fewer for targets that are shorter.
+    starts = F.sequence(F.lit(1), F.length("show"))
+    runs = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.substring(F.col("show"), i, k)))))
+    grams = low.select("feed", "rank", "show", F.explode(runs).alias("w"))
+    hit = named.where(F.trim("target") != "").withColumn("w", F.substring(F.lower("target"), 1, GRAM)).join(grams, "w").where(F.contains("show", F.lower("target")))
     first = hit.groupBy("target").agg(F.min_by("feed", "rank").alias("feed"))
     return own.unionByName(apple).unionByName(named.join(first, "target", "left").select("target", "feed", "how"))
 

@@ -202,6 +202,12 @@ def test_notes(spark):
     assert "max@v1" not in notes and len({x.file for x in notes.values()}) == len(notes)
 
 
+def test_a_target_may_begin_inside_a_word(spark):
+    cat = spark.createDataFrame([("Broadcast News", "f1", 1, 2), ("Podcast News Now", "f2", 2, 1), ("Chk (!!!)", "f3", 3, 3), (None, "f4", 4, 0)], "show string, feed string, apple_id long, rank int")
+    t = spark.createDataFrame([("cast news",), ("ROADCAST NEWS",), ("oa",), ("!!!",), ("cast new now",), (" ",)], "target string")
+    assert {r.target: r.feed for r in feeds.resolve(t, cat).collect()} == {"cast news": "f2", "ROADCAST NEWS": "f1", "oa": "f1", "!!!": "f3", "cast new now": None, " ": None}
+
+
 def test_markdown_round_trip(spark):
     r = spark.createDataFrame([("abcdefghijk", "A: title", "Chan", "2024-01-02", "", "https://x.invalid/a", "whisper", "en", False, True, 2)], "video_id string, title string, channel string, upload_date string, description string, url string, source string, lang string, translated boolean, punctuated boolean, turns int")
     p = spark.createDataFrame([("abcdefghijk", 1, 0, "00:00", 1, "Hello.", "Ann", "low"), ("abcdefghijk", 2, 70_000, "01:10", 2, "Bye.", None, None), ("abcdefghijk", 3, 90_000, "01:30", 3, "End.", None, None)], "video_id string, n int, start_ms long, timestamp string, turn int, text string, speaker string, speaker_confidence string")
