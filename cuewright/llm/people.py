@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.sampling import least_hashes
 from cuewright.session import cut
 
 # Short forms of given names and what they stand for, titles before a name, and what may follow one.
@@ -116,36 +115,49 @@ def match_label(label: str, name: str) -> int:
 
 #: The radius of the join in the metric (Levenshtein): neighbours swapped are two edits of it.
 RADIUS = 2
-#: Names a pivot should stand for; the bounds of the number of pivots.
-PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 25, 16, 512
-#: A key stands by itself, however near another, if this share of its mentions is not in its commonest form and it has more than this share of the other's mentions.
-#: Both are ratios, so a slip is one at every size: forms that come with more mentions do not make it a person.
+#: Two people, and no slip, if both names are met in at least so many recordings and less than this share of the lesser one's hold both:
+#: who is misspelt is mostly named rightly nearby. Both grow clearer with more mentions and never turn round by more spellings.
+EVIDENCE, TOGETHER = 6, 0.05
+#: Where nothing tells in what a name was mentioned, a name stands by itself, however near another, if this share of its mentions is not in its commonest form and it has more than this share of the other's mentions.
 OWN_VARIETY, OWN_SHARE = 0.25, 0.1
 
 
-def radius_pairs(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b), a <> b, both ways, of the distinct strings in the column `key` at most `radius` edits apart: an exact join in a metric space.
+def slip_cells(keys: DataFrame) -> DataFrame:
+    """Rows (cell, key): the cells of each key (key, given, last), so that any two keys one slip apart share one.
 
-    Every string is at home in the cell of its nearest pivot, and is copied to each cell whose pivot is at most 2 * radius farther than that: by the
-    triangle inequality any two strings within the radius meet in the home cell of each. Within a cell rings of equal
-    distance to the pivot that differ by more than the radius cannot hold a pair, so cell and ring are the key of an equi-join, which AQE can split
-    where it is hot. Pivots are the strings of least hash, MOST_PIVOTS at most; more of them only make cells smaller.
+    A name is a point in the product of given and last names, whose metric is the sum of theirs. A slip leaves one part as it is; one within a last name leaves its first or
+    its last half: of a length l, (l - 1) // 2 letters of an end, and as many as the next shorter length has, since a letter may be missing. Where only the blank is
+    displaced the letters are the same.
     """
-    keys = keys.select("key").where("key is not null").distinct()
-    n = keys.count()
-    want = max(LEAST_PIVOTS, min(MOST_PIVOTS, n // PER_PIVOT))
-    pivots = least_hashes(keys, "key", want, n)
-    if not pivots:
-        return keys.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    table = F.array(*[F.lit(p) for p in pivots])
-    d = keys.withColumn("d", F.transform(table, lambda p: F.levenshtein(F.col("key"), p)))
-    d = d.withColumn("least", F.array_min("d"))
-    home = d.select(F.col("key").alias("a"), (F.array_position("d", F.col("least")) - 1).cast("int").alias("cell"), F.col("least").alias("ring"))
-    home = home.select("a", "cell", F.explode(F.sequence(F.col("ring") - radius, F.col("ring") + radius)).alias("ring"))
-    cells = F.filter(F.transform("d", lambda x, i: F.struct(i.cast("int").alias("cell"), x.alias("ring"))), lambda c: c["ring"] <= F.col("least") + 2 * radius)
-    copies = d.select(F.col("key").alias("b"), F.explode(cells).alias("c")).select("b", "c.cell", "c.ring")
+    size = lambda less: F.greatest(F.floor((F.length("last") - less) / 2).cast("int"), F.lit(0))
+    front = lambda k: F.concat_ws("|", F.lit("<"), "given", k.cast("string"), F.substring(F.col("last"), F.lit(1), k))
+    back = lambda k: F.concat_ws("|", F.lit(">"), "given", k.cast("string"), F.substring(F.col("last"), F.length("last") - k + 1, k))
+    cells = F.array_distinct(F.array(F.concat(F.lit("="), "last"), F.concat(F.lit("+"), "given", "last"), front(size(1)), front(size(2)), back(size(1)), back(size(2))))
+    return keys.select(F.explode(cells).alias("cell"), "key")
+
+
+def radius_pairs(cells: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b), a <> b, both ways, of the strings `key` of one `cell` at most `radius` edits apart: an exact join in a metric space.
+
+    Each cell has its own pivots, as many as the root of its size (keys whose hash is low enough, and the lowest), so pivots grow with the data and no list of them is held anywhere.
+    Every key is at home with its nearest pivot, and is copied to each pivot of its cell that is at most 2 * radius farther than that: by the
+    triangle inequality any two keys within the radius meet at the home of each. Around a pivot rings of equal
+    distance that differ by more than the radius cannot hold a pair, so cell, pivot and ring are the key of an equi-join, which AQE can split
+    where it is hot.
+    """
+    cells = cells.select(F.coalesce(F.col("cell").cast("string"), F.lit("")).alias("cell"), "key").where("key is not null").distinct()
+    u = F.xxhash64("cell", "key")
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", u).alias("lowest")).where("n > 1")
+    c = cut(cells.join(sizes, "cell"))
+    pivots = c.where((F.col("key") == F.col("lowest")) | (F.shiftrightunsigned(u, 11) * F.lit(2.0**-53) < 1 / F.sqrt("n"))).select("cell", F.col("key").alias("pivot"))
+    d = c.select("cell", "key").join(pivots, "cell").withColumn("ring", F.levenshtein("key", "pivot"))
+    d = d.groupBy("cell", "key").agg(F.min("ring").alias("least"), F.collect_list(F.struct("ring", "pivot")).alias("p"))
+    copies = F.filter("p", lambda x: x["ring"] <= F.col("least") + 2 * radius)
+    d = cut(d.select("cell", "key", F.array_min("p").alias("home"), copies.alias("p")))
+    home = d.select("cell", F.col("key").alias("a"), "home.pivot", F.explode(F.sequence(F.col("home.ring") - radius, F.col("home.ring") + radius)).alias("ring"))
+    near_ = d.select("cell", F.col("key").alias("b"), F.explode("p").alias("x")).select("cell", "b", "x.pivot", "x.ring")
     close = (F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= radius) & (F.levenshtein(F.col("a"), F.col("b"), radius) >= 0)
-    return home.join(copies, ["cell", "ring"]).where(close).select("a", "b").distinct()
+    return home.join(near_, ["cell", "pivot", "ring"]).where(close).select("a", "b").distinct()
 
 
 def _parsed(names: DataFrame) -> DataFrame:
@@ -163,29 +175,37 @@ def _parsed(names: DataFrame) -> DataFrame:
 
 
 def _roots(points: DataFrame) -> DataFrame:
-    """(key, root) from pointers (key, to): followed to their ends, distances doubling. Pointers never form a ring, as each leads to a key of higher rank."""
+    """(key, root) from pointers (key, to): followed to their ends, distances doubling, until none moves. Pointers never form a ring, as each leads to a key of higher rank."""
     roots = cut(points.select("key", F.coalesce("to", "key").alias("root")))
-    for _ in range(40):
+    while True:
         again = roots.select(F.col("key").alias("root"), F.col("root").alias("next"))
-        step = roots.join(again, "root", "left").select("key", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
-        step = cut(step)
-        if step.where("moved").isEmpty():
-            return step.select("key", "root")
+        step = cut(roots.join(again, "root", "left").select("key", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         roots = step.select("key", "root")
-    return roots
+        if step.where("moved").isEmpty():
+            return roots
+
+
+def _together(pairs: DataFrame, met: DataFrame) -> DataFrame:
+    """Adds to pairs (a, b) how many contexts hold both; met: distinct (key, context). Only the contexts of a, the key of lower rank, are looked up."""
+    a = pairs.join(met.withColumnRenamed("key", "a"), "a")
+    both = a.join(met.select(F.col("key").alias("b"), "context"), ["b", "context"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+    return pairs.join(both, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
 
 
-def variants(names: DataFrame, name: str = "name") -> DataFrame:
-    """Rows (name, person): every spelling that is linked to a person, and the person's key.
+def variants(names: DataFrame, name: str = "name", context: str | None = None) -> DataFrame:
+    """Rows (name, person): every spelling that is linked to a person, and the person's key, the folded spelling all others lead to.
 
-    names: one row a mention. Spellings are folded to words (titles, suffixes, case, accents, marks, order after a comma, short forms); which of two words is
+    names: one row a mention; context: the column of what it was mentioned in. Spellings are folded to words (titles, suffixes, case, accents, marks, order after a comma, short forms); which of two words is
     the given name is settled by how often each stands first and last over all spellings. Full names are joined within the radius of the edit metric and linked where they differ by one letter or
-    two swapped neighbours; each links to the neighbour with most spellings, so that two people of like names are not drawn together. Initials
+    two swapped neighbours; each links to the neighbour of more mentions it shares most contexts with, unless both are met often and hardly ever together: then they are two people (without contexts, unless its forms vary and are no rare ones). Initials
     and bare surnames link to the one person they fit, if it is only one; run-together names to the name they spell. A bare given name is linked to nothing.
 
-    Nulls and names without a letter give no rows; repeated mentions count as evidence only; further columns are ignored.
+    Nulls and names without a letter give no rows; repeated mentions count as evidence only; a null context is none; further columns are ignored.
     """
-    seen = names.select(F.col(f"`{name}`").alias("name")).where(F.col("name").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+    of = F.lit(None).cast("string") if context is None else F.col(f"`{context}`").cast("string")
+    mentions = names.select(F.col(f"`{name}`").alias("name"), of.alias("context")).where(F.col("name").isNotNull()).groupBy("name", "context").agg(F.count(F.lit(1)).alias("rows"))
+    mentions = cut(mentions)
+    seen = mentions.groupBy("name").agg(F.sum("rows").alias("rows"))
     p = cut(_parsed(seen))
     two = p.where((F.size("w") > 1)).withColumn("x", F.element_at("w", 1)).withColumn("z", F.array_join(F.slice("w", 2, 99), " "))
     roles = two.where((F.length("x") > 1) & (F.length("z") > 1)).select(F.explode(F.array(F.struct(F.col("x").alias("t"), F.lit(1).alias("f"), F.lit(0).alias("l")), F.struct(F.col("z").alias("t"), F.lit(0).alias("f"), F.lit(1).alias("l")))).alias("r"))
@@ -194,20 +214,25 @@ def variants(names: DataFrame, name: str = "name") -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     two = two.join(role("x"), "x", "left").join(role("z"), "z", "left")
     turned = ((zero("fz") + zero("lx") > zero("fx") + zero("lz")) | (F.length("z") == 1)) & (F.length("x") > 1)
-    two = two.select("name", "rows", F.when(turned, F.col("z")).otherwise(F.col("x")).alias("given"), F.when(turned, F.col("x")).otherwise(F.col("z")).alias("last"))
+    two = cut(two.select("name", "rows", F.when(turned, F.col("z")).otherwise(F.col("x")).alias("given"), F.when(turned, F.col("x")).otherwise(F.col("z")).alias("last")))
     full = two.where((F.length("given") > 1) & (F.length("last") > 1)).withColumn("key", F.concat_ws(" ", "given", "last"))
-    keys = cut(full.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.max("rows").alias("top"), F.first("given").alias("given"), F.first("last").alias("last")))
+    keys = cut(full.groupBy("key").agg(F.sum("rows").alias("rows"), F.max("rows").alias("top"), F.first("given").alias("given"), F.first("last").alias("last")))
 
     @F.pandas_udf("boolean")
     def one_slip(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([near(x, y) for x, y in zip(a, b)])
 
-    rank = F.struct("n", "rows", "key")
-    pairs = radius_pairs(keys).where(one_slip("a", "b"))
-    a, b = keys.select(F.col("key").alias("a"), "rows", "top", rank.alias("ra")), keys.select(F.col("key").alias("b"), F.col("rows").alias("of"), rank.alias("rb"))
-    own = (F.col("rows") - F.col("top") >= OWN_VARIETY * F.col("rows")) & (F.col("rows") > OWN_SHARE * F.col("of"))
-    up = pairs.join(a, "a").join(b, "b").where((F.col("rb") > F.col("ra")) & ~own)
-    best = up.groupBy(F.col("a").alias("key")).agg(F.max("rb")["key"].alias("to"))
+    rank = F.struct("rows", "key")
+    pairs = radius_pairs(slip_cells(keys)).where(one_slip("a", "b"))
+    own = (F.col("rows") - F.col("top") >= OWN_VARIETY * F.col("rows")) & (F.col("rows") > OWN_SHARE * F.col("rb.rows"))
+    a, b = keys.select(F.col("key").alias("a"), "rows", "top", rank.alias("ra")), keys.select(F.col("key").alias("b"), rank.alias("rb"))
+    up = cut(pairs.join(a, "a").join(b, "b").where((F.col("rb") > F.col("ra")) & (~own if context is None else F.lit(True))).select("a", "b", "rb"))
+    met = cut(mentions.where("context is not null").join(full.select("name", "key"), "name").select("key", "context").distinct())
+    often = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    up = _together(up, met).join(often.select(F.col("key").alias("a"), F.col("n").alias("na")), "a", "left").join(often.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b", "left")
+    least = F.least(zero("na"), zero("nb"))
+    up = up.where(~((least >= EVIDENCE) & (F.col("both") < TOGETHER * least)))
+    best = up.groupBy(F.col("a").alias("key")).agg(F.max(F.struct("both", "rb", "b"))["b"].alias("to"))
     roots = _roots(keys.select("key").join(best, "key", "left"))
     of_full = full.select("name", "key").join(roots, "key").select("name", F.col("root").alias("person"))
 
@@ -223,8 +248,7 @@ def variants(names: DataFrame, name: str = "name") -> DataFrame:
     return of_full.unionByName(of_short).unionByName(of_joined).unionByName(of_last).distinct()
 
 
-def variant_pairs(names: DataFrame, name: str = "name") -> DataFrame:
-    """Pairs (name_a, name_b), name_a < name_b by code point, of different spellings of one person. Only distinct spellings are paired, never mentions."""
-    v = cut(variants(names, name))
-    a, b = v.select("person", F.col("name").alias("name_a")), v.select("person", F.col("name").alias("name_b"))
+def spelling_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (name_a, name_b), name_a < name_b by code point, of the different spellings of one person in members (name, person): the form some results ask for, as large as it says."""
+    a, b = members.select("person", F.col("name").alias("name_a")), members.select("person", F.col("name").alias("name_b"))
     return a.join(b, "person").where("name_a < name_b").select("name_a", "name_b").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.session import ship, table
+from cuewright.session import cut, ship, table
 
 
 def _p10(spark: SparkSession, d: str) -> DataFrame:
@@ -62,14 +62,21 @@ def _p4(spark: SparkSession, d: str) -> DataFrame:
     return _p4_pieces(spark, d).where("piece = 1").select("item_kind", "video_id", "pos", best.alias("boundary"))
 
 
-def _p7(spark: SparkSession, d: str) -> DataFrame:
-    from cuewright.llm.people import variant_pairs
+def _p7_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every linked spelling and its person."""
+    from cuewright.llm.people import variants
 
     ship(spark)
-    names = table(spark, d, "people").select("name")
+    names = table(spark, d, "people").select("name", "video_id")
     for c in ("from_name", "to_name"):
-        names = names.unionByName(table(spark, d, "edges").select(F.col(c).alias("name")))
-    return variant_pairs(names)
+        names = names.unionByName(table(spark, d, "edges").select(F.col(c).alias("name"), "video_id"))
+    return variants(names, "name", "video_id")
+
+
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    from cuewright.llm.people import spelling_pairs
+
+    return spelling_pairs(cut(_p7_members(spark, d)))
 
 
 def _p9(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +104,7 @@ def _p2(spark: SparkSession, d: str) -> DataFrame:
     return judged(cues, "video_id", "seq", "text").where("rejected").select("video_id")
 
 
-QUERIES = {"p1_found": _p1, "p2_found": _p2, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p7_found": _p7, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p10_found": _p10}
+QUERIES = {"p1_found": _p1, "p2_found": _p2, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p7_found": _p7, "p7_members": _p7_members, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p10_found": _p10}
 SQL = {
     "p2_found": r"""
 WITH r AS (SELECT DISTINCT video_id FROM recordings WHERE lang IN ('en', 'de', 'es', 'fr', 'hi')),
