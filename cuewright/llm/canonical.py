@@ -26,6 +26,8 @@ LOOK_ALIKE = """
 aаα AАΑ BВΒ cс  CС  eе  EЕΕ hһ  HНΗ iіι IІΙ jј  JЈ  k κ KКΚ MМΜ N Ν oоο OОΟ pрρ PРΡ qԛ
 sѕ  SЅ  TТΤ u υ v ν wԝω xхχ XХΧ yуγ YҮΥ Z Ζ dԁ  GԌ  lӏ
 """
+# Letters of other scripts and extensions (second) that look like a Latin one (first).
+ALSO_ALIKE = "aɑ gɡ oօ hհ uս AᎪ BᏴ CᏟ DᎠ EᎬ GᏀ HᎻ JᎫ KᏦ LᏞ MᎷ PᏢ RᎡ SᏚ TᎢ VᏙ WᎳ ZᏃ SՏ UՍ"
 HYPHENS = (0x2010, 0x2011, 0x2012, 0x2212, 0xFE63, 0xFF0D, 0x2043, 0x02D7)
 #: Decompositions of these kinds change no look; superscripts, circles and fractions do.
 _SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>", "<small>")
@@ -72,8 +74,21 @@ def _expand(cp: int, deep: int = 0) -> list[int]:
     return [x for p in parts for x in _expand(int(p, 16), deep + 1)]
 
 
-@lru_cache(1)
-def _tables() -> dict[str, np.ndarray]:
+def read_confusables(path: str) -> tuple[tuple[int, int], ...]:
+    """Pairs (letter, the letter it looks like) from a file in the format of Unicode's confusables.txt (`0430 ; 0061 ; MA # ...`); entries of several code points are left out."""
+    out = []
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            parts = [x.split() for x in line.split("#")[0].split(";")]
+            if len(parts) > 1 and len(parts[0]) == len(parts[1]) == 1:
+                a, b = int(parts[0][0], 16), int(parts[1][0], 16)
+                if chr(a).isalpha() and chr(b).isalpha():
+                    out.append((a, b))
+    return tuple(out)
+
+
+@lru_cache(2)
+def _tables(more_alike: tuple[tuple[int, int], ...] = ()) -> dict[str, np.ndarray]:
     first, length, more = np.arange(_N, dtype=np.uint32), np.ones(_N, np.uint8), {}
     ccc, letter = np.zeros(_N, np.uint8), np.zeros(_N, bool)
     pairs: dict[int, int] = {}
@@ -113,6 +128,10 @@ def _tables() -> dict[str, np.ndarray]:
                         to[s, ord(c)] = ord(other)
                     elif s and row[0]:
                         to[s, ord(c)] = ord(row[0]) if not c.isascii() else ord(c)
+    for a, b in [(ord(x[1]), ord(x[0])) for x in ALSO_ALIKE.split()] + list(more_alike):
+        if not alike[a]:
+            alike[a] = True
+            to[:, a] = to[:, b]
     for cp in range(0x250):
         if letter[cp] and chr(cp).isalpha():
             script[cp] = _LATIN
@@ -128,11 +147,13 @@ def _per_group(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(group[values], minlength=n)
 
 
-def _scripts(cp: np.ndarray, row: np.ndarray, t: dict, n: int) -> np.ndarray:
-    """Look-alike letters in the script of their word: that of its letters of one script only, else the text's, else Latin."""
+def _scripts(cp: np.ndarray, row: np.ndarray, t: dict, n: int, latin: bool = False) -> np.ndarray:
+    """Look-alike letters in the script of their word: that of its letters of one script only, else the text's, else Latin; latin: all of them in Latin."""
     alike = t["alike"][cp]
     if not alike.any():
         return cp
+    if latin:
+        return np.where(alike, t["to"][_LATIN, cp], cp)
     inside = t["letter"][cp]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | (row[1:] != row[:-1])
@@ -208,8 +229,14 @@ def strings(cp: np.ndarray, row: np.ndarray, n: int, valid: np.ndarray | None =
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(off.tobytes()), pa.py_buffer(raw), mask).cast(pa.string())
 
 
-def canonical_points(cp: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def alike_elsewhere(cp: np.ndarray) -> np.ndarray:
+    """Which code points are look-alike letters that stand in a script other than Latin."""
     t = _tables()
+    return t["alike"][cp] & (t["to"][_LATIN, cp] != cp)
+
+
+def canonical_points(cp: np.ndarray, row: np.ndarray, n: int, latin: bool = False, more_alike: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    t = _tables(more_alike)
     if not len(cp):
         return cp, row
     length = t["length"][cp]
@@ -226,15 +253,15 @@ def canonical_points(cp: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarra
             step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             out[np.repeat(ends[many] - size, size) + step] = t["data"][np.repeat(t["start"][cp[many]].astype(np.int64), size) + step]
         cp, row = out, np.repeat(row, length)
-    cp = _scripts(cp, row, t, n)
+    cp = _scripts(cp, row, t, n, latin)
     return _compose(cp.copy(), row, t)
 
 
-def canonical_array(texts: pa.Array) -> pa.Array:
-    """The one form of each text; null stays null."""
+def canonical_array(texts: pa.Array, more_alike: tuple = ()) -> pa.Array:
+    """The one form of each text; null stays null. more_alike: further pairs, as of read_confusables."""
     n, valid = len(texts), texts.is_valid().to_numpy(zero_copy_only=False)
     cp, row = points(texts)
-    cp, row = canonical_points(cp, row, n)
+    cp, row = canonical_points(cp, row, n, more_alike=more_alike)
     return strings(cp, row, n, valid)
 
 
@@ -249,21 +276,23 @@ def _slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
         at = to
 
 
-def with_canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
+def with_canonical(df: DataFrame, text: str, out: str = "canonical", confusables: str | None = None) -> DataFrame:
     """Adds `out`, the one form of `text`: texts that look the same have equal forms, others stay different.
 
-    Null stays null and empty stays empty; a column named `out` is replaced; every other column and row is kept as it is.
+    Null stays null and empty stays empty; a column named `out` is replaced; every other column and row is kept as it is. confusables: a file of further look-alike
+    letters in Unicode's format, read on the driver (some 6,000 entries, bounded by the code points there are).
     """
     if out != text and out in df.columns:
         df = df.drop(out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
     if out == text:
         schema = df.schema
+    more_alike = read_confusables(confusables) if confusables else ()
 
     def run(batches):
         for b in batches:
             for part in _slices(b, text):
-                done = canonical_array(part.column(text))
+                done = canonical_array(part.column(text), more_alike)
                 if out == text:
                     yield part.set_column(part.schema.get_field_index(text), text, done)
                 else:
@@ -272,16 +301,23 @@ def with_canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFram
     return df.mapInArrow(run, schema)
 
 
+def look_classes(docs: DataFrame, key: str, text: str, confusables: str | None = None) -> DataFrame:
+    """Rows (key, look, string): the class of texts that look the same and the text itself, as 128-bit fingerprints, of each document.
+
+    Texts are read once and never shuffled. Rows with a null key or text are left out; repeated rows count once; an empty table gives no rows.
+    """
+    d = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__t")).where(F.col(f"`{key}`").isNotNull() & F.col("__t").isNotNull())
+    d = with_canonical(d, "__t", "__c", confusables)
+    return d.select(key, F.md5(F.encode("__c", "utf-8")).alias("look"), F.md5(F.encode("__t", "utf-8")).alias("string")).distinct()
+
+
 def look_alikes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs (doc_a, doc_b), doc_a < doc_b, whose texts have one canonical form and are not the same string.
+    """Pairs (doc_a, doc_b), doc_a < doc_b, whose texts have one canonical form and are not the same string: look_classes expanded to the pairs some results ask for.
 
-    Only 128-bit fingerprints travel. Different texts of a class are paired first, which classes of one text, however often copied, never enter; the pairs of texts are then
-    expanded to the documents the result asks for, so nothing is joined that is not a row of it. Rows with a null key or text are left out;
-    repeated rows count once; empty table, no rows.
+    Different texts of a class are paired first, which classes of one text, however often copied, never enter; the pairs of texts are then
+    expanded to the documents, so nothing is joined that is not a row of the result.
     """
-    d = with_canonical(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull()), "t", "c")
-    d = d.select("id", F.md5(F.encode("t", "utf-8")).alias("t"), F.md5(F.encode("c", "utf-8")).alias("c"))
-    d = cut(d.distinct())  # fingerprints are read three times, texts once
+    d = cut(look_classes(docs, key, text).select(F.col(f"`{key}`").alias("id"), F.col("string").alias("t"), F.col("look").alias("c")))  # fingerprints are read three times, texts once
     texts = d.select("c", "t").distinct()
     pairs = texts.select("c", F.col("t").alias("ta")).join(texts.select("c", F.col("t").alias("tb")), "c").where("ta < tb").select("ta", "tb")
     ids = d.select("id", "t")

@@ -15,6 +15,14 @@ def _p10(spark: SparkSession, d: str) -> DataFrame:
     return look_alikes(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document and the class of texts that look like its own."""
+    from cuewright.llm.canonical import look_classes
+
+    ship(spark)
+    return look_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
 def _p8(spark: SparkSession, d: str) -> DataFrame:
     from cuewright.llm.leakage import leaks
 
@@ -104,7 +112,7 @@ def _p2(spark: SparkSession, d: str) -> DataFrame:
     return judged(cues, "video_id", "seq", "text").where("rejected").select("video_id")
 
 
-QUERIES = {"p1_found": _p1, "p2_found": _p2, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p7_found": _p7, "p7_members": _p7_members, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p10_found": _p10}
+QUERIES = {"p1_found": _p1, "p2_found": _p2, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p7_found": _p7, "p7_members": _p7_members, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p10_found": _p10, "p10_classes": _p10_classes}
 SQL = {
     "p2_found": r"""
 WITH r AS (SELECT DISTINCT video_id FROM recordings WHERE lang IN ('en', 'de', 'es', 'fr', 'hi')),

@@ -36,6 +36,15 @@ def test_words_keep_their_script():
     assert one("Привет, сор и вор", "cop", "Это сор") == ["Привет, сор и вор", "cop", "Это сор"]
 
 
+def test_further_look_alikes_from_a_file(spark, tmp_path):
+    f = tmp_path / "confusables.txt"
+    f.write_text("\ufeff# comment\n10424 ;\t0073 ;\tMA\t# a letter\n0269 ; 0069 ; MA\n2A74 ; 003A 003A 003D ; MA\n", encoding="utf-8")
+    assert C.read_confusables(str(f)) == ((0x10424, 0x73), (0x269, 0x69))
+    d = spark.createDataFrame([(1, "\U00010424tate"), (2, "state"), (3, "stɑte"), (4, None)], "id int, t string")
+    assert [r.c for r in C.with_canonical(d, "t", "c", str(f)).orderBy("id").collect()] == ["state", "state", "state", None]
+    assert [r.n for r in C.look_classes(d, "id", "t", str(f)).groupBy("look").count().withColumnRenamed("count", "n").collect()] == [3]
+
+
 def test_nulls_and_empty_and_slices():
     a = pa.array(["x", None, "", "ﬀ", None, "é"])
     assert C.canonical_array(a).to_pylist() == ["x", None, "", "ff", None, "é"]
@@ -109,17 +118,30 @@ def test_several_passes_find_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "so " + text), (2, text[60:])], "doc_id long, text string")
     items = spark.createDataFrame([(i, " ".join(f"word{k}" for k in range(i, i + 14))) for i in range(10)], "item_id long, text string")
     whole = sorted(map(tuple, L.leaks(docs, items).collect()))
-    monkeypatch.setattr(L, "PASS_CHARS", 200)
+    monkeypatch.setattr(L, "PART_CHARS", 200)
     assert sorted(map(tuple, L.leaks(docs, items).collect())) == whole and len(whole) > 10
 
 
 def test_wu_manber_exact():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 100, 20000).astype(np.uint32)
-    pats = [text[k : k + n].copy() for k, n in zip(rng.integers(0, 19900, 50), rng.integers(8, 30, 50))]
-    wm = L.WuManber(pats, [[i] for i in range(50)])
+    start, size = rng.integers(0, 19900, 50), rng.integers(8, 30, 50)
+    pats = [text[k : k + n].copy() for k, n in zip(start, size)]
+    wm = L.WuManber(text, start, size)
     rows, found = wm.search(text, np.array([0, 7000, 7000, 20000]))
-    got = set(zip(rows.tolist(), found.tolist()))
+    got = set(zip(rows.tolist(), wm.order[found].tolist()))
     s = "".join(map(chr, text))
     want = {(r, j) for r, (a, z) in enumerate([(0, 7000), (7000, 7000), (7000, 20000)]) for j, p in enumerate(pats) if "".join(map(chr, p)) in s[a:z]}
     assert got == want
+
+
+def test_latin_passages_in_other_scripts(spark):
+    """A word of look-alike letters only counts as Latin in a Cyrillic document too, and an item may be Cyrillic; ids of any type."""
+    ship(spark)
+    passage = "a space is so near as can be, we said: once more to the sea"
+    russian = "мы все говорили об этом снова и снова но никто не верил нам тогда"
+    foreign = "Доклад о том, что было вчера и что будет завтра. " * 20
+    docs = spark.createDataFrame([("d1", foreign + passage + " " + foreign), ("d2", foreign + passage.upper()), ("d3", foreign), ("d4", russian.upper()), ("d5", passage.replace("a", "а").replace("o", "ο"))], "doc_id string, text string")
+    items = spark.createDataFrame([("x", passage), ("y", russian)], "item_id string, text string")
+    got = {(r.doc_id, r.item_id): r.windows for r in L.leaks(docs, items).collect()}
+    assert got == {("d1", "x"): 4, ("d2", "x"): 4, ("d4", "y"): 3, ("d5", "x"): 4}
