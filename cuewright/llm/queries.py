@@ -104,30 +104,70 @@ def _p9_shares(spark: SparkSession, d: str) -> DataFrame:
 LETTERED = ("en", "de", "es", "fr", "hi")
 
 
+def _spoken(spark: SparkSession, d: str) -> DataFrame:
+    """The cues of the recordings in languages that put blanks between words."""
+    spoken = table(spark, d, "recordings").where(F.col("lang").isin(*LETTERED)).select("video_id").distinct()
+    return table(spark, d, "segments").select("video_id", "seq", "text").join(spoken, "video_id", "left_semi")
+
+
 def _p2(spark: SparkSession, d: str) -> DataFrame:
     from cuewright.llm.repetition import judged
 
-    spoken = table(spark, d, "recordings").where(F.col("lang").isin(*LETTERED)).select("video_id").distinct()
-    cues = table(spark, d, "segments").select("video_id", "seq", "text").join(spoken, "video_id", "left_semi")
-    return judged(cues, "video_id", "seq", "text").where("rejected").select("video_id")
+    ship(spark)
+    return judged(_spoken(spark, d), "video_id", "seq", "text").where("rejected").select("video_id")
 
 
-QUERIES = {"p1_found": _p1, "p2_found": _p2, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p7_found": _p7, "p7_members": _p7_members, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p10_found": _p10, "p10_classes": _p10_classes}
-SQL = {
-    "p2_found": r"""
+def _p2_lines(spark: SparkSession, d: str) -> DataFrame:
+    """What the rules say of every cue."""
+    from cuewright.llm.repetition import line_rules
+
+    ship(spark)
+    return line_rules(_spoken(spark, d), "video_id", "seq", "text")
+
+
+def _p2_left(spark: SparkSession, d: str) -> DataFrame:
+    """What line-first cleaning leaves of every recording."""
+    from cuewright.llm.repetition import judged
+
+    ship(spark)
+    return judged(_spoken(spark, d), "video_id", "seq", "text")
+
+
+QUERIES = {"p1_found": _p1, "p2_found": _p2, "p2_lines": _p2_lines, "p2_left": _p2_left, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p7_found": _p7, "p7_members": _p7_members, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p10_found": _p10, "p10_classes": _p10_classes}
+_P2 = r"""
 WITH r AS (SELECT DISTINCT video_id FROM recordings WHERE lang IN ('en', 'de', 'es', 'fr', 'hi')),
 s AS (SELECT video_id, seq, min(text) AS text FROM segments JOIN r USING (video_id) WHERE seq IS NOT NULL GROUP BY video_id, seq),
 a AS (SELECT video_id, seq, string_split_regex(coalesce(text, ''), '[\s\p{Z}]+') AS ws FROM s),
 b AS (SELECT video_id, seq, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM a),
 c AS (SELECT video_id, seq, i, lower(regexp_replace(w, '^[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+$', '', 'g')) AS w FROM b),
-p AS (SELECT video_id, w, row_number() OVER (PARTITION BY video_id ORDER BY seq, i) AS pos FROM c WHERE w <> ''),
+p AS (SELECT video_id, seq, i, w, row_number() OVER (PARTITION BY video_id ORDER BY seq, i) AS pos FROM c WHERE w <> ''),
 g AS (SELECT video_id, pos, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o || ' ' || lead(w, 5) OVER o AS run
       FROM p WINDOW o AS (PARTITION BY video_id ORDER BY pos)),
 f AS (SELECT video_id, pos, min(pos) OVER (PARTITION BY video_id, run) AS first FROM g WHERE run IS NOT NULL),
-v AS (SELECT DISTINCT video_id, pos + k.k AS at FROM f, (SELECT unnest(range(6)) AS k) k WHERE pos > first),
+v AS (SELECT DISTINCT video_id, pos + k.k AS at FROM f, (SELECT unnest(range(6)) AS k) k WHERE pos > first)"""
+_P2_LINES = (
+    _P2
+    + r""",
+l AS (SELECT p.video_id, seq, count(*) AS words, count(v.at) AS repeated, string_agg(p.w, ' ' ORDER BY p.i) AS said FROM p LEFT JOIN v ON p.video_id = v.video_id AND p.pos = v.at GROUP BY p.video_id, seq),
+n AS (SELECT *, count(*) OVER (PARTITION BY video_id, said) AS times FROM l),
+m AS (SELECT s.video_id, s.seq, coalesce(words, 0) AS words, coalesce(repeated, 0) AS repeated, words IS NULL AS no_words,
+      regexp_matches(lower(coalesce(text, '')), 'https?://|\b\S+@\S+\.\S+|@NAVIGATION@') AS navigation, coalesce(times > 2 OR (repeated > 0 AND repeated * 2 >= words), false) AS boilerplate,
+      NOT regexp_matches(coalesce(text, ''), '[.!?…。！？।]+[\p{Pe}\p{Pf}"''”’»]*[\s\p{Z}]*\z') AS no_end
+      FROM s LEFT JOIN n USING (video_id, seq)),
+q AS (SELECT *, no_words OR navigation OR boilerplate AS removed FROM m)"""
+)
+SQL = {
+    "p2_found": _P2
+    + r""",
 t AS (SELECT video_id, count(*) AS words FROM p GROUP BY video_id),
 n AS (SELECT video_id, count(*) AS repeated FROM v GROUP BY video_id)
 SELECT video_id FROM t JOIN n USING (video_id) WHERE repeated / words >= 0.3""",
+    "p2_lines": _P2_LINES + " SELECT * FROM q",
+    "p2_left": _P2_LINES
+    + r""",
+d AS (SELECT video_id, count(*) AS lines, count(*) FILTER (removed) AS removed, sum(words)::BIGINT AS words, coalesce(sum(words) FILTER (removed), 0)::BIGINT AS lost, sum(repeated)::BIGINT AS repeated FROM q GROUP BY video_id)
+SELECT *, CASE WHEN words > 0 THEN repeated / words ELSE 0.0::DOUBLE END AS share, CASE WHEN words > 0 THEN repeated / words ELSE 0 END >= 0.3 AS rejected,
+CASE WHEN words > 0 THEN lost / words ELSE 0 END >= 0.3 AS too_little_left FROM d""",
     "p6_found": r"""
 WITH src AS (SELECT DISTINCT video_id, channel FROM recordings WHERE channel IS NOT NULL AND video_id IS NOT NULL),
 tot AS (SELECT channel, count(*) AS total FROM src GROUP BY channel),
@@ -146,4 +186,6 @@ def queries():
 
 
 def oracle_sql():
-    return dict(SQL)
+    from cuewright.llm.repetition import NAVIGATION
+
+    return {name: sql.replace("@NAVIGATION@", "|".join(NAVIGATION)) for name, sql in SQL.items()}

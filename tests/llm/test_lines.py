@@ -6,6 +6,7 @@ import pytest
 
 from cuewright.llm import boilerplate as B
 from cuewright.llm import repetition as R
+from cuewright.session import ship
 
 
 def test_lines(spark):
@@ -71,6 +72,27 @@ def test_repetition_against_brute_force(spark, seed):
     assert got == {k: brute(v) for k, v in docs.items()}
 
 
+def test_long_documents_are_measured_alike(spark, monkeypatch):
+    """Documents no task may hold go another way to the same rows; scripts without blanks are measured by letters both ways."""
+    ship(spark)
+    rng = random.Random(9)
+    rows = [(f"d{d}", rng.randrange(4000), " ".join(rng.choice(["so", "it", "is,", "—", "今日", "ไปไหน", "see www", "x@y.org"]) for _ in range(rng.choice([0, 1, 2, 7])))) for d in range(5) for _ in range((20, 90, 400, 700, 60)[d])]
+    df = spark.createDataFrame(rows + rows[:30] + [("d3", 7, None), (None, 1, "x")], "video_id string, seq long, text string")
+    for letters in (False, True):
+        monkeypatch.setattr(R, "MOST_LINES", 100_000)
+        want = sorted(map(tuple, R.line_rules(df, "video_id", "seq", "text", letters).collect()))
+        monkeypatch.setattr(R, "MOST_LINES", 80)
+        assert sorted(map(tuple, R.line_rules(df, "video_id", "seq", "text", letters).collect())) == want and any(r[3] for r in want)
+
+
+def test_scripts_without_blanks(spark):
+    ship(spark)
+    df = spark.createDataFrame([("a", 1, "今日はいい天気ですね。"), ("a", 2, "今日はいい天気ですね。"), ("a", 3, "また明日")], "video_id string, seq long, text string")
+    assert R.repeated_share(df, "video_id", "seq", "text").first()[1:3] == (3, 0)
+    assert R.repeated_share(df, "video_id", "seq", "text", letters=True).first()[1:3] == (24, 10)
+    assert [r.seq for r in R.clean_lines(df, "video_id", "seq", "text", letters=True).orderBy("seq").collect()] == [1, 3]
+
+
 def test_repetition_of_nothing(spark):
     df = spark.createDataFrame([("a", 1, None), ("b", 1, ""), (None, 1, "x"), ("c", None, "x"), ("d", 1, "one two three four five six " * 5000)], "video_id string, seq long, text string")
     got = {r.video_id: (r.words, r.repeated, r.rejected) for r in R.judged(df, "video_id", "seq", "text").collect()}
