@@ -34,7 +34,16 @@ def _p6(spark: SparkSession, d: str) -> DataFrame:
     from cuewright.llm.boilerplate import repeated_lines
 
     ship(spark)
-    return repeated_lines(table(spark, d, "paragraphs"), table(spark, d, "recordings")).select("video_id", "n", F.col("line_no").cast("int").alias("line_no"))
+    found = repeated_lines(table(spark, d, "paragraphs"), table(spark, d, "recordings")).where("not joined")  # short lines of a block do not count here
+    return found.select("video_id", "n", F.col("line_no").cast("int").alias("line_no"))
+
+
+def _p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every paragraph without the blocks of its channel."""
+    from cuewright.llm.boilerplate import without_repeated_lines
+
+    ship(spark)
+    return without_repeated_lines(table(spark, d, "paragraphs"), table(spark, d, "recordings"))
 
 
 def _p1(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +142,7 @@ def _p2_left(spark: SparkSession, d: str) -> DataFrame:
     return judged(_spoken(spark, d), "video_id", "seq", "text")
 
 
-QUERIES = {"p1_found": _p1, "p2_found": _p2, "p2_lines": _p2_lines, "p2_left": _p2_left, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p7_found": _p7, "p7_members": _p7_members, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p10_found": _p10, "p10_classes": _p10_classes}
+QUERIES = {"p1_found": _p1, "p2_found": _p2, "p2_lines": _p2_lines, "p2_left": _p2_left, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p6_clean": _p6_clean, "p7_found": _p7, "p7_members": _p7_members, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p10_found": _p10, "p10_classes": _p10_classes}
 _P2 = r"""
 WITH r AS (SELECT DISTINCT video_id FROM recordings WHERE lang IN ('en', 'de', 'es', 'fr', 'hi')),
 s AS (SELECT video_id, seq, min(text) AS text FROM segments JOIN r USING (video_id) WHERE seq IS NOT NULL GROUP BY video_id, seq),
@@ -156,6 +165,15 @@ m AS (SELECT s.video_id, s.seq, coalesce(words, 0) AS words, coalesce(repeated,
       FROM s LEFT JOIN n USING (video_id, seq)),
 q AS (SELECT *, no_words OR navigation OR boilerplate AS removed FROM m)"""
 )
+_P6 = r"""
+WITH src AS (SELECT DISTINCT video_id, channel FROM recordings WHERE channel IS NOT NULL AND video_id IS NOT NULL),
+tot AS (SELECT channel, count(*) AS total FROM src GROUP BY channel),
+p AS (SELECT video_id, n, min(text) AS text FROM paragraphs WHERE video_id IS NOT NULL AND text IS NOT NULL GROUP BY video_id, n),
+l AS (SELECT video_id, n, list_filter(string_split_regex(text, '\r\n|[\n\r]'), lambda x: trim(x) <> '') AS ls FROM p),
+x AS (SELECT video_id, n, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM l),
+k AS (SELECT video_id, n, line_no, regexp_replace(replace(lower(line), 'ß', 'ss'), '[^\p{L}]+', '', 'g') AS key FROM x),
+j AS (SELECT k.*, src.channel, length(key) >= 20 AS counts FROM k JOIN src USING (video_id) WHERE key <> ''),
+c AS (SELECT channel, key FROM j JOIN tot USING (channel) WHERE counts GROUP BY channel, key, total HAVING count(DISTINCT video_id) >= 3 AND count(DISTINCT video_id) >= total * 0.1)"""
 SQL = {
     "p2_found": _P2
     + r""",
@@ -168,16 +186,17 @@ SELECT video_id FROM t JOIN n USING (video_id) WHERE repeated / words >= 0.3""",
 d AS (SELECT video_id, count(*) AS lines, count(*) FILTER (removed) AS removed, sum(words)::BIGINT AS words, coalesce(sum(words) FILTER (removed), 0)::BIGINT AS lost, sum(repeated)::BIGINT AS repeated FROM q GROUP BY video_id)
 SELECT *, CASE WHEN words > 0 THEN repeated / words ELSE 0.0::DOUBLE END AS share, CASE WHEN words > 0 THEN repeated / words ELSE 0 END >= 0.3 AS rejected,
 CASE WHEN words > 0 THEN lost / words ELSE 0 END >= 0.3 AS too_little_left FROM d""",
-    "p6_found": r"""
-WITH src AS (SELECT DISTINCT video_id, channel FROM recordings WHERE channel IS NOT NULL AND video_id IS NOT NULL),
-tot AS (SELECT channel, count(*) AS total FROM src GROUP BY channel),
-p AS (SELECT video_id, n, min(text) AS text FROM paragraphs WHERE video_id IS NOT NULL AND text IS NOT NULL GROUP BY video_id, n),
-l AS (SELECT video_id, n, list_filter(string_split_regex(text, '\r\n|[\n\r]'), lambda x: trim(x) <> '') AS ls FROM p),
-x AS (SELECT video_id, n, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM l),
-k AS (SELECT video_id, n, line_no, regexp_replace(replace(lower(line), 'ß', 'ss'), '[^\p{L}]+', '', 'g') AS key FROM x),
-j AS (SELECT k.*, src.channel FROM k JOIN src USING (video_id) WHERE length(key) >= 20),
-c AS (SELECT channel, key, count(DISTINCT video_id) AS docs FROM j GROUP BY channel, key)
-SELECT video_id, n, line_no::INTEGER AS line_no FROM j JOIN c USING (channel, key) JOIN tot USING (channel) WHERE docs >= 3 AND docs >= total * 0.1""",
+    "p6_found": _P6 + " SELECT video_id, n, line_no::INTEGER AS line_no FROM j JOIN c USING (channel, key) WHERE counts",
+    "p6_clean": _P6
+    + r""",
+e AS (SELECT a.channel, a.video_id, a.n, a.line_no, a.key, b.key AS other FROM j a JOIN j b ON a.video_id = b.video_id AND a.n = b.n AND b.line_no = a.line_no + 1 WHERE a.counts OR b.counts),
+f AS (SELECT channel, key, other FROM e JOIN tot USING (channel) GROUP BY channel, key, other, total HAVING count(DISTINCT video_id) >= 3 AND count(DISTINCT video_id) >= total * 0.1),
+z AS (SELECT DISTINCT e.channel, e.video_id, e.n, unnest([e.line_no, e.line_no + 1]) AS line_no FROM e JOIN f USING (channel, key, other)),
+bad AS (SELECT video_id, n, line_no FROM j JOIN c USING (channel, key) WHERE counts UNION SELECT video_id, n, line_no FROM j JOIN z USING (channel, video_id, n, line_no) WHERE NOT counts),
+w AS (SELECT video_id, n, list(line_no) AS bad FROM bad GROUP BY video_id, n),
+base AS (SELECT video_id, n, min(text) AS text FROM paragraphs GROUP BY video_id, n)
+SELECT base.video_id, base.n, CASE WHEN bad IS NULL THEN base.text ELSE array_to_string([x[1] FOR x IN list_zip(ls, range(1, len(ls) + 1)) IF NOT list_contains(bad, x[2])], chr(10)) END AS text,
+coalesce(len(bad), 0)::INTEGER AS removed FROM base LEFT JOIN w ON base.video_id IS NOT DISTINCT FROM w.video_id AND base.n IS NOT DISTINCT FROM w.n LEFT JOIN l ON l.video_id = base.video_id AND l.n = base.n""",
 }
 
 

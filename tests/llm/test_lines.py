@@ -38,6 +38,17 @@ def test_blocks_are_components(spark):
     assert got[key[a]] == got[key[b]] != got[key[c]] and len(got) == 3
 
 
+def test_edges_decide_on_short_lines(spark):
+    """By its own support a short line would go everywhere or nowhere; it goes where it stands beside its block, and what follows it elsewhere stays."""
+    legal = "no part of this recording may be used again"
+    rows = [(f"v{i}", 1, f"Thanks!\n{legal}\nbody {'vwxyz'[i]}") for i in range(5)] + [(f"v{i}", 2, "Thanks!\nI mean it") for i in range(5)] + [(f"v{i}", 3, f"{legal}\nthat was it {'abcde'[i]}") for i in range(5)] + [("v0", 4, "Hm\nThanks!"), ("v1", 4, None)]
+    p = spark.createDataFrame(rows, "video_id string, n int, text string")
+    r = spark.createDataFrame([(f"v{i}", "show") for i in range(5)], "video_id string, channel string")
+    got = {(x.video_id, x.n): (x.text, x.removed) for x in B.without_repeated_lines(p, r).collect()}
+    assert got["v0", 1] == ("body v", 2) and got["v0", 2] == ("Thanks!\nI mean it", 0) and got["v0", 3] == ("that was it a", 1) and got["v0", 4] == ("Hm\nThanks!", 0) and got["v1", 4] == (None, 0)
+    assert {(x.n, x.line_no, x.joined) for x in B.repeated_lines(p, r).collect()} == {(1, 1, True), (1, 2, False), (3, 1, False)}
+
+
 def brute(lines):
     words = []
     for _, t in sorted(lines):
