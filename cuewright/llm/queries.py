@@ -54,6 +54,14 @@ def _p1(spark: SparkSession, d: str) -> DataFrame:
     return out.select("video_id", F.col("first_n").cast("int").alias("first_n"), F.col("last_n").cast("int").alias("last_n"), F.col("ord").cast("int").alias("ord"), "speaker")
 
 
+def _p1_text(spark: SparkSession, d: str) -> DataFrame:
+    """The cleaned speech of every turn, line by line."""
+    from cuewright.llm.turns import turn_text
+
+    ship(spark)
+    return turn_text(table(spark, d, "paragraphs"), table(spark, d, "known"))
+
+
 def _p3(spark: SparkSession, d: str) -> DataFrame:
     from cuewright.llm.sentences import sentences
 
@@ -142,7 +150,7 @@ def _p2_left(spark: SparkSession, d: str) -> DataFrame:
     return judged(_spoken(spark, d), "video_id", "seq", "text")
 
 
-QUERIES = {"p1_found": _p1, "p2_found": _p2, "p2_lines": _p2_lines, "p2_left": _p2_left, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p6_clean": _p6_clean, "p7_found": _p7, "p7_members": _p7_members, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p10_found": _p10, "p10_classes": _p10_classes}
+QUERIES = {"p1_found": _p1, "p1_text": _p1_text, "p2_found": _p2, "p2_lines": _p2_lines, "p2_left": _p2_left, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p6_clean": _p6_clean, "p7_found": _p7, "p7_members": _p7_members, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p10_found": _p10, "p10_classes": _p10_classes}
 _P2 = r"""
 WITH r AS (SELECT DISTINCT video_id FROM recordings WHERE lang IN ('en', 'de', 'es', 'fr', 'hi')),
 s AS (SELECT video_id, seq, min(text) AS text FROM segments JOIN r USING (video_id) WHERE seq IS NOT NULL GROUP BY video_id, seq),

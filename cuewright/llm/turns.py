@@ -1,15 +1,21 @@
 """Transcripts into clean, ordered speaker turns (problem 1).
 
-Every line is a sequence of tokens, each with a symbol for its shape; a hidden Markov model tags them as speaker, timestamp,
-annotation, filler or speech, decoded by Viterbi for a whole batch at once. Its tables are counted on a bounded sample whose
-unambiguous symbols carry their tag, then re-estimated by decoding the sample again. What could be a label is linked to the names the metadata of the recording knows first,
-as that it means one is a symbol of its own; a label is what is decoded as speaker. Turns are runs of one speaker over the speech, in the order of time.
+Every line is a sequence of tokens, tagged as speaker, timestamp, annotation, filler or speech by a sequence model and decoded by Viterbi for a whole batch at once. What a
+token looks like (its kind, the words in it, case, marks, length, where it stands, what stands beside it) gives a log-linear score of each tag, and steps from tag to tag are scored by how
+often they follow. The model is fitted on a bounded sample: tokens of a reliable look carry their tag (times, numbered labels, listed notes and fillers, other words), each
+once as it is and once with lists and words hidden, so that what surrounds a note or a filler carries over to ones no list has. What the tags say is all that decides: a
+label is what is decoded as speaker, and only what is decoded as speech is kept.
+
+An opening that could be a label is read twice, as one that means a known name and as one that means nobody; which of them holds is settled by the names the metadata of
+the recording knows. Turns are runs of one speaker over the speech, in the order of time.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,198 +33,302 @@ from cuewright.session import cut
 
 TAGS = ("speaker", "timestamp", "annotation", "filler", "speech")
 SPEAKER, STAMP, NOTE, FILLER, SPEECH = range(5)
-SYMBOLS = ("marker", "time", "label_syntax", "label_colon", "label_number", "note", "bracket_short", "bracket_long", "filler", "maybe_filler", "word", "marks", "label_known")
-_SYM = {s: i for i, s in enumerate(SYMBOLS)}
-#: Symbols whose tag is certain.
-_SURE = {"time": STAMP, "label_syntax": SPEAKER, "label_number": SPEAKER, "note": NOTE, "bracket_long": SPEECH, "filler": FILLER, "word": SPEECH, "marker": SPEAKER, "label_known": SPEAKER}
-#: Paragraphs the model is counted on, at most.
-SAMPLE = 4000
+KINDS = ("marker", "time", "bold", "voice", "colon", "dash", "bracket", "word", "marks")
+MARKER, TIMED, BOLD, VOICE, COLON, DASH, BRACKET, WORD, MARKS = range(9)
+#: What a list says of a token: a note, a filler, maybe one, a numbered label, a label that means a known name.
+NOTED, FILLED, MAYBE, NUMBER, KNOWN = range(1, 6)
+_FORMS = {"bold": BOLD, "voice": VOICE, "colon": COLON, "dash": DASH, "square": BRACKET}
+#: Paragraphs the model is fitted on, at most, and one in how many of their plain words.
+SAMPLE, PLAIN = 3000, 8
+BITS = 15
 #: Time and order are cut into buckets of so many ms and paragraphs.
 BUCKET_MS, BUCKET_N = 1_800_000, 512
 _WORD = re.compile(r"\S+")
 #: A change marker that opens a text, time marks aside.
 _OPENING = re.compile(rf"(?:\s|{TIME.pattern})*>>")
-_EDGE = re.compile(r"^[^\wऀ-෿฀-๿]+|[^\wऀ-෿฀-๿]+$")
+_EDGE = re.compile(r"^[^\w\u0900-\u0dff\u0e00-\u0e7f]+|[^\w\u0900-\u0dff\u0e00-\u0e7f]+$")
+_SOUND = re.compile(r"^([a-zà-ÿ])\1*([hmrn]?)\2*$")
+_PHRASES = {tuple(p.split()) for p in FILLER_PHRASES}
+_HEADS = {p[0] for p in _PHRASES}
 
 
-@lru_cache(1 << 16)
-def _plain(token: str) -> tuple[int, str]:
-    """(symbol, the word in it) of a plain token."""
-    bare = _EDGE.sub("", token).lower()
-    return _SYM["marks" if not bare else "filler" if is_filler(bare) else "maybe_filler" if bare in MAYBE_FILLERS else "word"], bare
+class Token(NamedTuple):
+    start: int
+    end: int
+    kind: int
+    flag: int  # what a list says, or 0
+    shape: int
+    word: int  # a hash of the words in it
+    span: object
 
 
-_PHRASES = {tuple(p.split()) for p in FILLER_PHRASES}
-_HEADS = {p[0] for p in _PHRASES}
+def _case(w: str) -> int:
+    if any(c.isdigit() for c in w):
+        return 5
+    return 0 if w.islower() else 1 if w.isupper() else 2 if w.istitle() else 3 if w.lower() == w.upper() else 4
+
 
+def _tail(token: str) -> int:
+    return 0 if token[-1].isalnum() else 1 if token[-1] in ",，、" else 2 if token.endswith(("...", "…", "--", "—")) else 3 if token[-1] in ".。।" else 4 if token[-1] in "?!？！" else 5
 
-def tokens(text: str, a: int, z: int, means=()) -> list[tuple[int, int, int, object]]:
-    """(start, end, symbol, span or None) of the tokens of a unit; means: the labels that mean a known name."""
+
+@lru_cache(1 << 16)
+def _plain(token: str) -> tuple[int, int, int, int, str]:
+    """(kind, flag, shape, hash, the word in it) of a plain token."""
+    bare = _EDGE.sub("", token)
+    low = bare.lower()
+    if not bare:
+        return MARKS, 0, _tail(token), 0, ""
+    size = len(bare) if len(bare) < 4 else 4 if len(bare) < 7 else 5 if len(bare) < 13 else 0
+    shape = ((_case(bare) * 6 + _tail(token)) * 6 + size) * 2 + bool(_SOUND.match(low))
+    return WORD, FILLED if is_filler(low) else MAYBE if low in MAYBE_FILLERS else 0, shape, zlib.crc32(low.encode()), low
+
+
+@lru_cache(1 << 14)
+def _spanned(text: str, kind: int) -> tuple[int, int]:
+    """(shape, hash) of a label or of what stands in brackets."""
+    w = text.strip("[](){}<>*♪♫（）【】 ").split()
+    if not w:
+        return 1, 0
+    shape = ((min(len(w), 5) * 3 + (0 if w[-1][-1].isalnum() else 1 if w[-1][-1] in ".!?。！？…" else 2)) * 5 + _case(w[0])) * 8 + 4 * w[0][0].isdigit() + 2 * text.isascii() + (len(w) > 3)
+    return shape, zlib.crc32(w[0].lower().encode())
+
+
+def tokens(text: str, a: int, z: int) -> list[Token]:
+    """The tokens of a unit."""
     out, at = [], a
-    spans = scan(text, a, z)
-    for x in [*spans, None]:
+    for x in [*scan(text, a, z), None]:
         stop = x.start if x else z
         plain, k = [(m.start(), m.end(), *_plain(m.group())) for m in _WORD.finditer(text, at, stop)], 0
         while k < len(plain):
-            i, j, sym, bare = plain[k]
-            if bare in _HEADS and k + 1 < len(plain) and (bare, plain[k + 1][3]) in _PHRASES:
+            i, j, kind, flag, shape, word, low = plain[k]
+            if low in _HEADS and k + 1 < len(plain) and (low, plain[k + 1][6]) in _PHRASES:
                 k += 1
-                j, sym = plain[k][1], _SYM["maybe_filler"]
-            out.append((i, j, sym, None))
+                j, flag = plain[k][1], MAYBE
+            out.append(Token(i, j, kind, flag, shape, word, None))
             k += 1
         if x:
             if x.kind == "label":
-                sym = "label_number" if NUMBERED.match(x.text) else "label_known" if x.text in means else "label_syntax" if x.form in ("bold", "voice") else "label_colon" if x.form in ("colon", "dash") else "bracket_short"
-            elif x.kind == "bracket":
-                sym = "bracket_long" if len(x.text.split()) > 3 or x.text[-2:-1] in ".!?。！？…" or x.text[1:2].isdigit() or not x.text.isascii() else "bracket_short"
+                kind, flag = _FORMS[x.form], NUMBER if NUMBERED.match(x.text) else 0
             else:
-                sym = x.kind
-            out.append((x.start, x.end, _SYM[sym], x))
+                kind = MARKER if x.kind == "marker" else TIMED if x.kind == "time" else BRACKET
+                flag = NOTED if x.kind == "note" else 0
+            out.append(Token(x.start, x.end, kind, flag, *(_spanned(x.text, kind) if kind not in (MARKER, TIMED) else (0, 0)), x))
             at = x.end
     return out
 
 
-def _decode(obs: list[list[int]], first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> list[np.ndarray]:
-    """Viterbi, all sequences in step, longest first; tables are logarithms."""
-    if not obs:
-        return []
-    order = sorted(range(len(obs)), key=lambda i: -len(obs[i]))
-    size = np.array([len(obs[i]) for i in order])
-    longest, k = int(size[0]), len(first)
-    grid = np.zeros((len(obs), longest), np.int16)
-    for r, i in enumerate(order):
-        grid[r, : len(obs[i])] = obs[i]
-    back = np.zeros((longest, len(obs), k), np.int8)
-    score = first + emit[:, grid[:, 0]].T
-    final = np.zeros(len(obs), np.int64)
-    for t in range(1, longest):
-        n = int((size > t).sum())
-        step = score[:n, :, None] + move
-        back[t, :n] = step.argmax(1)
-        score[:n] = step.max(1) + emit[:, grid[:n, t]].T
-    final = score.argmax(1)
-    out: list[np.ndarray] = [None] * len(obs)  # type: ignore[list-item]
-    for r, i in enumerate(order):
-        tag, path = int(final[r]), np.zeros(size[r], np.int8)
-        for t in range(size[r] - 1, -1, -1):
-            path[t] = tag
-            tag = int(back[t, r, tag])
-        out[i] = path
+_FLAGS = (1, 10, 11)  # what lists say
+_HIDE = (*_FLAGS, 3)  # what is hidden in the second copy
+
+
+def _ids(seqs: list[list[Token]]) -> np.ndarray:
+    """Hashed features of all tokens of some sequences, one row a token."""
+    size = np.array([len(s) for s in seqs])
+    x = np.array([t[2:6] for s in seqs for t in s], np.int64).reshape(-1, 4)
+    kind, flag, shape, word = x.T
+    end = np.cumsum(size)
+    first, last = np.zeros(len(kind), bool), np.zeros(len(kind), bool)
+    first[end - size], last[end - 1] = True, True
+    before, after, then = np.full(len(kind), 20), np.full(len(kind), 20), np.full(len(kind), 20)
+    before[1:], after[:-1], then[:-1] = kind[:-1], kind[1:], shape[1:] // 72
+    before[first], after[last], then[last] = 20, 20, 20
+    place = first * 2 + last
+    none = np.full(len(kind), 1 << 20)
+    columns = [kind, np.where(flag > 0, kind * 8 + flag, none), kind * 4096 + shape, np.where(word > 0, kind + word * 16, none), kind * 4 + place, kind * 32 + before, kind * 32 + after, (kind * 4096 + shape) * 4 + place, kind * 32 + then, (before * 32 + kind) * 32 + after, np.where(flag > 0, flag, none), np.where(flag > 0, flag * 4 + place, none)]
+    out = np.empty((len(kind), len(columns)), np.int64)
+    for i, c in enumerate(columns):
+        h = (c.astype(np.uint64) * np.uint64(2 * len(columns)) + np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, i] = np.where(c == 1 << 20, (1 << BITS) - 1, (h >> np.uint64(64 - BITS)).astype(np.int64) % ((1 << BITS) - 1))
     return out
 
 
-def decode(obs, tables, chunk: int = 512):
-    """In chunks of sequences of like length; what a chunk holds is bounded by its longest sequence times its number."""
-    order = sorted(range(len(obs)), key=lambda i: len(obs[i]))
-    out = [None] * len(obs)
+class Model(NamedTuple):
+    weight: np.ndarray  # features by tags; the last feature weighs nothing
+    prior: np.ndarray
+    first: np.ndarray
+    move: np.ndarray
+
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        """Of each token and tag: the logarithm of how much likelier the look makes the tag."""
+        s = self.weight[ids].sum(1)
+        s -= s.max(1, keepdims=True)
+        return s - np.log(np.exp(s).sum(1, keepdims=True)) - self.prior / 2
+
+
+def decode(seqs: list[list[Token]], m: Model, cells: int = 400_000) -> list[np.ndarray]:
+    """Viterbi: the tags of each sequence; all of like length in step, in chunks of a bounded number of cells."""
+    out: list = [None] * len(seqs)
+    order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
     k = 0
     while k < len(order):
-        longest = max(1, len(obs[order[min(k + chunk, len(order)) - 1]]))
-        n = min(chunk, max(1, 400_000 // longest))
+        n = max(1, min(2048, cells // max(1, len(seqs[order[k]]))))
         part = order[k : k + n]
-        for i, path in zip(part, _decode([obs[i] for i in part], *tables)):
-            out[i] = path
         k += n
+        size = np.array([len(seqs[i]) for i in part])
+        if not size[0]:
+            for i in part:
+                out[i] = np.zeros(0, np.int8)
+            continue
+        part, size = [i for i in part if seqs[i]], size[size > 0]
+        emit = m.scores(_ids([seqs[i] for i in part]))
+        begin = np.cumsum(size) - size
+        longest = int(size[0])
+        back, score = np.zeros((longest, len(part), len(TAGS)), np.int8), m.first + emit[begin]
+        for t in range(1, longest):
+            live = int((size > t).sum())
+            step = score[:live, :, None] + m.move
+            back[t, :live] = step.argmax(1)
+            score[:live] = step.max(1) + emit[begin[:live] + t]
+        path = np.zeros((longest, len(part)), np.int8)
+        now = score.argmax(1)
+        for t in range(longest - 1, -1, -1):
+            live = int((size > t).sum())
+            path[t, :live] = now[:live]
+            if t:
+                now[:live] = back[t, np.arange(live), now[:live]]
+        for r, i in enumerate(part):
+            out[i] = path[: size[r], r]
+    for i, s in enumerate(seqs):
+        if out[i] is None:
+            out[i] = np.zeros(0, np.int8)
     return out
 
 
-def fit(texts: list[str], rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, move, emit) as logarithms: counted where symbols are certain, then from decoded paths."""
-    seqs = [o for t in texts for a, z in units(t or "") if (o := [x[2] for x in tokens(t, a, z)])]
-    n, m = len(TAGS), len(SYMBOLS)
-    prior = np.full((n, m), 0.01)
-    for s, tag in _SURE.items():
-        prior[:, _SYM[s]] = 1e-6
-        prior[tag, _SYM[s]] = 5.0
-    for s, tags in {"label_colon": (SPEAKER, SPEECH), "bracket_short": (NOTE, SPEAKER, SPEECH), "maybe_filler": (FILLER, SPEECH), "marks": (NOTE, SPEECH)}.items():
-        prior[list(tags), _SYM[s]] = 1.0
-    first, move, emit = np.ones(n), np.ones((n, n)), prior.copy()
-    sure = {_SYM[s]: t for s, t in _SURE.items()}
-    for o in seqs:
-        tags = [sure.get(x, -1) for x in o]
-        if tags[0] >= 0:
-            first[tags[0]] += 1
-        for p, q, x in zip([-1, *tags], tags, o):
-            if q >= 0:
-                emit[q, x] += 1
-                if p >= 0:
-                    move[p, q] += 1
-    norm = lambda c: np.log(c / c.sum(-1, keepdims=True))
+def seed(t: Token) -> int:
+    """The tag of a token of a reliable look, else -1."""
+    if t.kind == TIMED:
+        return STAMP
+    if t.kind in (MARKER, BOLD, VOICE) or t.flag in (NUMBER, KNOWN):
+        return SPEAKER
+    if t.kind == BRACKET:
+        return NOTE if t.flag == NOTED else SPEECH if isinstance(t.span, tuple) and (len(t.span.text.split()) > 4 or t.span.text[-2:-1] in ".!?。！？…") else -1
+    if t.kind == WORD:
+        return FILLER if t.flag == FILLED else -1 if t.flag == MAYBE else SPEECH
+    return SPEECH if t.kind == MARKS else -1
+
+
+#: Lines of every kind of token, so that a model fitted on few texts knows them all.
+_SEEDS = (
+    "[00:00:01] >> Speaker 1: hello there everyone\nand this goes on (laughter)\nUm, yes, uh, it does.\n[music]\n♪♪\n*sighs*\n<noise>\n(The tray was never painted.)\n[We all went home after that.]\n**Speaker 2**: well\n<v Speaker 3> no\n"
+    "[speaker 4] so\nSpeaker 5 -- right\nEuh...\n[applause]\nHmm.\n(laughs) Okay then\nYes.\nNo.\nOf course.\nAnd?\n>> Right.\nwe said it, and they heard it."
+)
+
+
+def fit(texts: list[str], rounds: int = 150, l2: float = 1e-6) -> Model:
+    """Fitted on the tokens of the texts (and of a few lines that show every kind) whose look is reliable."""
+    seqs = [o for t in [_SEEDS, *texts] for a, z in units(t or "") if (o := tokens(t, a, z))]
+    flat = [t for s in seqs for t in s]
+    ids, want = _ids(seqs), np.array([seed(t) for t in flat])
+    # A label that means a known name is one, whatever it looks like: labels, and notes that open a line, are shown as such too.
+    known = [[*s[:i], t._replace(flag=KNOWN), *s[i + 1 :]] for s in seqs for i, t in enumerate(s) if t.span is not None and (t.span.kind == "label" or (t.flag == NOTED and i == 0))]
+    at = np.cumsum([0] + [len(s) for s in known])
+    of = [a + next(i for i, t in enumerate(s) if t.flag == KNOWN) for a, s in zip(at, known)]
+    kind = np.array([t.kind for t in flat])
+    keep = (want >= 0) & ((kind != WORD) | (want != SPEECH) | (np.arange(len(flat)) % PLAIN == 0) | (np.array([len(s) for s in seqs]).repeat([len(s) for s in seqs]) < 3))
+    weight = np.where((kind == WORD) & (want == SPEECH), float(PLAIN), 1.0)[keep]
+    x, y = [ids[keep]], [want[keep]]
+    hidden = ids[keep].copy()
+    hidden[:, list(_HIDE)] = (1 << BITS) - 1
+    x.append(hidden)
+    y.append(want[keep])
+    weights = [weight, weight / 2]
+    if of:
+        told = _ids(known)[of]
+        bare = np.full_like(told, (1 << BITS) - 1)
+        bare[:, _FLAGS] = told[:, _FLAGS]  # once by nothing but what is known of it
+        x += [told, bare]
+        y += [np.full(len(of), SPEAKER)] * 2
+        weights += [np.full(len(of), 50.0)] * 2
+    x, inverse = np.unique(np.column_stack([np.concatenate(x), np.concatenate(y)]), axis=0, return_inverse=True)
+    c = np.bincount(inverse.ravel(), np.concatenate(weights))
+    x, y = x[:, :-1], x[:, -1]
+    c = np.sqrt(c) / np.sqrt(c).sum()  # frequent looks count more, but do not drown the rare
+    w, g2, hot = np.zeros((1 << BITS, len(TAGS))), np.full((1 << BITS, len(TAGS)), 1e-8), np.eye(len(TAGS))[y]
     for _ in range(rounds):
-        paths = decode(seqs, (norm(first), norm(move), norm(emit)))
-        first, move, emit = np.ones(n), np.ones((n, n)), prior.copy()
-        for o, path in zip(seqs, paths):
-            first[path[0]] += 1
-            np.add.at(emit, (path, np.array(o)), 1)
-            np.add.at(move, (path[:-1], path[1:]), 1)
-    return norm(first), norm(move), norm(emit)
-
-
-def tagged_units(paragraphs: DataFrame, tables, text: bool = True) -> DataFrame:
-    """Rows (video_id, n, turn, ms, unit, opens, label, form, number, speech, clean) of the units of each paragraph (video_id, n, turn, ms, text, and, if it is there, means: the labels in it that mean a known name).
-
-    opens: a change marker stands before any word; label: the tokens of a speaker's label, if they are decoded as one (decoded as speech they are words of it); number: its number if it is a numbered one; speech: holds a word of speech;
-    clean: the words of speech; null unless `text`.
-    """
-    with_text, named = text, "means" in paragraphs.columns
+        s = w[x].sum(1)
+        p = np.exp(s - s.max(1, keepdims=True))
+        d = (p / p.sum(1, keepdims=True) - hot) * c[:, None]
+        g = np.stack([np.bincount(x.ravel(), np.repeat(d[:, k], x.shape[1]), minlength=len(w)) for k in range(len(TAGS))], 1) + l2 * w
+        g2 += g * g
+        w -= 0.5 * g / np.sqrt(g2)
+        w[-1] = 0
+    prior = np.log((hot * c[:, None]).sum(0) + 1e-4)
+    # Steps from tag to tag, counted on what the looks alone say.
+    local = w[ids].sum(1).argmax(1)
+    size = np.array([len(s) for s in seqs])
+    begins = np.zeros(len(local), bool)
+    begins[np.cumsum(size) - size] = True
+    first, move = np.ones(len(TAGS)), np.ones((len(TAGS), len(TAGS)))
+    np.add.at(first, local[begins], 1)
+    inner = np.flatnonzero(~begins)
+    np.add.at(move, (local[inner - 1], local[inner]), 1)
+    norm = lambda v: np.log(v / v.sum(-1, keepdims=True))
+    return Model(w.astype(np.float32), prior, norm(first) / 2, norm(move) / 2)  # halved, as the looks hold some of it already
+
+
+_UNIT = [("unit", pa.int32(), T.IntegerType()), ("opens", pa.bool_(), T.BooleanType()), ("label", pa.string(), T.StringType()), ("form", pa.string(), T.StringType()), ("number", pa.int64(), T.LongType()), ("speech", pa.bool_(), T.BooleanType()),
+         ("clean", pa.string(), T.StringType()), ("known_label", pa.string(), T.StringType()), ("known_speech", pa.bool_(), T.BooleanType()), ("known_clean", pa.string(), T.StringType())]
+
+
+def _read(text: str, toks: list[Token], path: np.ndarray, with_text: bool) -> tuple:
+    """(label, form, number, speech, clean) of a unit as it is decoded."""
+    label = form = number = None
+    words, speech = [], False
+    for t, tag in zip(toks, path):
+        if tag == SPEAKER and t.span is not None and t.span.kind == "label":
+            label, form = t.span.text, t.span.form
+            m = NUMBERED.match(label)
+            number = int(m.group(1)) if m else None
+            if m is None and t.flag != KNOWN and form in ("colon", "dash") and with_text:
+                words.append(text[t.start : t.end])  # it means nobody: words before a colon
+        elif tag == SPEECH:
+            speech = speech or any(c.isalnum() for c in text[t.start : t.end])
+            if with_text:
+                words.append(text[t.start : t.end])
+    return label, form, number, speech, " ".join(words) if with_text else None
+
+
+def tagged_paragraphs(paragraphs: DataFrame, tables: Model, text: bool = True) -> DataFrame:
+    """Rows (video_id, n, turn, ms, units) of the paragraphs (video_id, n, turn, ms, text): units holds what tagged_units says of each of its lines."""
+    with_text = text
     b = paragraphs.sparkSession.sparkContext.broadcast(tables)
-    keys = paragraphs.schema["video_id"].dataType, paragraphs.schema["n"].dataType
-    schema = T.StructType(
-        [T.StructField("video_id", keys[0]), T.StructField("n", keys[1]), T.StructField("turn", T.LongType()), T.StructField("ms", T.LongType()), T.StructField("unit", T.IntegerType()), T.StructField("opens", T.BooleanType()), T.StructField("label", T.StringType()),
-         T.StructField("form", T.StringType()), T.StructField("number", T.LongType()), T.StructField("speech", T.BooleanType()), T.StructField("clean", T.StringType())]
-    )
+    d = paragraphs.select("video_id", "n", F.col("turn").cast("long").alias("turn"), F.col("ms").cast("long").alias("ms"), "text")
+    schema = T.StructType([*[d.schema[c] for c in ("video_id", "n", "turn", "ms")], T.StructField("units", T.ArrayType(T.StructType([T.StructField(n, k) for n, _, k in _UNIT])))])
 
     def run(batches):
-        kinds = (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string())
         for whole in batches:
             for lo in range(0, len(whole), 1000):
-                pdf = whole.slice(lo, 1000)
-                texts = pdf.column("text").to_pylist()
-                means = pdf.column("means").to_pylist() if named else [None] * len(texts)
-                where, toks = [], []
+                rows = whole.slice(lo, 1000)
+                where, seqs, texts = [], [], rows.column("text").to_pylist()
                 for i, t in enumerate(texts):
-                    us = units(t or "")
-                    for k, (a, z) in enumerate(us):
+                    for k, (a, z) in enumerate(units(t or "") or [(0, 0)]):
                         where.append((i, k))
-                        toks.append(tokens(t, a, z, means[i] or ()))
-                    if not us:
-                        where.append((i, 0))
-                        toks.append([])
-                full = [i for i, t in enumerate(toks) if t]
-                paths = dict(zip(full, decode([[x[2] for x in toks[i]] for i in full], b.value)))
-                rows = []
+                        seqs.append(tokens(t or "", a, z))
+                # Openings that could be labels, numbered ones aside, are read a second time as known ones.
+                twice = [(i, [t._replace(flag=KNOWN) if t.span is not None and t.span.kind == "label" else t for t in s]) for i, s in enumerate(seqs) if any(t.span is not None and t.span.kind == "label" and t.flag != NUMBER for t in s)]
+                paths = decode(seqs + [s for _, s in twice], b.value)
+                known = {i: _read(texts[where[i][0]], s, path, with_text) for (i, s), path in zip(twice, paths[len(seqs) :])}
+                out = []
                 for i, (p, k) in enumerate(where):
-                    text = texts[p] or ""
-                    label = form = number = None
-                    words = []
-                    for (a, z, _, span), tag in zip(toks[i], paths.get(i, ())):
-                        if tag == SPEAKER and span is not None and span.kind == "label":
-                            label, form = span.text, span.form
-                            m = NUMBERED.match(span.text)
-                            number = int(m.group(1)) if m else None
-                        elif tag == SPEECH:
-                            words.append(text[a:z])
-                    speech = any(c.isalnum() for w in words for c in w)
-                    rows.append((p, k, k == 0 and bool(_OPENING.match(text)), label, form, number, speech, " ".join(words) if with_text else None))
-                at = np.array([r[0] for r in rows])
-                yield pa.RecordBatch.from_arrays(
-                    [pdf.column(c).take(pa.array(at)) for c in ("video_id", "n", "turn", "ms")] + [pa.array([r[k] for r in rows], t) for k, t in zip(range(1, 8), kinds)], names=[f.name for f in schema.fields]
-                )
-
-    return paragraphs.select("video_id", "n", F.col("turn").cast("long").alias("turn"), "ms", "text", *(["means"] if named else [])).mapInArrow(run, schema)
-
-
-def label_candidates(paragraphs: DataFrame) -> DataFrame:
-    """Rows (video_id, n, label): what stands where a label can, numbered ones aside, in each paragraph (video_id, n, text)."""
-    schema = T.StructType([*[T.StructField(c, paragraphs.schema[c].dataType) for c in ("video_id", "n")], T.StructField("label", T.StringType())])
+                    t = texts[p] or ""
+                    other = known.get(i, (None, None, None, None, None))
+                    out.append((k, k == 0 and bool(_OPENING.match(t)), *_read(t, seqs[i], paths[i], with_text), other[0], other[3], other[4]))
+                count = np.bincount([p for p, _ in where], minlength=len(rows))
+                inner = pa.StructArray.from_arrays([pa.array([x[j] for x in out], kind) for j, (_, kind, _) in enumerate(_UNIT)], names=[x[0] for x in _UNIT])
+                offsets = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
+                yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("video_id", "n", "turn", "ms")] + [pa.ListArray.from_arrays(offsets, inner)], names=schema.names)
 
-    def run(batches):
-        for pdf in batches:
-            found = sorted({(i, x.text) for i, t in enumerate(pdf.column("text").to_pylist()) for a, z in units(t or "") for x in scan(t, a, z) if x.kind == "label" and not NUMBERED.match(x.text)})
-            at = pa.array([i for i, _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([pdf.column("video_id").take(at), pdf.column("n").take(at), pa.array([x for _, x in found], pa.string())], names=["video_id", "n", "label"])
+    return d.mapInArrow(run, schema)
 
-    return paragraphs.select("video_id", "n", "text").where(F.col("text").rlike(r"[:：\[*<—]|--")).mapInArrow(run, schema)
+
+def tagged_units(paragraphs: DataFrame, tables: Model, text: bool = True) -> DataFrame:
+    """Rows (video_id, n, turn, ms, unit, opens, label, form, number, speech, clean, known_label, known_speech, known_clean) of the units of each paragraph (video_id, n, turn, ms, text).
+
+    opens: a change marker stands before any word; label: a speaker's label, if its tokens are decoded as one (decoded as speech they are words); number: its number if it is a numbered one; speech: holds a
+    word of speech; clean: the words of speech, null unless `text`; known_*: the same if the label means a known name, null where there is none.
+    """
+    return tagged_paragraphs(paragraphs, tables, text).select("video_id", "n", "turn", "ms", F.explode("units").alias("u")).select("video_id", "n", "turn", "ms", "u.*")
 
 
 def _named(labels: DataFrame, known: DataFrame) -> DataFrame:
@@ -253,32 +363,36 @@ def _named(labels: DataFrame, known: DataFrame) -> DataFrame:
     return scored.groupBy("video_id", "label").agg(F.max(F.struct("s", F.col("name"))).alias("m"), F.max("s").alias("top"), F.min(F.struct((-F.col("s")).alias("s"), "name")).alias("best")).select("video_id", "label", F.col("best.name").alias("speaker"))
 
 
-def model(paragraphs: DataFrame, sample: int = SAMPLE):
+def model(paragraphs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` paragraphs, the same at every run."""
     return fit(fit_texts(paragraphs, "text", sample))
 
 
 def speech_units(paragraphs: DataFrame, known: DataFrame, sample: int = SAMPLE, text: bool = True) -> DataFrame:
-    """Rows (video_id, n, unit, t, an, speaker, run, clean): the units that are speech, in their order of time (t, an, n, unit), and the run of one speaker each lies in."""
+    """Rows (video_id, n, unit, t, an, speaker, run, clean): the units that are speech, in their order of time (t, an, n, unit), and the run of one speaker each lies in.
+
+    Texts are shuffled once, to drop repeated rows; what is scanned after that holds tags and labels only.
+    """
     p = paragraphs.select("video_id", "n", "start_ms", "timestamp", "turn", "text").where("video_id is not null and n is not null")
     p = p.groupBy("video_id", "n").agg(F.min(F.struct("text", "turn", "start_ms", "timestamp")).alias("x")).select("video_id", "n", "x.*")
     p = p.withColumn("ms", milliseconds(F.col("start_ms"), F.col("timestamp")))
-    p = cut(p)  # read twice
-    candidates = cut(label_candidates(p))
-    names = cut(_named(candidates.select("video_id", "label").distinct(), known))
-    means = candidates.join(names, ["video_id", "label"]).groupBy("video_id", "n").agg(F.collect_set("label").alias("means"))
-    tagged = cut(tagged_units(p.join(means, ["video_id", "n"], "left"), model(paragraphs, sample), text))
+    tagged = cut(tagged_paragraphs(p, model(paragraphs, sample), text))
+    labels = tagged.select("video_id", F.explode(F.array_distinct(F.transform("units", lambda u: u["known_label"]))).alias("label")).where("label is not null").distinct()
+    names = cut(_named(labels, known))
 
     # A paragraph whose time cannot be read follows the one before it by n.
-    times = tagged.where("unit = 0").select("video_id", "n", F.when(F.col("ms").isNotNull(), F.struct("ms", "n")).alias("own"), F.floor(F.col("n") / BUCKET_N).alias("nb"))
-    times = last_value(times, ["video_id"], "nb", ["n"], F.col("own"), "at")
-    times = times.select("video_id", "n", F.coalesce("at.ms", F.lit(-1)).alias("t"), F.coalesce("at.n", F.lit(-1)).alias("an"))
-    u = _join(tagged.join(times, ["video_id", "n"]), names, ["video_id", "label"])
-    u = u.withColumn("who", F.coalesce("speaker", F.concat(F.lit("speaker "), F.col("number").cast("string")))).drop("speaker")
-    # What looks like a label before a colon or dash but means nobody is speech; in brackets it is a note.
-    u = u.withColumn("speech", F.col("speech") | (F.col("who").isNull() & F.col("form").isin("colon", "dash") & F.col("label").isNotNull()))
-    u = cut(u.select("video_id", "n", "unit", "t", "an", F.floor(F.col("t") / BUCKET_MS).alias("b"), "turn", "opens", "who", "speech", "clean"))
-    s = cut(_speakers(u).where("speech").drop("speech"))
+    own = F.when(F.col("ms").isNotNull(), F.struct("ms", "n"))
+    tagged = last_value(tagged.withColumn("nb", F.floor(F.col("n") / BUCKET_N)), ["video_id"], "nb", ["n"], own, "at")
+    u = tagged.select("video_id", "n", "turn", F.coalesce("at.ms", F.lit(-1)).alias("t"), F.coalesce("at.n", F.lit(-1)).alias("an"), F.explode("units").alias("u"))
+    u = _join(u.withColumn("label", F.col("u.known_label")), names, ["video_id", "label"])
+    means = F.col("speaker").isNotNull()
+    # An opening before a colon or dash that means nobody is speech; in brackets it is a note.
+    nobody = F.col("u.number").isNull() & F.col("u.label").isNotNull() & F.col("u.form").isin("colon", "dash")
+    u = u.select(
+        "video_id", "n", "u.unit", "t", "an", F.floor(F.col("t") / BUCKET_MS).alias("b"), "turn", "u.opens", F.coalesce("speaker", F.when(F.col("u.label").isNotNull(), F.concat(F.lit("speaker "), F.col("u.number").cast("string")))).alias("who"),
+        F.when(means, F.col("u.known_speech")).otherwise(F.col("u.speech") | F.coalesce(nobody, F.lit(False))).alias("speech"), F.when(means, F.col("u.known_clean")).otherwise(F.col("u.clean")).alias("clean"),
+    )
+    s = cut(_speakers(cut(u)).where("speech").drop("speech"))
     return _runs(s)
 
 
@@ -339,5 +453,5 @@ def speaker_turns(paragraphs: DataFrame, known: DataFrame, sample: int = SAMPLE)
 
 
 def turn_text(paragraphs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Rows (video_id, run, speaker, n, unit, clean): the speech of each turn in pieces, without labels, marks, notes and fillers; order by n's time is (run, t, n, unit)."""
-    return speech_units(paragraphs, known, sample).select("video_id", "run", "speaker", "t", "n", "unit", "clean")
+    """Rows (video_id, run, speaker, t, an, n, unit, clean): the speech of each turn without labels, time marks, notes and fillers, in pieces of a line, as a turn may be of any length; their order is (run, t, an, n, unit)."""
+    return speech_units(paragraphs, known, sample).select("video_id", "run", "speaker", "t", "an", "n", "unit", "clean")
