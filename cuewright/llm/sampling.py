@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest text a model is fitted on, in characters; longer ones are only left out of the sample.
+#: Characters of a text a model is fitted on; of longer ones it sees a piece of so many, from wherever their hash says.
 FIT_CHARS = 10_000
 
 
@@ -23,5 +23,7 @@ def least_hashes(df: DataFrame, column: str, size: int, total: int | None = None
 
 
 def fit_texts(df: DataFrame, column: str, size: int) -> list[str]:
-    """Texts to fit a model on."""
-    return least_hashes(df.where(F.length(F.col(f"`{column}`")) <= FIT_CHARS), column, size)
+    """Texts to fit a model on, long ones in pieces."""
+    t = F.col(f"`{column}`")
+    begin = F.pmod(F.xxhash64(t), F.length(t) - FIT_CHARS + 1).cast("int") + 1
+    return least_hashes(df.select(F.when(F.length(t) <= FIT_CHARS, t).otherwise(F.substring(t, begin, F.lit(FIT_CHARS))).alias(column)), column, size)

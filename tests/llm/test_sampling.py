@@ -1,6 +1,6 @@
 """Samples that models are fitted on."""
 
-from cuewright.llm.sampling import fit_texts, least_hashes
+from cuewright.llm.sampling import FIT_CHARS, fit_texts, least_hashes
 
 
 def test_a_repeated_text_counts_once(spark):
@@ -12,3 +12,11 @@ def test_a_repeated_text_counts_once(spark):
     for hot in (want[0], want[9]):
         more = df.unionByName(spark.createDataFrame([(hot,)] * 100, "t string"))
         assert fit_texts(more, "t", 10) == want
+
+
+def test_long_texts_are_fitted_on_in_pieces(spark):
+    """A table of long texts only gives a sample too, of pieces from all over them."""
+    long_ = [" ".join(f"w{i}x{k}" for k in range(4000)) for i in range(20)]
+    got = fit_texts(spark.createDataFrame([(t,) for t in long_] + [("short",), (None,)], "t string"), "t", 30)
+    assert len(got) == 21 and "short" in got and all(len(t) <= FIT_CHARS and any(t in whole for whole in [*long_, "short"]) for t in got)
+    assert len({long_[i].find(t) for t in got for i in range(20) if t in long_[i]}) > 10

@@ -43,19 +43,35 @@ def test_accuracy_on_reliable_boundaries(spark, data):
     right = total = 0
     for t in texts[1::2]:
         for a, z in S.units(t):
-            for _, f, _, label in S.candidates(S.blanked(t, a, z)[0]):
+            for _, f, label in S.candidates(S.blanked(t, a, z)[0]):
                 if label >= 0:
                     total += 1
-                    right += (w[S._ids(f)].sum() > 0) == (label == 1)
+                    right += (w[S._ids([f])].sum() > 0) == (label == 1)
     assert total > 1000 and right / total > 0.995
 
 
+@pytest.mark.parametrize("text", ["ሰላም ለሁሉም።| እንዴት ነህ፧| ደህና ነኝ።|", "သူသွားခဲ့သည်။| ငါလာမည်။|", "គាត់បានទៅ។| ខ្ញុំមកហើយ។|", "Նա գնաց։| Ես եկա։|", "وہ گیا۔| میں آیا۔|"])
+def test_marks_of_other_scripts(text):
+    """Known before any data are seen."""
+    w = S.fit([])
+    plain = text.replace("|", "")
+    want, k = [], 0
+    for c in text:
+        want += [k] if c == "|" else []
+        k += c != "|"
+    assert S.ends(plain, w) == want
+
+
+def test_a_fit_on_nothing_still_finds_sentences():
+    assert S.ends("The door was open. Dr. Alt saw it. Nobody came!", S.fit([])) == [18, 34, 47]
+
+
 def test_rows(spark):
     ship(spark)
     rows = [("a", 1, "One. Two."), ("a", 1, "One. Two."), ("b", 1, None), ("c", 1, "  "), (None, 1, "x"), ("d", 1, "word " * 20000)]
     df = spark.createDataFrame([(*r, 5) for r in rows], "video_id string, n int, text string, end_pos int")
     got = sorted((r.video_id or "", r.n, r.end_pos) for r in S.sentences(df, ["video_id", "n"], "text").collect())
-    assert got == [("", 1, 1), ("a", 1, 4), ("a", 1, 9), ("d", 1, 99999)] or got == [("", 1, 1), ("a", 1, 9), ("d", 1, 99999)]  # a table this small may hold no reliable boundary
+    assert got == [("", 1, 1), ("a", 1, 4), ("a", 1, 9), ("d", 1, 99999)]
     assert S.sentences(df.limit(0), ["video_id", "n"], "text").collect() == []
 
 
