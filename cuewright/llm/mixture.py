@@ -15,8 +15,6 @@ from cuewright.session import cut
 
 #: Slices of the seeded order of a source; no task orders more than one slice.
 SLICES = 4096
-#: Sources a mixture may have; their sizes are all the driver holds.
-MOST_SOURCES = 100_000
 
 
 def default_tokenizer() -> str:
@@ -40,69 +38,58 @@ def with_tokens(df: DataFrame, text: str, out: str = "tokens", tokenizer: str |
 
     @F.pandas_udf(T.LongType())
     def count(x: pd.Series) -> pd.Series:
-        e = _encoder(path)
-        return x.map(lambda t: len(e.encode_ordinary(t)) if t else 0)
+        return pd.Series([len(t) for t in _encoder(path).encode_ordinary_batch([t or "" for t in x], num_threads=1)], dtype="int64")
 
     return df.withColumn(out, count(F.col(f"`{text}`")))
 
 
-def water_fill(sizes: dict[str, int], shares: dict[str, float], caps: dict[str, int], total: float | None = None) -> dict[str, float]:
-    """Tokens of each source: its share of `total` (all tokens there are), clamped at cap times its size; what that leaves over goes to the others by their shares, until none is over.
+def water_fill(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """Rows (source, target_share, max_repeat, size, wanted, whole, rest), one a target: its share of `total` (all there is), clamped at max_repeat times its size; what that leaves over goes to the others by their shares, until none is over.
 
-    If all are clamped the total cannot be reached, and all get their caps.
+    sizes: (source, size). Sources are clamped in the order of (what they can give / share): one is if it can give no more than its share of what those before it leave. If all are
+    clamped the total cannot be reached, and all give what they can. whole and rest: the times a source is used in full, and what is then missing. One row a source is sorted in one task, which may
+    spill; the driver holds nothing. Null sources are left out; a source listed twice has its shares added and the smaller cap.
     """
-    total = float(sum(sizes.values())) if total is None else float(total)
-    most = {s: float(sizes.get(s, 0)) * max(caps[s], 0) for s in shares}
-    open_, out, left = {s for s in shares if shares[s] > 0 and most[s] > 0}, dict.fromkeys(shares, 0.0), total
-    while open_:
-        weight = sum(shares[s] for s in sorted(open_))
-        over = {s for s in open_ if left * shares[s] / weight >= most[s]}
-        if not over:
-            for s in open_:
-                out[s] = left * shares[s] / weight
-            break
-        for s in sorted(over):
-            out[s] = most[s]
-            left -= most[s]
-        open_ -= over
-        left = max(left, 0.0)
-    return out
+    t = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeat").alias("max_repeat"))
+    p = t.join(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("size")), "source", "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
+    share, most = F.coalesce("target_share", F.lit(0.0)), F.col("size") * F.greatest(F.coalesce("max_repeat", F.lit(0)), F.lit(0)).cast("double")
+    p = p.withColumn("most", most).withColumn("open", (share > 0) & (most > 0))
+    p = p.withColumn("ratio", F.when(F.col("open"), F.try_divide(F.col("most"), share))).withColumn("gives", F.when(F.col("open"), F.col("most")).otherwise(0.0)).withColumn("asks", F.when(F.col("open"), share).otherwise(0.0))
+    by = Window.partitionBy(F.lit(0)).orderBy(F.col("ratio").asc_nulls_last(), "source")
+    whole = Window.partitionBy(F.lit(0))
+    all_ = F.sum(F.col("size").cast("double")).over(whole) if total is None else F.lit(float(total))
+    left = F.greatest(all_ - F.coalesce(F.sum("gives").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), F.lit(0.0))
+    p = p.withColumn("level", F.try_divide(left, F.sum("asks").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
+    level = F.max(F.when(F.col("open") & (F.col("ratio") > F.col("level")), F.col("level"))).over(whole)
+    wanted = F.when(~F.col("open"), 0.0).otherwise(F.least("most", F.coalesce(level, F.lit(float("inf"))) * share))
+    p = p.withColumn("target_share", share).withColumn("wanted", wanted)
+    times = F.least(F.floor(F.col("wanted") / F.greatest("size", F.lit(1)) + 1e-9), F.coalesce("max_repeat", F.lit(0))).cast("int")
+    return p.withColumn("whole", times).select("source", "target_share", "max_repeat", "size", "wanted", "whole", F.greatest(F.lit(0.0), F.col("wanted") - F.col("whole") * F.col("size")).alias("rest"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, total: float | None = None, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(copies, shares): rows (doc_id, source, tokens, copies) of the documents used, and rows (source, target_share, max_repeat, size, wanted, tokens, epochs, share), one a target.
 
     Each document is used floor(epochs) times; the fraction left is filled by documents in a seeded order until its tokens are reached, so a
-    source misses its tokens by less than one document. Null ids and sources, sources without target and documents without a token are not used; a repeated document
-    id counts once, with its least text; a source listed twice has its shares added and the smaller cap; nothing is sampled but that fraction, which is the feature.
+    source misses its tokens by less than one document. Tokens are counted where the texts lie: only (id, source, tokens, fingerprint) is shuffled. Null ids and sources, sources without target and documents without a token are not used; a repeated document
+    id counts once, with its least source and, of these, the least fingerprint of a text; a source listed twice has its shares added and the smaller cap; nothing is sampled but that fraction, which is the feature.
     """
-    t = targets.select(F.col("source").alias("source"), "target_share", "max_repeat").where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeat").alias("max_repeat"))
-    plan = t.orderBy("source").limit(MOST_SOURCES + 1).collect()
-    if len(plan) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("t")).where("doc_id is not null and source is not null")
-    d = with_tokens(d.groupBy("doc_id").agg(F.min(F.struct("source", "t")).alias("x")).select("doc_id", "x.source", "x.t"), "t", "tokens", tokenizer).drop("t").where("tokens > 0")
-    names = docs.sparkSession.createDataFrame([(r.source,) for r in plan], "source string")
-    d = cut(d.join(F.broadcast(names), "source", "left_semi"))  # read twice; tokens are counted once
-    sizes = {r.source: r.n for r in d.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    wanted = water_fill(sizes, {r.source: r.target_share or 0.0 for r in plan}, {r.source: r.max_repeat or 0 for r in plan}, total)
-    rows = []
-    for r in plan:
-        size = sizes.get(r.source, 0)
-        epochs = wanted[r.source] / size if size else 0.0
-        whole = min(int(epochs + 1e-9), r.max_repeat or 0)
-        rows.append((r.source, float(r.target_share or 0), r.max_repeat, size, wanted[r.source], whole, max(0.0, wanted[r.source] - whole * size)))
-    p = docs.sparkSession.createDataFrame(rows, "source string, target_share double, max_repeat int, size long, wanted double, whole int, rest double")
+    d = with_tokens(d, "t", "tokens", tokenizer).select("doc_id", F.struct("source", F.xxhash64("t").alias("h"), "tokens").alias("x"))
+    d = d.groupBy("doc_id").agg(F.min("x").alias("x")).select("doc_id", "x.source", "x.tokens").where("tokens > 0")
+    listed = targets.select(F.col("source")).where("source is not null").distinct()
+    d = cut(d.join(listed, "source", "left_semi"))  # read twice; tokens are counted once
+    p = cut(water_fill(d.groupBy("source").agg(F.sum("tokens").alias("size")), targets.select("source", "target_share", "max_repeat"), total))
     u = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
     o = d.withColumn("u", u).withColumn("b", F.shiftrightunsigned("u", 52))
     o = o.withColumn("u", F.shiftrightunsigned("u", 1))
     o = running_sum(o, ["source"], "b", ["u", "doc_id"], F.col("tokens"), "upto")
-    o = o.join(F.broadcast(p.select("source", "whole", "rest")), "source")
+    o = o.join(p.select("source", "whole", "rest"), "source")
     # The document across the edge is taken if more than half of it lies within.
     o = o.withColumn("copies", F.col("whole") + F.when(F.col("upto") - F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0))
     o = o.where("copies > 0").select("doc_id", "source", "tokens", F.col("copies").cast("int").alias("copies"))
     got = o.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
-    share = F.coalesce("tokens", F.lit(0)) / F.greatest(F.sum("tokens").over(Window.partitionBy(F.lit(0))), F.lit(1))  # one row a source, MOST_SOURCES at most
+    share = F.coalesce("tokens", F.lit(0)) / F.greatest(F.sum("tokens").over(Window.partitionBy(F.lit(0))), F.lit(1))  # one row a source
     s = p.join(got, "source", "left").select(
         "source", "target_share", "max_repeat", "size", "wanted", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / F.greatest("size", F.lit(1))).alias("epochs"), share.alias("share"),
     )

@@ -118,6 +118,14 @@ def _p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
+def _p9_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What each source gives of a mixture measured in characters, a size SQL knows too."""
+    from cuewright.llm.mixture import water_fill
+
+    sizes = table(spark, d, "documents").where("source is not null").groupBy("source").agg(F.sum("n_chars").alias("size"))
+    return water_fill(sizes.join(table(spark, d, "source_targets").select("source").distinct(), "source", "left_semi"), table(spark, d, "source_targets").select("source", "target_share", "max_repeat")).drop("rest")
+
+
 LETTERED = ("en", "de", "es", "fr", "hi")
 
 
@@ -150,7 +158,7 @@ def _p2_left(spark: SparkSession, d: str) -> DataFrame:
     return judged(_spoken(spark, d), "video_id", "seq", "text")
 
 
-QUERIES = {"p1_found": _p1, "p1_text": _p1_text, "p2_found": _p2, "p2_lines": _p2_lines, "p2_left": _p2_left, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p6_clean": _p6_clean, "p7_found": _p7, "p7_members": _p7_members, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p10_found": _p10, "p10_classes": _p10_classes}
+QUERIES = {"p1_found": _p1, "p1_text": _p1_text, "p2_found": _p2, "p2_lines": _p2_lines, "p2_left": _p2_left, "p3_found": _p3, "p4_found": _p4, "p4_pieces": _p4_pieces, "p6_found": _p6, "p6_clean": _p6_clean, "p7_found": _p7, "p7_members": _p7_members, "p8_found": _p8, "p9_mix": _p9, "p9_shares": _p9_shares, "p9_plan": _p9_plan, "p10_found": _p10, "p10_classes": _p10_classes}
 _P2 = r"""
 WITH r AS (SELECT DISTINCT video_id FROM recordings WHERE lang IN ('en', 'de', 'es', 'fr', 'hi')),
 s AS (SELECT video_id, seq, min(text) AS text FROM segments JOIN r USING (video_id) WHERE seq IS NOT NULL GROUP BY video_id, seq),
@@ -194,6 +202,15 @@ SELECT video_id FROM t JOIN n USING (video_id) WHERE repeated / words >= 0.3""",
 d AS (SELECT video_id, count(*) AS lines, count(*) FILTER (removed) AS removed, sum(words)::BIGINT AS words, coalesce(sum(words) FILTER (removed), 0)::BIGINT AS lost, sum(repeated)::BIGINT AS repeated FROM q GROUP BY video_id)
 SELECT *, CASE WHEN words > 0 THEN repeated / words ELSE 0.0::DOUBLE END AS share, CASE WHEN words > 0 THEN repeated / words ELSE 0 END >= 0.3 AS rejected,
 CASE WHEN words > 0 THEN lost / words ELSE 0 END >= 0.3 AS too_little_left FROM d""",
+    "p9_plan": r"""
+WITH z AS (SELECT source, sum(n_chars) AS size FROM documents WHERE source IS NOT NULL GROUP BY source),
+t AS (SELECT source, sum(target_share) AS target_share, min(max_repeat) AS max_repeat FROM source_targets WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT t.*, coalesce(size, 0)::BIGINT AS size, coalesce(size, 0) * max_repeat::DOUBLE AS most FROM t LEFT JOIN z USING (source)),
+-- The level at which all that is wanted adds up: the least of the levels that a number of clamped sources leaves, each checked against all sources.
+n AS (SELECT sum(size) AS total FROM p),
+k AS (SELECT a.source, (SELECT (any_value(n.total) - sum(CASE WHEN b.most / b.target_share < a.most / a.target_share THEN b.most ELSE 0 END)) / sum(CASE WHEN b.most / b.target_share >= a.most / a.target_share THEN b.target_share ELSE 0 END) FROM p b, n) AS level FROM p a WHERE most > 0),
+v AS (SELECT max(level) AS level FROM k JOIN p USING (source) WHERE p.most / p.target_share > k.level)
+SELECT source, target_share, max_repeat, size, least(most, coalesce(v.level, 1e300) * target_share) AS wanted, least(floor(least(most, coalesce(v.level, 1e300) * target_share) / greatest(size, 1) + 1e-9), max_repeat)::INTEGER AS whole FROM p, v""",
     "p6_found": _P6 + " SELECT video_id, n, line_no::INTEGER AS line_no FROM j JOIN c USING (channel, key) WHERE counts",
     "p6_clean": _P6
     + r""",

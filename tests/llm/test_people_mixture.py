@@ -112,12 +112,44 @@ def test_more_spellings_never_unlink(spark):
         assert len({v[n] for n in right + slips[:k]}) == 1 and v["Katherine Zollander"] == "katherine zollander", k
 
 
-def test_water_fill():
+def plain_fill(sizes, shares, caps, total):
+    """The rule, one round after the other."""
+    most = {s: float(sizes.get(s, 0)) * caps[s] for s in shares}
+    still, out, left = {s for s in shares if shares[s] > 0 and most[s] > 0}, dict.fromkeys(shares, 0.0), float(total)
+    while still:
+        weight = sum(shares[s] for s in still)
+        over = {s for s in still if left * shares[s] / weight >= most[s]}
+        if not over:
+            out |= {s: left * shares[s] / weight for s in still}
+            break
+        out |= {s: most[s] for s in over}
+        left = max(left - sum(most[s] for s in over), 0.0)
+        still -= over
+    return out
+
+
+def filled(spark, sizes, shares, caps, total=None):
+    d = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    t = spark.createDataFrame([(s, shares[s], caps[s]) for s in shares], "source string, target_share double, max_repeat int")
+    return {r.source: r.wanted for r in M.water_fill(d, t, total).collect()}
+
+
+def test_water_fill(spark):
     sizes, caps = {"a": 100, "b": 1000, "c": 10}, {"a": 2, "b": 4, "c": 3}
-    got = M.water_fill(sizes, {"a": 0.5, "b": 0.4, "c": 0.1}, caps)
+    got = filled(spark, sizes, {"a": 0.5, "b": 0.4, "c": 0.1}, caps)
     assert got["c"] == 30 and got["a"] == 200 and abs(sum(got.values()) - 1110) < 1e-6
-    assert M.water_fill({"a": 10}, {"a": 0.5, "z": 0.5}, {"a": 2, "z": 5}, total=1000) == {"a": 20, "z": 0.0}
-    assert M.water_fill({}, {"a": 1.0}, {"a": 3}) == {"a": 0.0}
+    assert filled(spark, {"a": 10}, {"a": 0.5, "z": 0.5}, {"a": 2, "z": 5}, total=1000) == {"a": 20, "z": 0.0}
+    assert filled(spark, {}, {"a": 1.0}, {"a": 3}) == {"a": 0.0}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_water_fill_against_rounds(spark, seed):
+    rng = random.Random(seed)
+    names = [f"s{i}" for i in range(30)]
+    sizes, caps = {s: rng.choice([0, 1, 50, 5000, 10**9]) for s in names if rng.random() < 0.9}, {s: rng.randrange(0, 5) for s in names}
+    shares = {s: rng.choice([0.0, 0.01, 0.2, rng.random()]) for s in names}
+    total = rng.choice([10, 10**5, 10**10, 10**11])
+    assert filled(spark, sizes, shares, caps, total) == pytest.approx(plain_fill(sizes, shares, caps, total))
 
 
 def test_mix(spark):
