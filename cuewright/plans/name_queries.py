@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import names as N
 from cuewright.functions import text as T
 from cuewright.operators import graph, render, resolve
-from cuewright.session import ship, table
+from cuewright.session import cut, ship, table
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def _corrected(spark, d):
     ship(spark)
     labels = _labels(spark, d)
     claims = labels.select("video_id", F.nullif("speaker", F.lit("")).alias("claimed")).where("claimed is not null").distinct()
-    return resolve.corrected(labels, resolve.canonicalise(claims, _known(spark, d)))
+    return cut(resolve.corrected(labels, resolve.canonicalise(claims, _known(spark, d))))  # every constraint reads it
 
 
 def violations(spark, d):
@@ -145,7 +145,7 @@ def _judged(spark, d):
     ship(spark)
     e = table(spark, d, "edges")
     claims = e.select("video_id", F.explode(F.array("from_name", "to_name")).alias("c")).where("c is not null").select("video_id", N.tidy_name(F.col("c")).alias("claimed")).distinct()
-    return graph.judge_edges(e, _texts(spark, d), table(spark, d, "recordings"), resolve.canonicalise(claims, _known(spark, d)))
+    return graph.judge_edges(e, _texts(spark, d), table(spark, d, "recordings"), cut(resolve.canonicalise(claims, _known(spark, d))))
 
 
 def edge_verdicts(spark, d):
@@ -227,6 +227,46 @@ def _tidy(c: str) -> str:
 _STOP = "[" + ", ".join(f"'{w}'" for w in N.NOT_A_NAME) + "]"
 _WORDS = lambda c: f"regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
 _EXACT = f"c AS (SELECT DISTINCT video_id, name AS claimed, {_fold('name')} AS key FROM people WHERE name IS NOT NULL), k AS (SELECT DISTINCT video_id, key AS kk, name AS kn FROM known)"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+
+
+def _parts(c: str, out: str, rel: str, carry: str) -> str:
+    """CTEs that give (carry, first, last) of the names c in rel, as `{out}`: 'Family, Given' put straight, titles and credentials left out, particles kept with the family."""
+    return f"""{out}0 AS (SELECT {carry}, list_filter(list_transform(string_split({c}, ','), lambda x: trim(x)), lambda x: x <> '') AS pc FROM {rel}),
+{out}1 AS (SELECT {carry}, list_filter(pc, lambda x, i: i = 1 OR len(list_filter(string_split_regex(x, '\\s+'), lambda w: NOT list_contains({_LIST(N.SUFFIXES)}, replace({_fold('w')}, ' ', '')))) > 0) AS pc FROM {out}0),
+{out}2 AS (SELECT {carry}, list_filter(list_transform(string_split_regex(CASE WHEN len(pc) > 1 THEN pc[2] || ' ' || pc[1] ELSE coalesce(pc[1], '') END, '\\s+'), lambda w: {_fold('w')}), lambda w: w <> '') AS w FROM {out}1),
+{out}3 AS (SELECT {carry}, w[1 + least(coalesce(list_position(list_transform(w, lambda x: list_contains({_LIST(N.TITLES)}, x)), false) - 1, len(w)), greatest(len(w) - 1, 0)):] AS w FROM {out}2),
+{out}4 AS (SELECT {carry}, w[:len(w) - least(coalesce(list_position(list_transform(list_reverse(w), lambda x: list_contains({_LIST(N.SUFFIXES)}, x)), false) - 1, len(w)), greatest(len(w) - 1, 0))] AS w FROM {out}3),
+{out} AS (SELECT {carry}, coalesce(w[1], '') AS f, CASE WHEN len(w) < 2 THEN '' ELSE array_to_string(w[len(w) - coalesce(list_position(list_transform(list_reverse(w[2:len(w) - 1]), lambda x: list_contains({_LIST(N.PARTICLES)}, x)), false) - 1, greatest(len(w) - 2, 0)):], ' ') END AS z FROM {out}4)"""
+
+
+def _near(pairs: str, out: str) -> str:
+    """CTEs that give the pairs (a, b) of words in `pairs` that are one slip apart, as `out`: twice the longest common subsequence is 0.85 of both lengths or more. A row of its table is the running maximum of what matches add."""
+    return f"""{out}0 AS (SELECT DISTINCT a, b FROM {pairs} WHERE a <> b AND length(a) >= {N.SLIP_SAFE} AND length(b) >= {N.SLIP_SAFE} AND 200.0 * least(length(a), length(b)) / (length(a) + length(b)) >= {N.SLIP_RATIO}),
+{out}1 AS (SELECT a, b, 0 AS i, list_transform(range(1, length(b) + 1), lambda k: 0) AS r FROM {out}0 UNION ALL
+SELECT a, b, i + 1, list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k], CASE WHEN substr(b, k, 1) = substr(a, i + 1, 1) THEN coalesce(r[k - 1], 0) + 1 ELSE 0 END)))) FROM {out}1 WHERE i < length(a)),
+{out} AS (SELECT a, b FROM {out}1 WHERE i = length(a) AND 200.0 * r[length(b)] / (length(a) + length(b)) >= {N.SLIP_RATIO})"""
+
+
+_CASCADE = f"""k AS (SELECT DISTINCT video_id, key AS kk, name AS kn, string_split(key, ' ') AS kw FROM known),
+c AS (SELECT DISTINCT video_id, claimed, {_fold('claimed')} AS key, string_split({_fold('claimed')}, ' ') AS cw FROM claims WHERE claimed IS NOT NULL),
+s1 AS (SELECT c.video_id, claimed, min(kn) AS n1 FROM c JOIN k ON k.video_id = c.video_id AND kk = key GROUP BY ALL),
+d2 AS (SELECT c.video_id, claimed, cw, kw, kn, kk FROM c JOIN k ON k.video_id = c.video_id AND len(kw) = len(cw) WHERE key <> ''),
+d5 AS (SELECT c.video_id, claimed, key, kw[-1] AS last, kn, kk FROM c JOIN k USING (video_id) WHERE len(cw) = 1 AND key <> ''),
+w AS (SELECT unnest(cw) AS a, unnest(kw) AS b FROM d2 UNION SELECT key, last FROM d5),
+{_near('w', 'nr')},
+g2 AS (SELECT DISTINCT d2.*, list_zip(cw, kw) AS z FROM d2),
+u2 AS (SELECT video_id, claimed, kn, kk, unnest(z) AS p FROM g2),
+h2 AS (SELECT video_id, claimed, kk, kn FROM u2 LEFT JOIN nr ON nr.a = p[1] AND nr.b = p[2] GROUP BY ALL HAVING bool_and(p[1] = p[2] OR nr.a IS NOT NULL)),
+s2 AS (SELECT video_id, claimed, min(kn) AS n2 FROM h2 GROUP BY ALL HAVING count(*) = 1),
+{_parts('claimed', 'pc', 'c', 'video_id, claimed')},
+{_parts('kn', 'pk', 'k', 'video_id, kk, kn')},
+s3 AS (SELECT pc.video_id, claimed, min(kn) AS n3 FROM pc JOIN pk ON pc.video_id = pk.video_id AND pc.f = pk.f AND pc.z = pk.z WHERE pc.f <> '' AND pc.z <> '' GROUP BY ALL HAVING count(DISTINCT kk) = 1),
+s4 AS (SELECT video_id, claimed, min(kn) AS n4 FROM d5 WHERE key = last GROUP BY ALL HAVING count(*) = 1),
+s5 AS (SELECT video_id, claimed, min(kn) AS n5 FROM d5 LEFT JOIN nr ON nr.a = key AND nr.b = last WHERE key = last OR nr.a IS NOT NULL GROUP BY ALL HAVING count(*) = 1),
+res AS (SELECT c.video_id, claimed, coalesce(n1, n2, n3, n4, n5, claimed) AS name, coalesce(n1, n2, n3, n4, n5) IS NOT NULL AS grounded,
+CASE WHEN n1 IS NOT NULL THEN 1 WHEN n2 IS NOT NULL THEN 2 WHEN n3 IS NOT NULL THEN 3 WHEN coalesce(n4, n5) IS NOT NULL THEN 4 END AS stage
+FROM c LEFT JOIN s1 USING (video_id, claimed) LEFT JOIN s2 USING (video_id, claimed) LEFT JOIN s3 USING (video_id, claimed) LEFT JOIN s4 USING (video_id, claimed) LEFT JOIN s5 USING (video_id, claimed))"""
 _MERGE = f"""p AS (SELECT *, CASE WHEN coalesce(is_local, false) THEN concat_ws('@', {_fold('name')}, video_id) ELSE {_fold('name')} END AS key FROM people WHERE name IS NOT NULL AND video_id IS NOT NULL),
 q AS (SELECT * FROM p WHERE key <> ''), s AS (SELECT key, name, min(struct_pack(v := video_id, p := pos)) AS first FROM q GROUP BY key, name),
 nm AS (SELECT key, name FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY length(name) DESC, first) AS r FROM s) WHERE r = 1),
@@ -235,8 +275,35 @@ vd AS (SELECT key, count(DISTINCT video_id) AS videos, max(coalesce(is_local, fa
 m AS (SELECT key, name, coalesce(roles, '') AS roles, videos, appears_in, local FROM nm JOIN vd USING (key) JOIN ap USING (key) LEFT JOIN rl USING (key))"""
 _TEXTS = "t0 AS (SELECT video_id, n, min(text) AS text FROM paragraphs GROUP BY video_id, n), t AS (SELECT video_id, string_agg(text, ' ' ORDER BY n) AS text FROM t0 GROUP BY video_id)"
 _LABELS = "l AS (SELECT video_id, n, min(struct_pack(s := speaker, c := speaker_confidence)) AS x FROM paragraphs GROUP BY video_id, n)"
+_ATTRIBUTED = f"""WITH RECURSIVE {_LABELS}, l1 AS (SELECT video_id, n, nullif(x.s, '') AS claimed, x.c AS confidence FROM l WHERE video_id IS NOT NULL), claims AS (SELECT DISTINCT video_id, claimed FROM l1), {_CASCADE},
+lab AS (SELECT l1.video_id, n, l1.claimed, coalesce(name, l1.claimed) AS speaker, coalesce(grounded, false) AS grounded FROM l1 LEFT JOIN res ON res.video_id = l1.video_id AND res.claimed = l1.claimed),
+who0 AS (SELECT video_id, {_fold('speaker')} AS key, min(struct_pack(n := n, s := speaker)) AS x FROM lab WHERE speaker IS NOT NULL GROUP BY ALL), who AS (SELECT video_id, x.s AS name FROM who0),
+ch AS (SELECT DISTINCT video_id, trim(channel) AS channel FROM recordings WHERE channel IS NOT NULL AND channel <> ''),
+rv AS (SELECT video_id, name, channel, {_fold('name')} AS a, {_fold('channel')} AS b FROM who JOIN ch USING (video_id)),
+sp AS (SELECT video_id, speaker, list_sort(list(DISTINCT claimed)) AS s FROM lab WHERE claimed IS NOT NULL GROUP BY ALL),
+viol AS (SELECT video_id, 'ungrounded_speaker' AS kind, chr(39) || speaker || chr(39) || ' is not named in the title, description or channel' AS detail, string_agg(n::VARCHAR, ',' ORDER BY n) AS paragraphs FROM lab WHERE claimed IS NOT NULL AND NOT grounded GROUP BY video_id, speaker
+UNION ALL SELECT video_id, 'spelling_variants', array_to_string(s, ', ') || ' treated as one person: ' || speaker, '' FROM sp WHERE len(s) > 1 OR s[1] <> speaker
+UNION ALL SELECT video_id, 'host_guest_conflict', name || ' and the channel ' || channel || ' look like one person', '' FROM rv WHERE a <> b AND a <> '' AND string_split(a, ' ')[-1] = string_split(b, ' ')[-1]
+UNION ALL SELECT video_id, 'many_speakers', count(*) || ' speakers', '' FROM who GROUP BY video_id HAVING count(*) > {resolve.EXPECTED_SPEAKERS}
+UNION ALL SELECT video_id, 'sparse_coverage', 'only ' || count(speaker) || ' of ' || count(*) || ' paragraphs attributed', '' FROM lab GROUP BY video_id HAVING count(speaker) / count(*) < {resolve.LEAST_COVERAGE})"""
+_JUDGED = f"""WITH RECURSIVE ends AS (SELECT video_id, from_name AS x FROM edges UNION SELECT video_id, to_name FROM edges), claims AS (SELECT DISTINCT video_id, {_tidy('x')} AS claimed FROM ends WHERE x IS NOT NULL), {_CASCADE}, {_TEXTS},
+ed AS (SELECT edges.*, t.text AS said, ch.channel, {_tidy('from_name')} AS f, {_tidy('to_name')} AS t, {_WORDS('evidence')} AS ew FROM edges LEFT JOIN t USING (video_id) LEFT JOIN (SELECT video_id, min(trim(channel)) AS channel FROM recordings GROUP BY video_id) ch USING (video_id)),
+pw AS (SELECT edge_id, unnest(list_concat({_WORDS('f')}, {_WORDS('t')})) AS a, ew FROM ed), pe AS (SELECT edge_id, a, unnest(ew) AS b FROM pw WHERE length(a) > 3),
+{_near('pe', 'ne')},
+sup AS (SELECT DISTINCT edge_id FROM pe LEFT JOIN ne USING (a, b) WHERE a = b OR ne.a IS NOT NULL),
+ver AS (SELECT ed.edge_id, ed.video_id, coalesce(rf.name, f) AS source, coalesce(rt.name, t) AS target, kind, said, channel, ew, from_name, to_name, sup.edge_id IS NOT NULL OR coalesce(list_has_any(ew, list_filter({_WORDS('f')}, lambda w: length(w) > 2)), false) OR coalesce(list_has_any(ew, list_filter({_WORDS('t')}, lambda w: length(w) > 2)), false) AS ok
+FROM ed LEFT JOIN res rf ON rf.video_id = ed.video_id AND rf.claimed = f LEFT JOIN res rt ON rt.video_id = ed.video_id AND rt.claimed = t LEFT JOIN sup USING (edge_id)),
+verdicts AS (SELECT edge_id, video_id, source, target, CASE WHEN NOT coalesce(list_contains({_LIST(graph.KINDS)}, kind), false) OR coalesce(from_name, '') = '' OR coalesce(to_name, '') = '' THEN 'malformed'
+WHEN NOT coalesce(len(ew) >= {graph.LEAST_WORDS} AND contains(' ' || array_to_string({_WORDS('said')}, ' ') || ' ', ' ' || array_to_string(ew, ' ') || ' ') AND said IS NOT NULL, false) THEN 'rejected' WHEN NOT ok THEN 'irrelevant'
+WHEN {_fold('source')} = {_fold('target')} THEN 'self' WHEN coalesce(channel, '') <> '' AND ({_fold('source')} = {_fold('channel')} OR {_fold('target')} = {_fold('channel')}) THEN 'channel' ELSE 'kept' END AS verdict FROM ver)"""
 
 SQL = {
+    "canonical": f"WITH RECURSIVE claims AS (SELECT DISTINCT video_id, name AS claimed FROM people WHERE name IS NOT NULL), {_CASCADE} SELECT video_id, claimed, name, grounded, stage FROM res",
+    "violations": _ATTRIBUTED + " SELECT video_id, kind, detail, paragraphs FROM viol",
+    "violation_summary": _ATTRIBUTED + ", vc AS (SELECT video_id, kind, count(*) AS c FROM viol GROUP BY ALL) SELECT video_id, string_agg(CASE WHEN c > 1 THEN kind || '×' || c ELSE kind END, ', ' ORDER BY kind) AS summary FROM vc GROUP BY video_id",
+    "many_speakers": _ATTRIBUTED + " SELECT video_id, detail FROM viol WHERE kind = 'many_speakers'",
+    "confirmed": _ATTRIBUTED + f" SELECT {_fold('speaker')} AS key, min(speaker) AS name FROM lab WHERE grounded AND speaker IS NOT NULL GROUP BY 1",
+    "edge_verdicts": _JUDGED + " SELECT edge_id, source, target, verdict FROM verdicts",
     "fold_key": f"SELECT person_id, {_fold('name')} AS key, len(list_filter(string_split({_fold(_tidy('name'))}, ' '), lambda x: x <> '')) >= 2 AS \"full\" FROM people WHERE name IS NOT NULL",
     "tidy_names": f"SELECT person_id, {_tidy('name')} AS name FROM people WHERE name IS NOT NULL",
     "names_in": rf"""WITH r AS (SELECT DISTINCT video_id, description FROM recordings),
