@@ -42,6 +42,7 @@ def _line(key: str, value: Column, when: Column | None = None) -> Column:
     return text if when is None else F.when(when, text)
 
 
+# The literal lines of a document's head below are part of its format.
 def front_matter(recordings: DataFrame) -> DataFrame:
     """(video_id, head): the lines at the top of a document."""
     r = recordings
@@ -79,6 +80,17 @@ def markdown(recordings: DataFrame, paragraphs: DataFrame, chapters: DataFrame |
     return d.select("video_id", F.concat("head", F.lit("\n\n# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("lines", F.lit("")), F.lit("\n")).alias("body"))
 
 
+def stacked(documents: DataFrame, as_json: bool = False) -> DataFrame:
+    """(video_id, chunk) of documents (video_id, body): chunks that, written in the order of video_id, are one output: bodies with a blank line between, or a JSON array, which a single document is without. No task holds more than a document."""
+    n = documents.where("body is not null").groupBy().agg(F.count(F.lit(1)).alias("__n"), F.min("video_id").alias("__a"), F.max("video_id").alias("__z"))
+    first, last = F.col("video_id") == F.col("__a"), F.col("video_id") == F.col("__z")
+    d = documents.where("body is not null").join(F.broadcast(n))  # one row
+    if not as_json:
+        return d.select("video_id", F.concat("body", F.when(last, "").otherwise("\n\n")).alias("chunk"))
+    several = F.col("__n") > 1
+    return d.select("video_id", F.concat(F.when(several & first, "[").otherwise(""), "body", F.when(several, F.when(last, "]").otherwise(",")).otherwise("")).alias("chunk"))
+
+
 def json_document(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("body"))
 
@@ -116,14 +128,19 @@ def connection_lines(edges: DataFrame, people: DataFrame, weights: bool = False)
     return e.select("end", (~F.col("confidence").eqNullSafe("low")).alias("stated"), "video_id", "pos", "edge_id", text.alias("text"))
 
 
-def person_notes(people: DataFrame, edges: DataFrame, recordings: DataFrame, weights: bool = False) -> DataFrame:
-    """(key, file, body) for every person who is not local: tags, roles, stated and implied connections, appearances. Files that would share a name get the end of their key's hash."""
+def person_notes(people: DataFrame, edges: DataFrame, recordings: DataFrame, weights: bool = False, files: DataFrame | None = None) -> DataFrame:
+    """(key, file, body) for every person who is not local: tags, roles, stated and implied connections, appearances. Files that would share a name get the end of their key's hash.
+
+    files: (video_id, stem) of the transcripts there are, as documents.transcript_index gives them; an appearance links to its transcript where there is one, else it is only named.
+    """
     p = people.where("not local")
     c = connection_lines(edges, people, weights)
     by = lambda stated, out: _document(c.where(F.col("stated") == stated), ["end"], ["video_id", "pos", "edge_id"], "text", "\n\n").select(F.col("end").alias("key"), F.col("body").alias(out))
     titles = recordings.groupBy("video_id").agg(F.min("title").alias("title"))
     spots = p.select("key", F.explode("appears_in").alias("video_id")).join(titles, "video_id", "left")
-    spot = F.concat(F.lit("- "), F.coalesce(F.nullif("title", F.lit("")), "video_id", F.lit("unknown")))
+    spots = spots.withColumn("stem", F.lit(None).cast("string")) if files is None else spots.join(files.select("video_id", "stem"), "video_id", "left")
+    called = F.coalesce(F.nullif("title", F.lit("")), "video_id", F.lit("unknown"))
+    spot = F.concat(F.lit("- "), F.when(F.col("stem").isNotNull(), wiki_link(F.col("stem"), called)).otherwise(called))
     seen = _document(spots.withColumn("line", spot), ["key"], ["video_id"], "line", "\n").withColumnRenamed("body", "seen")
     d = p.join(by(True, "said"), "key", "left").join(by(False, "implied"), "key", "left").join(seen, "key", "left")
     head = F.concat(F.lit("---\ntags:\n  - person\n  - "), tier(F.col("local"), F.col("videos")), F.lit("\nappearances: "), F.col("videos").cast("string"), F.lit("\n---\n\n# "), "name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,6 +174,23 @@ _SPONSORS = "sp AS (SELECT DISTINCT video_id, start_ms AS a, end_ms AS z FROM sp
 _HITS = f"""{_CUES}, {_SPONSORS}, m AS (SELECT c.video_id, seq, min(struct_pack(a := a, z := z)) AS h FROM c JOIN sp ON sp.video_id = c.video_id AND a <= floor((start_ms + end_ms) / 2.0) AND floor((start_ms + end_ms) / 2.0) < z GROUP BY c.video_id, seq),
 j AS (SELECT c.video_id, c.seq, h FROM c LEFT JOIN m USING (video_id, seq)), g AS (SELECT video_id, count(*) - count(h) >= count(*) * 0.5 AS sane FROM j GROUP BY video_id)"""
 
+
+
+def _transcript_sql(select: str) -> str:
+    """Paragraphs (pf) and facts out of cues that spans have cut: the fold as above, of the cues that stay."""
+    chain = re.sub(r"\bc\b", "ca", _HITS) + ", c AS (SELECT ca.* FROM ca JOIN j USING (video_id, seq) JOIN g USING (video_id) WHERE h IS NULL OR NOT sane)"
+    fold = _fold_sql(110).replace(_CUES, chain)
+    head, tail = fold.split("\nSELECT video_id, turn, k::INTEGER AS k")
+    having = tail[tail.index("HAVING") :]
+    return f"{head}, pf AS (SELECT video_id, turn, k, max_by(s, i) AS start_ms, max_by(text, i) AS text FROM f GROUP BY video_id, turn, k {having}) {select}"
+
+
+TRANSCRIPTS = {
+    "transcript_paragraphs": _transcript_sql(f"SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY turn, k)::INTEGER AS n, start_ms, {_STAMP} AS timestamp, turn, text FROM pf"),
+    "transcript_facts": _transcript_sql("""SELECT video_id, coalesce(p, false) AS punctuated, coalesce(n, 0) AS turns, coalesce(z, 0) AS captions_end_ms, CASE WHEN coalesce(duration_ms, 0) > 0 THEN duration_ms ELSE coalesce(z, 0) END AS duration_ms
+FROM (SELECT video_id, max(duration_ms) AS duration_ms FROM recordings GROUP BY video_id) LEFT JOIN flags USING (video_id) LEFT JOIN (SELECT video_id, arg_max(end_ms, seq) AS z FROM c GROUP BY video_id) USING (video_id)
+LEFT JOIN (SELECT video_id, count(DISTINCT turn) AS n FROM pf GROUP BY video_id) USING (video_id)"""),
+}
 SQL = {
     "paragraph_fold": _fold_sql(110),
     "paragraph_fold_short": _fold_sql(40),

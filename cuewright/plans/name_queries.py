@@ -9,6 +9,7 @@ from cuewright.functions import names as N
 from cuewright.functions import text as T
 from cuewright.operators import graph, render, resolve
 from cuewright.session import cut, ship, table
+from cuewright.sources import documents
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
@@ -186,11 +187,17 @@ def person_edges(spark, d):
     return e.groupBy("end").agg(F.count(F.lit(1)).alias("edges"), F.count_if("outgoing").alias("outgoing"))
 
 
+def _files(spark, d):
+    """The transcripts of a folder: those of punctuated recordings, by the names they are written under."""
+    r = table(spark, d, "recordings").where("punctuated")
+    return documents.transcript_index(r.select(F.concat(T.slug(F.col("title"), F.col("video_id")), F.lit(".md")).alias("name")).distinct())
+
+
 def notes(spark, d):
     r = table(spark, d, "recordings")
     e = table(spark, d, "edges").join(r.groupBy("video_id").agg(F.min("title").alias("video"), F.min("url").alias("url")), "video_id", "left")
     m = graph.merge_people(_people(spark, d).where("video_id is not null"))
-    return render.person_notes(m, e, r)
+    return render.person_notes(m, e, r, files=_files(spark, d))
 
 
 def note_statistics(spark, d):
@@ -297,7 +304,49 @@ verdicts AS (SELECT edge_id, video_id, source, target, CASE WHEN NOT coalesce(li
 WHEN NOT coalesce(len(ew) >= {graph.LEAST_WORDS} AND contains(' ' || array_to_string({_WORDS('said')}, ' ') || ' ', ' ' || array_to_string(ew, ' ') || ' ') AND said IS NOT NULL, false) THEN 'rejected' WHEN NOT ok THEN 'irrelevant'
 WHEN {_fold('source')} = {_fold('target')} THEN 'self' WHEN coalesce(channel, '') <> '' AND ({_fold('source')} = {_fold('channel')} OR {_fold('target')} = {_fold('channel')}) THEN 'channel' ELSE 'kept' END AS verdict FROM ver)"""
 
+
+def _names_in(c: str, alias: str) -> str:
+    """A list of {key, name} of the runs of capitalised words in c, each fold once."""
+    runs = rf"regexp_extract_all(coalesce({c}, ''), '(?:^|[^\pL\pN_])([A-Z][\pL\pN\pM_''’-]*(?:[ \t]+[A-Z][\pL\pN\pM_''’-]*){{1,3}})', 1)"
+    kept = f"list_filter({runs}, lambda r: length({_fold('r')}) >= 5 AND NOT list_has_any(list_transform(string_split_regex(r, '[ \\t]+'), lambda w: {_fold('w')}), {_STOP}))"
+    return f"list_transform({kept}, lambda r: struct_pack(key := {_fold('r')}, name := trim(r, '.,;:')))"
+
+
+def _once(c: str) -> str:
+    return f"list_filter({c}, lambda x, i: list_position(list_transform({c}, lambda y: y.key), x.key) = i)"
+
+
+_QUOTE = lambda c, n: rf"CASE WHEN length({c}) <= {n} THEN {c} ELSE regexp_replace(left({c}, {n}), ' [^ ]*\z', '') || '…' END"
+_SQUEEZE = lambda c: rf"trim(regexp_replace(coalesce({c}, ''), '[\s\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{85}}]+', ' ', 'g'))"
+_NOTE = lambda c: rf"""coalesce(nullif(trim(regexp_replace({c}, '[\\/:*?"<>|#^\[\]]', '-', 'g'), '. -'), ''), 'unnamed')"""
+_LINK = lambda t, c: f"'[[' || {t} || CASE WHEN {c} <> '' AND {c} <> {t} THEN '|' || {c} ELSE '' END || ']]'"
+_PHRASES = "CASE " + " ".join(f"WHEN kind = '{k}' THEN CASE WHEN o THEN '{a}' ELSE '{b}' END" for k, (a, b) in graph.KINDS.items()) + " ELSE 'is connected to' END"
+_NOTES = f"""r AS (SELECT video_id, min(title) AS title, min(url) AS url FROM recordings GROUP BY video_id),
+fl0 AS (SELECT trim(left(trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-') AS s, coalesce(video_id, '') AS id FROM recordings WHERE punctuated),
+fl1 AS (SELECT CASE WHEN s = '' THEN coalesce(nullif(id, ''), 'transcript') ELSE s || '-' || id END AS stem FROM fl0),
+fl AS (SELECT regexp_extract(stem, '-([\\w-]{{11}})$', 1) AS video_id, max(stem) AS stem FROM fl1 GROUP BY 1 HAVING video_id <> ''),
+e0 AS (SELECT edges.*, r.title AS video, r.url, {_fold('from_name')} AS a, {_fold('to_name')} AS b FROM edges LEFT JOIN r USING (video_id)),
+e1 AS (SELECT *, a AS "end", true AS o, to_name AS other FROM e0 UNION ALL SELECT *, b, false, from_name FROM e0 WHERE a <> b),
+e2 AS (SELECT e1.*, m.key IS NOT NULL AS known, {_SQUEEZE('e1.evidence')} AS q, {_SQUEEZE('video')} AS v, nullif(regexp_extract(coalesce(url, ''), '[?&]v=([\\w-]{{11}})', 1), '') AS vid FROM e1 LEFT JOIN m ON m.key = {_fold('other')} AND NOT m.local),
+e3 AS (SELECT *, coalesce(vid, {_QUOTE('v', 40)}) AS scope, {_QUOTE('q', 240)} AS quote FROM e2),
+e4 AS (SELECT *, {_NOTE('other')} AS plain, {_NOTE("(CASE WHEN scope <> '' THEN other || ' (' || scope || ')' ELSE other END)")} AS scoped FROM e3),
+e5 AS (SELECT "end", confidence IS DISTINCT FROM 'low' AS stated, video_id, pos, edge_id, '- ' || {_PHRASES} || ' ' || CASE WHEN known THEN '[[' || plain || ']]' ELSE {_LINK('scoped', 'other')} END || CASE WHEN quote <> '' THEN chr(10) || '  > ' || quote ELSE '' END ||
+CASE WHEN coalesce(url, '') <> '' AND coalesce(timestamp, '') <> '' THEN chr(10) || '  — [' || timestamp || '](' || url || ') in ' || coalesce(video, '') WHEN coalesce(video, '') <> '' THEN chr(10) || '  — ' || video ELSE '' END AS t FROM e4),
+by_ AS (SELECT "end" AS key, string_agg(t, chr(10) || chr(10) ORDER BY video_id, pos, edge_id) FILTER (stated) AS said, string_agg(t, chr(10) || chr(10) ORDER BY video_id, pos, edge_id) FILTER (NOT stated) AS implied FROM e5 GROUP BY 1),
+sp0 AS (SELECT key, unnest(string_split(appears_in, ',')) AS video_id FROM m WHERE NOT local), sp1 AS (SELECT key, video_id, stem, coalesce(nullif(title, ''), video_id, 'unknown') AS c FROM sp0 LEFT JOIN r USING (video_id) LEFT JOIN fl USING (video_id)),
+sp AS (SELECT key, string_agg('- ' || CASE WHEN stem IS NOT NULL THEN {_LINK('stem', 'c')} ELSE c END, chr(10) ORDER BY video_id) AS seen FROM sp1 GROUP BY key),
+nt AS (SELECT m.key, {_NOTE('m.name')} AS file, concat_ws(chr(10) || chr(10), '---' || chr(10) || 'tags:' || chr(10) || '  - person' || chr(10) || '  - ' || CASE WHEN videos >= 2 THEN 'person/recurring' ELSE 'person/named' END || chr(10) || 'appearances: ' || videos || chr(10) || '---' || chr(10) || chr(10) || '# ' || m.name,
+CASE WHEN roles <> '' THEN '- ' || replace(roles, '|', chr(10) || '- ') END, CASE WHEN said IS NOT NULL THEN '## Connections' || chr(10) || chr(10) || said END,
+CASE WHEN implied IS NOT NULL THEN '## Possible connections' || chr(10) || chr(10) || '*The transcript implies these rather than saying them.*' || chr(10) || chr(10) || implied END, CASE WHEN seen IS NOT NULL THEN '## Appears in' || chr(10) || chr(10) || seen END) || chr(10) AS body
+FROM m LEFT JOIN by_ USING (key) LEFT JOIN sp USING (key) WHERE NOT local)"""
+
 SQL = {
+    "notes": f"WITH {_MERGE}, {_NOTES} SELECT key, CASE WHEN count(*) OVER (PARTITION BY file) > 1 THEN file || ' ' || left(sha1(key), 6) ELSE file END AS file, body FROM nt",
+    "known_people": rf"""WITH r AS (SELECT video_id, trim(coalesce(channel, '')) AS ch, trim(regexp_extract(coalesce(title, ''), '(?i)(?:\bft\.?|\bfeat\.?|\bwith\b|\bw/|[—–|]|\s-\s)\s*(.+)$', 1), ' )') AS cr, description FROM recordings WHERE video_id IS NOT NULL),
+x AS (SELECT video_id, ch, {_names_in('cr', 't')} AS t, {_names_in('description', 'd')} AS d FROM r),
+y AS (SELECT video_id, list_concat(CASE WHEN ch <> '' THEN [struct_pack(key := {_fold('ch')}, name := ch)] ELSE [] END, {_once('t')}, {_once('d')}) AS f FROM x),
+z AS (SELECT video_id, unnest(f) AS p, unnest(range(len(f))) AS pos FROM y)
+SELECT video_id, p.key AS key, max(struct_pack(l := length(p.name), p := -pos, n := p.name)).n AS name FROM z WHERE p.key <> '' GROUP BY video_id, p.key""",
     "canonical": f"WITH RECURSIVE claims AS (SELECT DISTINCT video_id, name AS claimed FROM people WHERE name IS NOT NULL), {_CASCADE} SELECT video_id, claimed, name, grounded, stage FROM res",
     "violations": _ATTRIBUTED + " SELECT video_id, kind, detail, paragraphs FROM viol",
     "violation_summary": _ATTRIBUTED + ", vc AS (SELECT video_id, kind, count(*) AS c FROM viol GROUP BY ALL) SELECT video_id, string_agg(CASE WHEN c > 1 THEN kind || '×' || c ELSE kind END, ', ' ORDER BY kind) AS summary FROM vc GROUP BY video_id",

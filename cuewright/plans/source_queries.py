@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuewright.functions import text as T
 from cuewright.operators import render, segment, tracks, transcript
+from cuewright.plans.caption_queries import TRANSCRIPTS
 from cuewright.session import ship, table
 from cuewright.sources import captions, documents, feeds
 from cuewright.streaming import resume
@@ -215,6 +216,7 @@ _STORE = r"regexp_matches(url, '(?i)(?:music|open|podcasters)\.(?:amazon|spotify
 _APPLE = r"regexp_matches(url, '(?i)podcasts\.apple\.com/.*?/id(\d+)')"
 
 SQL = {
+    **TRANSCRIPTS,
     "prompt_contexts": """WITH r AS (SELECT video_id, min(title) AS title, min(channel) AS channel, min(upload_date) AS day, min(description) AS about FROM recordings GROUP BY video_id),
 k0 AS (SELECT DISTINCT video_id, name FROM known WHERE origin = 'corpus'), k AS (SELECT video_id, list(name ORDER BY name) AS names FROM k0 GROUP BY video_id)
 SELECT video_id, 'Title: ' || coalesce(title, '') || chr(10) || 'Channel (the host): ' || CASE WHEN trim(coalesce(channel, '')) <> '' THEN channel ELSE 'unknown' END || CASE WHEN trim(coalesce(day, '')) <> '' THEN chr(10) || 'Published: ' || day ELSE '' END
