@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.functions.text import stamp
 from cuewright.operators.scan import _join, last_value
 
 MOST_REMOVABLE = 0.5
@@ -20,8 +21,10 @@ def hits(cues: DataFrame, spans: DataFrame) -> DataFrame:
     Spans are put into every minute they touch and joined on (recording, minute), so a long recording is spread over its minutes and no cue meets a span far from it.
     """
     s = spans.select(F.col("video_id").alias("sv"), F.col("start_ms").cast("long").alias("hit_start"), F.col("end_ms").cast("long").alias("hit_end")).where("sv is not null and hit_end > hit_start").distinct()
-    s = s.withColumn("sb", F.explode(F.sequence(F.floor(F.col("hit_start") / BUCKET_MS), F.floor((F.col("hit_end") - 1) / BUCKET_MS))))
     c = cues.withColumn("__m", F.floor((F.col("start_ms") + F.col("end_ms")) / 2))
+    talk = c.groupBy(F.col("video_id").alias("sv")).agg(F.min("__m").alias("__a"), F.max("__m").alias("__z"))
+    s = s.join(talk, "sv").withColumn("__a", F.greatest("hit_start", "__a")).withColumn("__z", F.least(F.col("hit_end") - 1, F.col("__z"))).where("__a <= __z")  # a span's wild end makes no rows beyond the recording
+    s = s.withColumn("sb", F.explode(F.sequence(F.floor(F.col("__a") / BUCKET_MS), F.floor(F.col("__z") / BUCKET_MS)))).drop("__a", "__z")
     on = (F.col("video_id") == F.col("sv")) & (F.floor(F.col("__m") / BUCKET_MS) == F.col("sb")) & (F.col("hit_start") <= F.col("__m")) & (F.col("__m") < F.col("hit_end"))
     first = c.join(s, on).groupBy("video_id", "seq").agg(F.min(F.struct("hit_start", "hit_end")).alias("h")).select("video_id", "seq", "h.hit_start", "h.hit_end")
     return _join(cues, first, ["video_id", "seq"])
@@ -38,6 +41,23 @@ def cut_spans(cues: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, applied
 
 
+# Fixed value: what an extractor calls a gap between titled sections.
+UNTITLED = r"(?i)<untitled chapter \d+>"
+
+
+def titled(chapters: DataFrame) -> DataFrame:
+    """Chapters (video_id, start_ms, title) whose title says something: blanks around it are cut, empty and invented ones are left out."""
+    d = chapters.withColumn("title", F.regexp_replace("title", r"(?U)^\s+|\s+$", ""))
+    return d.where((F.col("title") != "") & ~F.col("title").rlike(f"^(?:{UNTITLED})$"))
+
+
+def chapters_of(metadata: DataFrame) -> DataFrame:
+    """(video_id, start_ms, timestamp, title) of the chapters in a recording's metadata (video_id, info: JSON with chapters of start_time in seconds and title); a start that is missing is 0, and so is one that is no number."""
+    x = metadata.select("video_id", F.from_json("info", "chapters array<struct<start_time:string,title:string>>")["chapters"].alias("c"))
+    x = x.select("video_id", F.explode("c").alias("c")).select("video_id", F.coalesce((F.col("c.start_time").try_cast("double") * 1000).try_cast("bigint"), F.lit(0).cast("bigint")).alias("start_ms"), F.col("c.title").alias("title"))
+    return titled(x).select("video_id", "start_ms", stamp(F.col("start_ms")).alias("timestamp"), "title")
+
+
 def place_chapters(chapters: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(video_id, start_ms, title, n, at_ms): each chapter before the first paragraph that does not begin before it; chapters after the last one vanish. An as-of join forward, as one ordered scan from the end."""
     p = paragraphs.select("video_id", "start_ms", F.lit(None).cast("string").alias("title"), F.struct(F.col("start_ms").alias("at_ms"), F.col("n").alias("n")).alias("x"), F.lit(1).alias("k")).where("start_ms is not null")

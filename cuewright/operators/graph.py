@@ -26,11 +26,19 @@ KINDS = {
 LEAST_WORDS = 4
 
 
-def quote_is_real(evidence: Column, text: Column) -> Column:
-    """The words of the evidence, four at least, stand in the text in a row."""
+def spoken(text: Column) -> Column:
+    """The words of a text with one blank around each, as quotes are looked up in."""
+    return F.concat(F.lit(" "), F.array_join(T.ascii_words(text), " "), F.lit(" "))
+
+
+def quoted_in(evidence: Column, words: Column) -> Column:
+    """The words of the evidence, four at least, stand in a row in a text's words, as spoken gives them."""
     needle = T.ascii_words(evidence)
-    hay = F.concat(F.lit(" "), F.array_join(T.ascii_words(text), " "), F.lit(" "))
-    return (F.size(needle) >= LEAST_WORDS) & F.contains(hay, F.concat(F.lit(" "), F.array_join(needle, " "), F.lit(" ")))
+    return (F.size(needle) >= LEAST_WORDS) & F.contains(words, F.concat(F.lit(" "), F.array_join(needle, " "), F.lit(" ")))
+
+
+def quote_is_real(evidence: Column, text: Column) -> Column:
+    return quoted_in(evidence, spoken(text))
 
 
 def quote_names(evidence: Column, *people: Column) -> Column:
@@ -65,7 +73,8 @@ def judge_edges(edges: DataFrame, texts: DataFrame, recordings: DataFrame, resol
     texts: (video_id, text). resolved: (video_id, claimed, name) of tidied names, as canonicalise gives it.
     """
     channel = recordings.select("video_id", F.trim("channel").alias("channel")).groupBy("video_id").agg(F.min("channel").alias("channel"))
-    d = supported(_join(_join(edges, texts, ["video_id"]), channel, ["video_id"]))
+    words = texts.join(edges.select("video_id").distinct(), "video_id", "left_semi").select("video_id", spoken(F.col("text")).alias("__said"))  # once a recording that has edges
+    d = supported(_join(_join(edges, words, ["video_id"]), channel, ["video_id"]))
     for end, out in (("from_name", "source"), ("to_name", "target")):
         d = d.withColumn("claimed", N.tidy_name(F.col(end)))
         d = _join(d, resolved.select("video_id", "claimed", F.col("name").alias(out)), ["video_id", "claimed"]).withColumn(out, F.coalesce(out, "claimed")).drop("claimed")
@@ -74,10 +83,10 @@ def judge_edges(edges: DataFrame, texts: DataFrame, recordings: DataFrame, resol
     host = F.when(filled("channel"), fold(F.col("channel")))
     of_channel = F.coalesce((fold(F.col("source")) == host) | (fold(F.col("target")) == host), F.lit(False))
     verdict = (
-        F.when(~well, "malformed").when(~F.coalesce(quote_is_real(F.col("evidence"), F.col("text")), F.lit(False)), "rejected").when(~F.coalesce("supported", F.lit(False)), "irrelevant")
+        F.when(~well, "malformed").when(~F.coalesce(quoted_in(F.col("evidence"), F.col("__said")), F.lit(False)), "rejected").when(~F.coalesce("supported", F.lit(False)), "irrelevant")
         .when(fold(F.col("source")) == fold(F.col("target")), "self").when(of_channel, "channel").otherwise("kept")
     )
-    return d.withColumn("verdict", verdict).drop("text", "supported", "channel")
+    return d.withColumn("verdict", verdict).drop("__said", "supported", "channel")
 
 
 def with_urls(edges: DataFrame, paragraphs: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -125,10 +134,28 @@ def tier(local: Column, videos: Column) -> Column:
     return F.when(local, "person/local").when(videos >= 2, "person/recurring").otherwise("person/named")
 
 
+#: What a recording's extraction gives, as a line of a log holds it.
+RESULT = (
+    "video_id string, video string, failed string, rejected bigint, irrelevant bigint, people array<struct<name:string,role:string,local:boolean>>, "
+    "edges array<struct<edge_id:bigint,from_name:string,to_name:string,kind:string,evidence:string,timestamp:string,confidence:string>>"
+)
+
+
+def merge_results(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(people, edges, failed, totals) of the results of many recordings, one row each as RESULT says: one graph.
+
+    people: as merge_people; edges: all of them, (video_id, pos, *edge), pos from 1; failed: (video_id, video, why) of recordings that gave no result, so that a graph that lacks them says so; totals: one row (rejected, irrelevant, failed).
+    """
+    p = results.select("video_id", F.posexplode("people").alias("pos", "p")).select("video_id", (F.col("pos") + 1).alias("pos"), "p.name", "p.role", F.col("p.local").alias("is_local"))
+    e = results.select("video_id", F.posexplode("edges").alias("pos", "e")).select("video_id", (F.col("pos") + 1).alias("pos"), "e.*")
+    f = results.where("failed <> ''").select("video_id", "video", F.col("failed").alias("why"))
+    return merge_people(p), e, f, totals(results)
+
+
 def totals(results: DataFrame) -> DataFrame:
     """(rejected, irrelevant, failed) over results; a missing count is 0."""
     s = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).cast("long")
-    return results.agg(s(F.col("rejected")).alias("rejected"), s(F.col("irrelevant")).alias("irrelevant"), F.count("failed").alias("failed"))
+    return results.agg(s(F.col("rejected")).alias("rejected"), s(F.col("irrelevant")).alias("irrelevant"), F.count(F.nullif("failed", F.lit(""))).alias("failed"))
 
 
 def ends_of(edges: DataFrame) -> DataFrame:

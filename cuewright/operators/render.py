@@ -82,13 +82,14 @@ def markdown(recordings: DataFrame, paragraphs: DataFrame, chapters: DataFrame |
 
 def stacked(documents: DataFrame, as_json: bool = False) -> DataFrame:
     """(video_id, chunk) of documents (video_id, body): chunks that, written in the order of video_id, are one output: bodies with a blank line between, or a JSON array, which a single document is without. No task holds more than a document."""
-    n = documents.where("body is not null").groupBy().agg(F.count(F.lit(1)).alias("__n"), F.min("video_id").alias("__a"), F.max("video_id").alias("__z"))
-    first, last = F.col("video_id") == F.col("__a"), F.col("video_id") == F.col("__z")
-    d = documents.where("body is not null").join(F.broadcast(n))  # one row
+    d = documents.where("body is not null")
+    n, a, z = d.agg(F.count(F.lit(1)), F.min("video_id"), F.max("video_id")).first()
+    first, last = F.col("video_id") == F.lit(a), F.col("video_id") == F.lit(z)
     if not as_json:
         return d.select("video_id", F.concat("body", F.when(last, "").otherwise("\n\n")).alias("chunk"))
-    several = F.col("__n") > 1
-    return d.select("video_id", F.concat(F.when(several & first, "[").otherwise(""), "body", F.when(several, F.when(last, "]").otherwise(",")).otherwise("")).alias("chunk"))
+    if n < 2:
+        return d.select("video_id", F.col("body").alias("chunk"))
+    return d.select("video_id", F.concat(F.when(first, "[").otherwise(""), "body", F.when(last, "]").otherwise(",")).alias("chunk"))
 
 
 def json_document(df: DataFrame) -> DataFrame:

@@ -119,6 +119,13 @@ def confirmed(labels: DataFrame) -> DataFrame:
     return d.groupBy("key").agg(F.min("name").alias("name"))
 
 
+def learned(labels: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(video_id, learned): how many names each recording adds to what a corpus (key, name) knows, recordings taken in the order of their id; only grounded speakers count, each for the first recording that has it."""
+    d = labels.where("grounded and speaker is not null").select("video_id", fold(F.col("speaker")).alias("key"))
+    first = d.join(corpus.select("key").distinct(), "key", "left_anti").groupBy("key").agg(F.min("video_id").alias("video_id"))
+    return first.groupBy("video_id").agg(F.count(F.lit(1)).alias("learned"))
+
+
 def batches(paragraphs: DataFrame, size: int = 40) -> DataFrame:
     """Adds batch to numbered paragraphs: from 0, numbers stay absolute."""
     return paragraphs.withColumn("batch", F.floor((F.col("n") - 1) / size).cast("int"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,12 @@ def names_shown(keys: Column, limit: int = 8) -> Column:
     k = F.sort_array(keys)
     head = F.array_join(F.slice(k, 1, limit), ", ")
     return F.when(F.size(k) == 0, "(none)").when(F.size(k) <= limit, head).otherwise(F.concat(head, F.lit(", +"), (F.size(k) - limit).cast("string"), F.lit(" more")))
+
+
+def shown_of(df: DataFrame, key: str, name: str, limit: int = 8) -> DataFrame:
+    """(key, shown) of rows (key, name): the first names of each key in order, and how many more there are. Only the first of each part of the table travel, so a hot key is never collected."""
+    d = df.select(F.col(key).alias("k"), F.col(name).alias("v")).where("v is not null").distinct()
+    first = d.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("v"))).where(F.col("r") <= limit).groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("v")), ", ").alias("head"))
+    more = d.groupBy("k").agg((F.count(F.lit(1)) - limit).alias("more"))
+    out = df.select(F.col(key).alias("k")).distinct().join(first, "k", "left").join(more, "k", "left")
+    return out.select(F.col("k").alias(key), F.when(F.col("head").isNull(), "(none)").when(F.col("more") <= 0, F.col("head")).otherwise(F.concat("head", F.lit(", +"), F.col("more").cast("string"), F.lit(" more"))).alias("shown"))

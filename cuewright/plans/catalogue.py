@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.plans import caption_queries, interval_queries, name_queries, source_queries
+from cuewright.plans import caption_queries, interval_queries, name_queries, run_queries, source_queries
 
-_MODULES = [caption_queries, interval_queries, name_queries, source_queries]
+_MODULES = [caption_queries, interval_queries, name_queries, run_queries, source_queries]
 FLAGSHIP = "paragraph_fold"
 
 

@@ -97,8 +97,7 @@ def track_pick(spark, d):
 
 
 def tracks_shown(spark, d):
-    r = table(spark, d, "recordings").where("channel is not null").groupBy("channel").agg(F.collect_set("video_id").alias("k"))
-    return r.select("channel", tracks.names_shown(F.col("k")).alias("shown"))
+    return tracks.shown_of(table(spark, d, "recordings").where("channel is not null"), "channel", "video_id")
 
 
 def playlist_entries(spark, d):
@@ -211,7 +210,11 @@ _URLS = """r AS (SELECT DISTINCT video_id, url FROM recordings), u AS (SELECT un
 _VIDEO = r"(?:[?&]v=|youtu\.be/|/shorts/)([\w-]{11})"
 _LIST = "(?i)/playlist|/channel/|/@|/c/|/user/|[?&]list="
 _WS = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{85}]"
-_FEEDISH = r"(regexp_matches(url, '(?i)^https?://') AND (regexp_matches(regexp_replace(url, '(?i)^https?://[^/]*', ''), '(?i)\.(?:xml|rss)(?:$|\?)|/(?:feed|rss)(?:/|$|\?)') OR regexp_matches(url, '(?i)^https?://feeds?\.')))"
+# The path of a url, without host, parameters, query and fragment; a feed is told by it alone, a podcast by the whole url where there is none.
+_PATH = r"regexp_extract(url, '(?i)^https?://[^/?#;]*([^?#;]*)', 1)"
+_SHAPE = r"'(?i)\.(?:xml|rss)(?:$|\?)|/(?:feed|rss)(?:/|$|\?)|^feeds?\.'"
+_FEEDISH = f"(regexp_matches(url, '(?i)^https?://') AND regexp_matches({_PATH}, {_SHAPE}))"
+_PODCAST = f"regexp_matches(coalesce(nullif({_PATH}, ''), url), {_SHAPE})"
 _STORE = r"regexp_matches(url, '(?i)(?:music|open|podcasters)\.(?:amazon|spotify)\.|podcasts\.google\.|pca\.st|overcast\.fm|castbox\.fm|iheart\.com')"
 _APPLE = r"regexp_matches(url, '(?i)podcasts\.apple\.com/.*?/id(\d+)')"
 
@@ -229,7 +232,7 @@ WHERE EXISTS (SELECT 1 FROM known k WHERE k.video_id = r.video_id) AND NOT EXIST
     "url_class": f"WITH {_URLS} SELECT url, regexp_matches(url, '{_VIDEO}') AS video, regexp_matches(url, '{_LIST}') AND NOT regexp_matches(url, '{_VIDEO}') AS playlist, regexp_matches(url, '{_LIST}') AS forced, regexp_matches(url, '{_LIST}') AND regexp_matches(url, '{_VIDEO}') AS ambiguous FROM u",
     "url_id": f"""WITH {_URLS} SELECT url, CASE WHEN starts_with(url, 'podcast:') THEN nullif(regexp_extract(url, '#(.*)$', 1), '') ELSE nullif(regexp_extract(url, '{_VIDEO}', 1), '') END AS id,
 CASE WHEN regexp_matches(url, '{_VIDEO}') THEN 'https://www.youtube.com/watch?v=' || regexp_extract(url, '{_VIDEO}', 1) || '&t=61s' ELSE string_split(url, '#')[1] || '#t=61' END AS anchor FROM u""",
-    "url_route": f"""WITH {_URLS} SELECT url, starts_with(url, 'podcast:') OR NOT regexp_matches(url, '(?i)^https?://') OR {_STORE} OR {_APPLE} OR {_FEEDISH} AS podcast,
+    "url_route": f"""WITH {_URLS} SELECT url, starts_with(url, 'podcast:') OR NOT regexp_matches(url, '(?i)^https?://') OR {_STORE} OR {_APPLE} OR {_PODCAST} AS podcast,
 CASE WHEN starts_with(url, 'podcast:') THEN 'reference' WHEN {_FEEDISH} THEN 'feed' WHEN {_APPLE} THEN 'apple' WHEN {_STORE} THEN 'storefront' ELSE 'search' END AS how,
 CASE WHEN starts_with(url, 'podcast:') THEN string_split(substr(url, 9), '#')[1] ELSE url END AS feed, CASE WHEN starts_with(url, 'podcast:') THEN nullif(regexp_extract(url, '#(.*)$', 1), '') END AS episode FROM u""",
     "sha_ids": "SELECT DISTINCT video_id, substr(sha1(url), 1, 11) AS episode, substr(sha256(video_id), 1, 4) AS prefix FROM recordings",

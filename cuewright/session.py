@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -37,13 +40,30 @@ def ship(spark: SparkSession) -> None:
     sc._cuewright_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that all machines see: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; one of our own is set only where that is unset.
+    On one machine (a local master), where that is unset, a temporary folder of our own that goes with the process; on a cluster there is no such folder, and this raises.
+    What is cut there can be deleted by Spark itself (spark.cleaner.referenceTracking.cleanCheckpoints) or with the folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         given = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="cuewright-checkpoint"))
+        if given is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all machines share")
+            given = tempfile.mkdtemp(prefix="cuewright-checkpoint")
+            atexit.register(shutil.rmtree, given, ignore_errors=True)
+        sc.setCheckpointDir(given)
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the folder the cluster shares."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import let
@@ -13,7 +13,7 @@ PARAGRAPH = r"(?m)^\[[\[(]?((?:\d[\d:]*(?:[.,]\d+)?|(?:\d+h)?(?:\d+m)?\d+s)?)[\]
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(path, title, channel, url, description, speakers, paragraphs, text) of the markdown files of a folder; files that cannot be read are left out."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("ignoreCorruptFiles", True).text(folder)
+    raw = spark.read.option("pathGlobFilter", "*.md").option("ignoreCorruptFiles", True).text(folder, wholetext=True)
     return parse_markdown(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
 
 
@@ -37,9 +37,9 @@ def parse_markdown(raw: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The last result of each recording in an append-only JSON log, without failed ones and lines that are no JSON. Schema must hold video_id and failed."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    return last_results(lines.select(F.from_json("value", schema).alias("x"), F.struct("f", "b", "i").alias("at")))
+    """The last result of each recording in an append-only JSON log, without failed ones and lines that are no JSON; files follow one another by the time they were written. Schema must hold video_id and failed."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    return last_results(lines.select(F.from_json("value", schema).alias("x"), F.struct("t", "f", "b", "i").alias("at")))
 
 
 def last_results(rows: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def read_graph(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_people(spark: SparkSession, path: str) -> DataFrame:
     """(key, name) of a people file, one JSON object; a corrupt file gives none, values that are no text are left out."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return people_of(raw)
 
 
@@ -74,6 +74,7 @@ def transcript_index(files: DataFrame) -> DataFrame:
 
 
 def first_seen(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """The first row of each value within its keys, in order."""
-    w = Window.partitionBy(*keys, value).orderBy(order)
-    return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """The first row of each value within its keys, in order; of rows that tie one stays. Reduced before it is shuffled."""
+    rest = [c for c in df.columns if c not in (*keys, value)]
+    d = df.groupBy(*keys, value).agg(F.min(F.struct(F.col(order).alias("__o"), *rest)).alias("__x"))
+    return d.select(*[F.col(c) if c in (*keys, value) else F.col(f"__x.{c}").alias(c) for c in df.columns])

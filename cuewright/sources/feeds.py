@@ -16,8 +16,7 @@ FEED = f"channel struct<title:string,link:string,item:array<struct<{ITEM.replace
 # What a target looks like.
 STOREFRONT = r"(?i)(?:music|open|podcasters)\.(?:amazon|spotify)\.|podcasts\.google\.|pca\.st|overcast\.fm|castbox\.fm|iheart\.com"
 APPLE = r"(?i)podcasts\.apple\.com/.*?/id(\d+)"
-FEED_PATH = r"(?i)\.(?:xml|rss)(?:$|\?)|/(?:feed|rss)(?:/|$|\?)"
-FEED_HOST = r"(?i)^https?://feeds?\."
+FEED_SHAPE = r"(?i)\.(?:xml|rss)(?:$|\?)|/(?:feed|rss)(?:/|$|\?)|^feeds?\."
 
 
 def episodes(feeds: DataFrame) -> DataFrame:
@@ -50,16 +49,20 @@ def parse_reference(c: Column) -> Column:
     return F.struct(F.when(is_ref, F.substring_index(body, "#", 1)).otherwise(c).alias("feed"), episode.alias("episode"))
 
 
+def _path(c: Column) -> Column:
+    """The path of a url, without host, parameters, query and fragment."""
+    return F.regexp_extract(c, r"(?i)^https?://[^/?#;]*([^?#;]*)", 1)
+
+
 def is_podcast(c: Column) -> Column:
-    path = F.regexp_replace(c, r"(?i)^https?://[^/]*", "")
+    """A reference, a name, a storefront, or a url whose path looks like a feed's (the whole url where it has no path); a host called feeds is no sign."""
     url = c.rlike(r"(?i)^https?://")
-    return F.when((c == "") | c.startswith("-"), False).otherwise(c.startswith("podcast:") | ~url | c.rlike(STOREFRONT) | c.rlike(APPLE) | path.rlike(FEED_PATH) | c.rlike(FEED_HOST))
+    return F.when((c == "") | c.startswith("-"), False).otherwise(c.startswith("podcast:") | ~url | c.rlike(STOREFRONT) | c.rlike(APPLE) | F.coalesce(F.nullif(_path(c), F.lit("")), c).rlike(FEED_SHAPE))
 
 
 def route(c: Column) -> Column:
     """How a target becomes a feed: 'reference', 'feed', 'apple', 'storefront' (which has none), or 'search'."""
-    path = F.regexp_replace(c, r"(?i)^https?://[^/]*", "")
-    feedish = c.rlike(r"(?i)^https?://") & (path.rlike(FEED_PATH) | c.rlike(FEED_HOST))
+    feedish = c.rlike(r"(?i)^https?://") & _path(c).rlike(FEED_SHAPE)
     return F.when(c.startswith("podcast:"), "reference").when(feedish, "feed").when(c.rlike(APPLE), "apple").when(c.rlike(STOREFRONT), "storefront").otherwise("search")
 
 

@@ -3,25 +3,42 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_files(df: DataFrame, folder: str, ending: str = "") -> None:
-    """Each row (name, body) as one file of a folder that all executors share; a body without a line break at its end gets one. A file is written aside and then renamed, so a task run twice leaves it whole; other files stay."""
+    """Each row (name, body) as one file of a folder; a body without a line break at its end gets one. A file is written aside and then renamed, so a task run twice leaves it whole; other files stay.
+
+    folder: a url of a file system all executors reach (hdfs, s3, gs, or file: on a mounted disk). A path without a scheme is each machine's own, and is taken with a local master only.
+    """
+    if "://" not in folder and not folder.startswith("file:"):
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError(f"not a url all machines share: {folder}")
+        folder = os.path.abspath(folder)
 
     def write(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
+        fs, base = _file_system(folder)
+        fs.create_dir(base, recursive=True)
         for name, body in rows:
-            path = os.path.join(folder, f"{name}{ending}")
-            with open(f"{path}.{os.getpid()}.part", "w", encoding="utf-8", newline="\n") as f:
-                f.write(body if body.endswith("\n") else body + "\n")
-            os.replace(f.name, path)
+            path = f"{base}/{name}{ending}"
+            aside = f"{path}.{uuid.uuid4().hex}.part"
+            with fs.open_output_stream(aside) as f:
+                f.write((body if body.endswith("\n") else body + "\n").encode())
+            fs.move(aside, path)
 
     df.select("name", "body").where("name is not null and body is not null").foreachPartition(write)
 
 
+def _file_system(folder: str):
+    from pyarrow.fs import FileSystem
+
+    fs, base = FileSystem.from_uri("file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+    return fs, base.rstrip("/")
+
+
 def write_people(people: DataFrame, path: str) -> None:
     """(key, name) as one JSON object with sorted keys, nothing where there are none. A corpus's people are a small dimension: one row of text."""
     one = people.where("key is not null").groupBy().agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "name"))))).alias("value")).where("value <> '{}'")

@@ -40,7 +40,8 @@ def test_urls(spark):
     assert values(spark, T.is_playlist_url(X), *urls)[:4] == [False, False, False, True]
     assert values(spark, T.is_playlist_url(X, True), *urls)[0] is True and values(spark, T.is_ambiguous_url(X), *urls)[0] is True
     assert values(spark, T.anchor_url(X, F.lit(61_999)), urls[0], "https://a.invalid/e.mp3#t=3", "") == ["https://www.youtube.com/watch?v=abcdefghijk&t=61s", "https://a.invalid/e.mp3#t=61", ""]
-    assert values(spark, feeds.is_podcast(X), "Some Show", "https://x.invalid/feed.xml", "https://feeds.x.invalid/a", "https://podcasts.apple.com/us/podcast/id9", "https://www.youtube.com/watch?v=abcdefghijk", "-x", "") == [True, True, True, True, False, False, False]
+    assert values(spark, feeds.is_podcast(X), "Some Show", "https://x.invalid/feed.xml", "https://feeds.x.invalid/a", "https://podcasts.apple.com/us/podcast/id9", "https://www.youtube.com/watch?v=abcdefghijk", "-x", "") == [True, True, False, True, False, False, False]  # a host called feeds is no sign
+    assert values(spark, feeds.is_podcast(X), "https://feeds.x.invalid", "https://x.invalid/a.xml?b=/rss", "https://x.invalid/a?b=/rss/") == [False, True, False]
     assert values(spark, feeds.route(X), "Some Show", "https://x.invalid/rss/", "https://podcasts.apple.com/a/id9", "https://open.spotify.com/show/1") == ["search", "feed", "apple", "storefront"]
 
 

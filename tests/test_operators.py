@@ -339,3 +339,72 @@ def test_transcripts_in_all_forms(spark, tmp_path):
     assert rows(documents.read_people(spark, str(tmp_path / "people"))) == [("a a", "A A"), ("b b", "B B")]
     e = spark.createDataFrame([("f", 0, "i1", "a", ""), ("f", 1, "i2", "", "")], "feed string, pos int, id string, audio string, transcript_url string")
     assert rows(feeds.references(e)) == [("f", 0, "podcast:f#i1")]
+
+
+def test_chapters_of_metadata(spark):
+    """Titles that say nothing are dropped, the rest are trimmed and placed."""
+    info = '{"chapters": [{"start_time": 1.5, "title": " Opening "}, {"start_time": 60, "title": "<Untitled Chapter 2>"}, {"start_time": 61, "title": "<UNTITLED chapter 12>"}, {"title": "No start"}, {"start_time": 90, "title": "  "}, {"start_time": 100, "title": "Untitled Chapter 1"}]}'
+    m = spark.createDataFrame([("a", info), ("b", None), ("c", "{}"), ("d", "broken")], "video_id string, info string")
+    got = sorted(tuple(r) for r in cuts.chapters_of(m).collect())
+    assert got == [("a", 0, "00:00", "No start"), ("a", 1500, "00:01", "Opening"), ("a", 100_000, "01:40", "Untitled Chapter 1")]
+    assert cuts.chapters_of(m.limit(0)).collect() == []
+
+
+def test_spans_with_wild_ends(spark):
+    """A span that ends in a million years costs no more than the recording it lies in."""
+    c = spark.createDataFrame([("a", i, i * 1000, i * 1000 + 900, "w") for i in range(100)], "video_id string, seq long, start_ms long, end_ms long, text string")
+    s = spark.createDataFrame([("a", 60_000, 10**16), ("b", 0, 10**17), ("a", -(10**16), 500)], "video_id string, start_ms long, end_ms long")
+    kept, applied = cuts.cut_spans(c, s)
+    assert sorted(r.seq for r in kept.collect()) == list(range(1, 60)) and applied.count() == 2
+
+
+def test_results_of_many_recordings_are_one_graph(spark):
+    r = spark.createDataFrame(
+        [("v1", "First", None, 2, None, [("Ann Berger", "host", False), ("Bob", "", True)], [(1, "Ann Berger", "Bob", "cites", "q", "00:01", "high")]), ("v2", "Second", "limit reached", None, None, None, None), ("v3", "Third", "", 1, 4, [("ANN BERGER", "guest", False)], [])],
+        graph.RESULT,
+    )
+    people, edges, failed, totals = graph.merge_results(r)
+    assert sorted((p.key, p.name, p.videos, list(p.roles)) for p in people.collect()) == [("ann berger", "Ann Berger", 2, ["host", "guest"]), ("bob@v1", "Bob", 1, [])]
+    assert [(e.video_id, e.pos, e.edge_id) for e in edges.collect()] == [("v1", 1, 1)]
+    assert [tuple(f) for f in failed.collect()] == [("v2", "Second", "limit reached")] and tuple(totals.first()) == (3, 4, 1)
+    assert tuple(graph.merge_results(r.limit(0))[3].first()) == (0, 0, 0)
+
+
+def test_appearances_link_to_their_transcripts(spark):
+    m = spark.createDataFrame([("ann berger", "Ann Berger", [], 2, ["abcdefghijk", "zzzzzzzzzzz"], False)], "key string, name string, roles array<string>, videos long, appears_in array<string>, local boolean")
+    e = spark.createDataFrame([], "edge_id long, video_id string, pos int, from_name string, to_name string, kind string, evidence string, timestamp string, confidence string, video string, url string")
+    r = spark.createDataFrame([("abcdefghijk", "A talk"), ("zzzzzzzzzzz", "Gone")], "video_id string, title string")
+    files = documents.transcript_index(spark.createDataFrame([("a-talk-abcdefghijk.md",), ("notes.md",)], "name string"))
+    body = render.person_notes(m, e, r, files=files).first().body
+    assert body.endswith("## Appears in\n\n- [[a-talk-abcdefghijk|A talk]]\n- Gone\n") and "[[" not in render.person_notes(m, e, r).first().body
+
+
+def test_one_output_of_many_documents(spark):
+    import json
+
+    d = spark.createDataFrame([("b", '{"x": 2}'), ("a", '{"x": 1}'), ("c", None)], "video_id string, body string")
+    out = lambda df, js: "".join(r.chunk for r in render.stacked(df, js).orderBy("video_id").collect())
+    assert json.loads(out(d, True)) == [{"x": 1}, {"x": 2}] and json.loads(out(d.where("video_id = 'a'"), True)) == {"x": 1}
+    assert out(d, False) == '{"x": 1}\n\n{"x": 2}' and out(d.limit(0), True) == ""
+
+
+def test_names_a_corpus_learns(spark):
+    labels = spark.createDataFrame([("v1", 1, "Ann Berger", True), ("v2", 1, "ann berger", True), ("v2", 2, "Bob Carter", True), ("v2", 3, "Eve", False), ("v3", 1, None, False)], "video_id string, n int, speaker string, grounded boolean")
+    corpus = spark.createDataFrame([("bob carter", "Bob Carter")], "key string, name string")
+    assert [tuple(r) for r in resolve.learned(labels, corpus).collect()] == [("v1", 1)]
+    assert sorted(tuple(r) for r in resolve.learned(labels, corpus.limit(0)).collect()) == [("v1", 1), ("v2", 1)]
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from cuewright import session
+
+    class Context:
+        master = "spark://head:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session())
