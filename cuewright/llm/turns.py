@@ -52,16 +52,6 @@ _PHRASES = {tuple(p.split()) for p in FILLER_PHRASES}
 _HEADS = {p[0] for p in _PHRASES}
 
 
-class Token(NamedTuple):
-    start: int
-    end: int
-    kind: int
-    flag: int  # what a list says, or 0
-    shape: int
-    word: int  # a hash of the words in it
-    span: object
-
-
 def _case(w: str) -> int:
     if any(c.isdigit() for c in w):
         return 5
@@ -84,8 +74,7 @@ def _plain(token: str) -> tuple[int, int, int, int, str]:
     return WORD, FILLED if is_filler(low) else MAYBE if low in MAYBE_FILLERS else 0, shape, zlib.crc32(low.encode()), low
 
 
-@lru_cache(1 << 14)
-def _spanned(text: str, kind: int) -> tuple[int, int]:
+def _spanned(text: str) -> tuple[int, int]:
     """(shape, hash) of a label or of what stands in brackets."""
     w = text.strip("[](){}<>*♪♫（）【】 ").split()
     if not w:
@@ -94,53 +83,152 @@ def _spanned(text: str, kind: int) -> tuple[int, int]:
     return shape, zlib.crc32(w[0].lower().encode())
 
 
-def tokens(text: str, a: int, z: int) -> list[Token]:
-    """The tokens of a unit."""
-    out, at = [], a
+class Words:
+    """Numbers for tokens, and of each number: what it looks like (kind, what a list says, shape, a hash of the words in it), how it is written, whether it holds a letter or digit, the tag it carries if its look is reliable."""
+
+    def __init__(self):
+        self.number: dict[object, int] = {}
+        self.look: list[tuple[int, int, int, int]] = []
+        self.raw: list[str] = []
+        self.said: list[bool] = []
+        self.seed: list[int] = []
+        self.heads: set[int] = set()  # may begin a phrase that is a filler
+        self.low: list[str] = []
+
+    def _add(self, key: object, kind: int, flag: int, shape: int, word: int, raw: str, low: str = "", seed: int = -1) -> int:
+        n = self.number[key] = len(self.look)
+        self.look.append((kind, flag, shape, word))
+        self.raw.append(raw)
+        self.said.append(any(c.isalnum() for c in raw))
+        self.low.append(low)
+        self.seed.append(seed)
+        if low in _HEADS:
+            self.heads.add(n)
+        return n
+
+    def plain(self, token: str) -> int:
+        n = self.number.get(token)
+        if n is None:
+            kind, flag, shape, word, low = _plain(token)
+            seed = SPEECH if kind == MARKS else FILLER if flag == FILLED else -1 if flag == MAYBE else SPEECH
+            n = self._add(token, kind, flag, shape, word, token, low, seed)
+        return n
+
+    def phrase(self, a: int, b: int) -> int:
+        n = self.number.get((a, b))
+        return self._add((a, b), WORD, MAYBE, self.look[b][2], self.look[b][3], f"{self.raw[a]} {self.raw[b]}") if n is None else n
+
+    def span(self, x, raw: str, known: bool = False) -> int:
+        """known: as a label that means a known name."""
+        key = (x.kind, x.form, raw, known)
+        n = self.number.get(key)
+        if n is None:
+            if x.kind == "label":
+                kind, flag = _FORMS[x.form], KNOWN if known else NUMBER if NUMBERED.match(x.text) else 0
+            else:
+                kind = MARKER if x.kind == "marker" else TIMED if x.kind == "time" else BRACKET
+                flag = KNOWN if known else NOTED if x.kind == "note" else 0
+            if kind == TIMED:
+                seed = STAMP
+            elif kind in (MARKER, BOLD, VOICE) or flag in (NUMBER, KNOWN):
+                seed = SPEAKER
+            elif kind == BRACKET:
+                seed = NOTE if flag == NOTED else SPEECH if len(x.text.split()) > 4 or x.text[-2:-1] in ".!?。！？…" else -1
+            else:
+                seed = -1
+            n = self._add(key, kind, flag, *(_spanned(x.text) if kind not in (MARKER, TIMED) else (0, 0)), raw, "", seed)
+        return n
+
+
+class Unit(NamedTuple):
+    tokens: list[int]
+    label: object  # the span that could be a label, or None
+    at: int  # where it stands among the tokens
+    notes: list[tuple[int, object]]  # where notes and brackets stand, for those who want to know
+    start: list[int]  # where tokens begin in the text, if asked for
+
+
+def read_unit(words: Words, text: str, a: int, z: int, where: bool = False) -> Unit:
+    """The tokens of a unit as numbers."""
+    out, start, at, label, label_at, notes = [], [], a, None, -1, []
+    plain, heads, low = words.plain, words.heads, words.low
     for x in [*scan(text, a, z), None]:
         stop = x.start if x else z
-        plain, k = [(m.start(), m.end(), *_plain(m.group())) for m in _WORD.finditer(text, at, stop)], 0
-        while k < len(plain):
-            i, j, kind, flag, shape, word, low = plain[k]
-            if low in _HEADS and k + 1 < len(plain) and (low, plain[k + 1][6]) in _PHRASES:
+        seg = [plain(t) for t in text[at:stop].split()]
+        pos = [m.start() for m in _WORD.finditer(text, at, stop)] if where else []
+        if heads and not heads.isdisjoint(seg):
+            k, merged, kept = 0, [], []
+            while k < len(seg):
+                n = seg[k]
+                kept.append(k)
+                if n in heads and k + 1 < len(seg) and (low[n], low[seg[k + 1]]) in _PHRASES:
+                    k += 1
+                    n = words.phrase(n, seg[k])
+                merged.append(n)
                 k += 1
-                j, flag = plain[k][1], MAYBE
-            out.append(Token(i, j, kind, flag, shape, word, None))
-            k += 1
+            seg, pos = merged, [pos[k] for k in kept] if where else []
+        out += seg
+        start += pos
         if x:
             if x.kind == "label":
-                kind, flag = _FORMS[x.form], NUMBER if NUMBERED.match(x.text) else 0
-            else:
-                kind = MARKER if x.kind == "marker" else TIMED if x.kind == "time" else BRACKET
-                flag = NOTED if x.kind == "note" else 0
-            out.append(Token(x.start, x.end, kind, flag, *(_spanned(x.text, kind) if kind not in (MARKER, TIMED) else (0, 0)), x))
+                label, label_at = x, len(out)
+            elif x.kind in ("note", "bracket"):
+                notes.append((len(out), x))
+            out.append(words.span(x, text[x.start : x.end]))
+            start.append(x.start)
             at = x.end
-    return out
+    return Unit(out, label, label_at, notes, start)
 
 
-_FLAGS = (1, 10, 11)  # what lists say
+def as_known(words: Words, text: str, u: Unit) -> list[int]:
+    """The tokens of a unit if its label means a known name."""
+    return [*u.tokens[: u.at], words.span(u.label, text[u.label.start : u.label.end], True), *u.tokens[u.at + 1 :]]
+
+
+_FLAGS = (1, 5, 6)  # features of what lists say
 _HIDE = (*_FLAGS, 3)  # what is hidden in the second copy
+_OWN, _NONE = 7, 20  # features of a token and its place; what stands beside the first and last
+_SPARE = (1 << BITS) - 1
 
 
-def _ids(seqs: list[list[Token]]) -> np.ndarray:
-    """Hashed features of all tokens of some sequences, one row a token."""
-    size = np.array([len(s) for s in seqs])
-    x = np.array([t[2:6] for s in seqs for t in s], np.int64).reshape(-1, 4)
-    kind, flag, shape, word = x.T
+def _hashed(columns: list[np.ndarray], first: int) -> np.ndarray:
+    out = np.empty((len(columns[0]), len(columns)), np.int64)
+    for i, c in enumerate(columns, first):
+        h = (c.astype(np.uint64) * np.uint64(24) + np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, i - first] = np.where(c < 0, _SPARE, (h >> np.uint64(64 - BITS)).astype(np.int64) % _SPARE)
+    return out
+
+
+def _own_ids(look: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hashed features of tokens that look so (kind, flag, shape, word) and stand there (1: last, 2: first)."""
+    kind, flag, shape, word = look.T
+    return _hashed([kind, np.where(flag > 0, kind * 8 + flag, -1), kind * 4096 + shape, np.where(word > 0, kind + word * 16, -1), (kind * 4096 + shape) * 4 + place, np.where(flag > 0, flag, -1), np.where(flag > 0, flag * 4 + place, -1)], 0)
+
+
+def _beside_ids(kind: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return _hashed([kind * 32 + before, kind * 32 + after, (before * 32 + kind) * 32 + after], _OWN)
+
+
+def _then_ids(kind: np.ndarray, then: np.ndarray) -> np.ndarray:
+    return _hashed([kind * 32 + then], _OWN + 3)
+
+
+def _around(look: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, kind before, kind after, case of the word after) of the tokens of sequences of these sizes."""
+    kind, case = look[:, 0], look[:, 2] // 72
     end = np.cumsum(size)
     first, last = np.zeros(len(kind), bool), np.zeros(len(kind), bool)
     first[end - size], last[end - 1] = True, True
-    before, after, then = np.full(len(kind), 20), np.full(len(kind), 20), np.full(len(kind), 20)
-    before[1:], after[:-1], then[:-1] = kind[:-1], kind[1:], shape[1:] // 72
-    before[first], after[last], then[last] = 20, 20, 20
-    place = first * 2 + last
-    none = np.full(len(kind), 1 << 20)
-    columns = [kind, np.where(flag > 0, kind * 8 + flag, none), kind * 4096 + shape, np.where(word > 0, kind + word * 16, none), kind * 4 + place, kind * 32 + before, kind * 32 + after, (kind * 4096 + shape) * 4 + place, kind * 32 + then, (before * 32 + kind) * 32 + after, np.where(flag > 0, flag, none), np.where(flag > 0, flag * 4 + place, none)]
-    out = np.empty((len(kind), len(columns)), np.int64)
-    for i, c in enumerate(columns):
-        h = (c.astype(np.uint64) * np.uint64(2 * len(columns)) + np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15)
-        out[:, i] = np.where(c == 1 << 20, (1 << BITS) - 1, (h >> np.uint64(64 - BITS)).astype(np.int64) % ((1 << BITS) - 1))
-    return out
+    before, after, then = np.full(len(kind), _NONE), np.full(len(kind), _NONE), np.full(len(kind), _NONE)
+    before[1:], after[:-1], then[:-1] = kind[:-1], kind[1:], case[1:]
+    before[first], after[last], then[last] = _NONE, _NONE, _NONE
+    return first * 2 + last, before, after, then
+
+
+def _ids(look: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashed features of all tokens of some sequences, one row a token."""
+    place, before, after, then = _around(look, size)
+    return np.concatenate([_own_ids(look, place), _beside_ids(look[:, 0], before, after), _then_ids(look[:, 0], then)], 1)
 
 
 class Model(NamedTuple):
@@ -149,63 +237,78 @@ class Model(NamedTuple):
     first: np.ndarray
     move: np.ndarray
 
-    def scores(self, ids: np.ndarray) -> np.ndarray:
+
+class Tagger:
+    """A model at work: what it says of tokens and of neighbours is looked up, each look scored once."""
+
+    def __init__(self, m: Model):
+        self.m, self.words = m, Words()
+        n = _NONE + 1
+        grid = np.indices((n, len(KINDS), n)).reshape(3, -1)
+        self.beside = m.weight[_beside_ids(grid[1], grid[0], grid[2])].sum(1).reshape(n, len(KINDS), n, -1)
+        grid = np.indices((len(KINDS), n)).reshape(2, -1)
+        self.then = m.weight[_then_ids(grid[0], grid[1])].sum(1).reshape(len(KINDS), n, -1)
+        self.own, self.look, self.known = np.zeros((1024, 4, len(TAGS)), np.float32), np.zeros((1024, 4), np.int64), 0
+
+    def _learn(self) -> None:
+        """Scores the looks that are new."""
+        n = len(self.words.look)
+        if n > len(self.own):
+            more = max(n, 2 * len(self.own)) - len(self.own)
+            self.own, self.look = np.concatenate([self.own, np.zeros((more, 4, len(TAGS)), np.float32)]), np.concatenate([self.look, np.zeros((more, 4), np.int64)])
+        new = np.array(self.words.look[self.known :], np.int64).reshape(-1, 4)
+        self.look[self.known : n] = new
+        for place in range(4):
+            self.own[self.known : n, place] = self.m.weight[_own_ids(new, np.full(len(new), place))].sum(1)
+        self.known = n
+
+    def forget(self, most: int = 500_000) -> None:
+        """Begins anew if too many tokens have been met: what a worker holds is bounded."""
+        if len(self.words.look) > most:
+            self.words, self.known = Words(), 0
+
+    def scores(self, tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Of each token and tag: the logarithm of how much likelier the look makes the tag."""
-        s = self.weight[ids].sum(1)
+        if self.known < len(self.words.look):
+            self._learn()
+        look = self.look[tokens]
+        place, before, after, then = _around(look, size)
+        kind = look[:, 0]
+        s = self.own[tokens, place] + self.beside[before, kind, after] + self.then[kind, then]
         s -= s.max(1, keepdims=True)
-        return s - np.log(np.exp(s).sum(1, keepdims=True)) - self.prior / 2
-
-
-def decode(seqs: list[list[Token]], m: Model, cells: int = 400_000) -> list[np.ndarray]:
-    """Viterbi: the tags of each sequence; all of like length in step, in chunks of a bounded number of cells."""
-    out: list = [None] * len(seqs)
-    order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-    k = 0
-    while k < len(order):
-        n = max(1, min(2048, cells // max(1, len(seqs[order[k]]))))
-        part = order[k : k + n]
-        k += n
-        size = np.array([len(seqs[i]) for i in part])
-        if not size[0]:
-            for i in part:
-                out[i] = np.zeros(0, np.int8)
-            continue
-        part, size = [i for i in part if seqs[i]], size[size > 0]
-        emit = m.scores(_ids([seqs[i] for i in part]))
-        begin = np.cumsum(size) - size
-        longest = int(size[0])
-        back, score = np.zeros((longest, len(part), len(TAGS)), np.int8), m.first + emit[begin]
-        for t in range(1, longest):
-            live = int((size > t).sum())
-            step = score[:live, :, None] + m.move
-            back[t, :live] = step.argmax(1)
-            score[:live] = step.max(1) + emit[begin[:live] + t]
-        path = np.zeros((longest, len(part)), np.int8)
-        now = score.argmax(1)
-        for t in range(longest - 1, -1, -1):
-            live = int((size > t).sum())
-            path[t, :live] = now[:live]
-            if t:
-                now[:live] = back[t, np.arange(live), now[:live]]
-        for r, i in enumerate(part):
-            out[i] = path[: size[r], r]
-    for i, s in enumerate(seqs):
-        if out[i] is None:
-            out[i] = np.zeros(0, np.int8)
-    return out
-
-
-def seed(t: Token) -> int:
-    """The tag of a token of a reliable look, else -1."""
-    if t.kind == TIMED:
-        return STAMP
-    if t.kind in (MARKER, BOLD, VOICE) or t.flag in (NUMBER, KNOWN):
-        return SPEAKER
-    if t.kind == BRACKET:
-        return NOTE if t.flag == NOTED else SPEECH if isinstance(t.span, tuple) and (len(t.span.text.split()) > 4 or t.span.text[-2:-1] in ".!?。！？…") else -1
-    if t.kind == WORD:
-        return FILLER if t.flag == FILLED else -1 if t.flag == MAYBE else SPEECH
-    return SPEECH if t.kind == MARKS else -1
+        return s - np.log(np.exp(s).sum(1, keepdims=True)) - self.m.prior / 2
+
+    def decode(self, seqs: list[list[int]], cells: int = 400_000) -> list[np.ndarray]:
+        """Viterbi: the tags of each sequence; all of like length in step, in chunks of a bounded number of cells."""
+        m = self.m
+        out: list = [np.zeros(0, np.int8)] * len(seqs)
+        order = sorted((i for i in range(len(seqs)) if seqs[i]), key=lambda i: -len(seqs[i]))
+        k = 0
+        while k < len(order):
+            part = order[k : k + max(1, min(2048, cells // len(seqs[order[k]])))]
+            k += len(part)
+            size = np.array([len(seqs[i]) for i in part])
+            emit = self.scores(np.fromiter((t for i in part for t in seqs[i]), np.int64, int(size.sum())), size)
+            begin = np.cumsum(size) - size
+            longest = int(size[0])
+            live = np.searchsorted(-size, -np.arange(longest), side="left")  # sequences longer than t
+            back, score = np.zeros((longest, len(part), len(TAGS)), np.int8), m.first + emit[begin]
+            for t in range(1, longest):
+                n = live[t]
+                step = score[:n, :, None] + m.move
+                best = step.argmax(1)
+                back[t, :n] = best
+                score[:n] = np.take_along_axis(step, best[:, None, :], 1)[:, 0] + emit[begin[:n] + t]
+            path = np.zeros((longest, len(part)), np.int8)
+            now = score.argmax(1)
+            for t in range(longest - 1, -1, -1):
+                n = live[t]
+                path[t, :n] = now[:n]
+                if t:
+                    now[:n] = back[t, np.arange(n), now[:n]]
+            for r, i in enumerate(part):
+                out[i] = path[: size[r], r]
+        return out
 
 
 #: Lines of every kind of token, so that a model fitted on few texts knows them all.
@@ -217,29 +320,29 @@ _SEEDS = (
 
 def fit(texts: list[str], rounds: int = 150, l2: float = 1e-6) -> Model:
     """Fitted on the tokens of the texts (and of a few lines that show every kind) whose look is reliable."""
-    seqs = [o for t in [_SEEDS, *texts] for a, z in units(t or "") if (o := tokens(t, a, z))]
-    flat = [t for s in seqs for t in s]
-    ids, want = _ids(seqs), np.array([seed(t) for t in flat])
+    words = Words()
+    read = [(t, u) for t in [_SEEDS, *texts] for a, z in units(t or "") if (u := read_unit(words, t, a, z)).tokens]
     # A label that means a known name is one, whatever it looks like: labels, and notes that open a line, are shown as such too.
-    known = [[*s[:i], t._replace(flag=KNOWN), *s[i + 1 :]] for s in seqs for i, t in enumerate(s) if t.span is not None and (t.span.kind == "label" or (t.flag == NOTED and i == 0))]
-    at = np.cumsum([0] + [len(s) for s in known])
-    of = [a + next(i for i, t in enumerate(s) if t.flag == KNOWN) for a, s in zip(at, known)]
-    kind = np.array([t.kind for t in flat])
-    keep = (want >= 0) & ((kind != WORD) | (want != SPEECH) | (np.arange(len(flat)) % PLAIN == 0) | (np.array([len(s) for s in seqs]).repeat([len(s) for s in seqs]) < 3))
+    spans = [(u, u.at, words.span(u.label, t[u.label.start : u.label.end], True)) for t, u in read if u.label is not None]
+    spans += [(u, 0, words.span(u.notes[0][1], t[u.notes[0][1].start : u.notes[0][1].end], True)) for t, u in read if u.notes and u.notes[0][0] == 0 and u.notes[0][1].kind == "note"]
+    known = [[*u.tokens[:i], n, *u.tokens[i + 1 :]] for u, i, n in spans]
+    look, seeds = np.array(words.look, np.int64), np.array(words.seed)
+    flat = lambda seqs: (np.concatenate([np.array(s) for s in seqs]), np.array([len(s) for s in seqs]))
+    tokens, size = flat([u.tokens for _, u in read])
+    ids, want, kind = _ids(look[tokens], size), seeds[tokens], look[tokens, 0]
+    keep = (want >= 0) & ((kind != WORD) | (want != SPEECH) | (np.arange(len(tokens)) % PLAIN == 0) | (size < 3).repeat(size))
     weight = np.where((kind == WORD) & (want == SPEECH), float(PLAIN), 1.0)[keep]
-    x, y = [ids[keep]], [want[keep]]
     hidden = ids[keep].copy()
-    hidden[:, list(_HIDE)] = (1 << BITS) - 1
-    x.append(hidden)
-    y.append(want[keep])
-    weights = [weight, weight / 2]
-    if of:
-        told = _ids(known)[of]
-        bare = np.full_like(told, (1 << BITS) - 1)
+    hidden[:, list(_HIDE)] = _SPARE
+    x, y, weights = [ids[keep], hidden], [want[keep], want[keep]], [weight, weight / 2]
+    if known:
+        more, lengths = flat(known)
+        told = _ids(look[more], lengths)[np.cumsum(lengths) - lengths + np.array([i for _, i, _ in spans])]
+        bare = np.full_like(told, _SPARE)
         bare[:, _FLAGS] = told[:, _FLAGS]  # once by nothing but what is known of it
         x += [told, bare]
-        y += [np.full(len(of), SPEAKER)] * 2
-        weights += [np.full(len(of), 50.0)] * 2
+        y += [np.full(len(told), SPEAKER)] * 2
+        weights += [np.full(len(told), 50.0)] * 2
     x, inverse = np.unique(np.column_stack([np.concatenate(x), np.concatenate(y)]), axis=0, return_inverse=True)
     c = np.bincount(inverse.ravel(), np.concatenate(weights))
     x, y = x[:, :-1], x[:, -1]
@@ -256,7 +359,6 @@ def fit(texts: list[str], rounds: int = 150, l2: float = 1e-6) -> Model:
     prior = np.log((hot * c[:, None]).sum(0) + 1e-4)
     # Steps from tag to tag, counted on what the looks alone say.
     local = w[ids].sum(1).argmax(1)
-    size = np.array([len(s) for s in seqs])
     begins = np.zeros(len(local), bool)
     begins[np.cumsum(size) - size] = True
     first, move = np.ones(len(TAGS)), np.ones((len(TAGS), len(TAGS)))
@@ -271,22 +373,21 @@ _UNIT = [("unit", pa.int32(), T.IntegerType()), ("opens", pa.bool_(), T.BooleanT
          ("clean", pa.string(), T.StringType()), ("known_label", pa.string(), T.StringType()), ("known_speech", pa.bool_(), T.BooleanType()), ("known_clean", pa.string(), T.StringType())]
 
 
-def _read(text: str, toks: list[Token], path: np.ndarray, with_text: bool) -> tuple:
-    """(label, form, number, speech, clean) of a unit as it is decoded."""
+def _read(words: Words, tokens: list[int], path: np.ndarray, u: Unit, known: bool, with_text: bool) -> tuple:
+    """(label, form, number, speech, clean) of a unit as it is decoded; known: its label means a known name."""
     label = form = number = None
-    words, speech = [], False
-    for t, tag in zip(toks, path):
-        if tag == SPEAKER and t.span is not None and t.span.kind == "label":
-            label, form = t.span.text, t.span.form
-            m = NUMBERED.match(label)
-            number = int(m.group(1)) if m else None
-            if m is None and t.flag != KNOWN and form in ("colon", "dash") and with_text:
-                words.append(text[t.start : t.end])  # it means nobody: words before a colon
-        elif tag == SPEECH:
-            speech = speech or any(c.isalnum() for c in text[t.start : t.end])
-            if with_text:
-                words.append(text[t.start : t.end])
-    return label, form, number, speech, " ".join(words) if with_text else None
+    if u.label is not None and path[u.at] == SPEAKER:
+        label, form = u.label.text, u.label.form
+        m = NUMBERED.match(label)
+        number = int(m.group(1)) if m else None
+    kept = [t for t, tag in zip(tokens, path.tolist()) if tag == SPEECH]
+    said = words.said
+    speech = any(said[t] for t in kept)
+    if not with_text:
+        return label, form, number, speech, None
+    if label is not None and number is None and not known and form in ("colon", "dash"):
+        kept = [t for i, (t, tag) in enumerate(zip(tokens, path.tolist())) if tag == SPEECH or i == u.at]  # it means nobody: words before a colon
+    return label, form, number, speech, " ".join(words.raw[t] for t in kept)
 
 
 def tagged_paragraphs(paragraphs: DataFrame, tables: Model, text: bool = True) -> DataFrame:
@@ -297,23 +398,25 @@ def tagged_paragraphs(paragraphs: DataFrame, tables: Model, text: bool = True) -
     schema = T.StructType([*[d.schema[c] for c in ("video_id", "n", "turn", "ms")], T.StructField("units", T.ArrayType(T.StructType([T.StructField(n, k) for n, _, k in _UNIT])))])
 
     def run(batches):
+        tagger = Tagger(b.value)
         for whole in batches:
             for lo in range(0, len(whole), 1000):
+                tagger.forget()
+                words = tagger.words
                 rows = whole.slice(lo, 1000)
-                where, seqs, texts = [], [], rows.column("text").to_pylist()
+                where, read, texts = [], [], rows.column("text").to_pylist()
                 for i, t in enumerate(texts):
                     for k, (a, z) in enumerate(units(t or "") or [(0, 0)]):
                         where.append((i, k))
-                        seqs.append(tokens(t or "", a, z))
+                        read.append(read_unit(words, t or "", a, z))
                 # Openings that could be labels, numbered ones aside, are read a second time as known ones.
-                twice = [(i, [t._replace(flag=KNOWN) if t.span is not None and t.span.kind == "label" else t for t in s]) for i, s in enumerate(seqs) if any(t.span is not None and t.span.kind == "label" and t.flag != NUMBER for t in s)]
-                paths = decode(seqs + [s for _, s in twice], b.value)
-                known = {i: _read(texts[where[i][0]], s, path, with_text) for (i, s), path in zip(twice, paths[len(seqs) :])}
-                out = []
+                twice = [(i, as_known(words, texts[where[i][0]], u)) for i, u in enumerate(read) if u.label is not None and words.look[u.tokens[u.at]][1] != NUMBER]
+                paths = tagger.decode([u.tokens for u in read] + [s for _, s in twice])
+                known = {i: _read(words, s, path, read[i], True, with_text) for (i, s), path in zip(twice, paths[len(read) :])}
+                out, nothing = [], (None, None, None, None, None)
                 for i, (p, k) in enumerate(where):
-                    t = texts[p] or ""
-                    other = known.get(i, (None, None, None, None, None))
-                    out.append((k, k == 0 and bool(_OPENING.match(t)), *_read(t, seqs[i], paths[i], with_text), other[0], other[3], other[4]))
+                    other = known.get(i, nothing)
+                    out.append((k, k == 0 and bool(_OPENING.match(texts[p] or "")), *_read(words, read[i].tokens, paths[i], read[i], False, with_text), other[0], other[3], other[4]))
                 count = np.bincount([p for p, _ in where], minlength=len(rows))
                 inner = pa.StructArray.from_arrays([pa.array([x[j] for x in out], kind) for j, (_, kind, _) in enumerate(_UNIT)], names=[x[0] for x in _UNIT])
                 offsets = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,13 +55,14 @@ def test_the_decoded_tag_decides_what_a_label_is(spark):
     """An opening before a colon is a label where it is decoded as one, and words where it is decoded as speech."""
     ship(spark)
     m = R.fit(["One thing: it rains", "so it goes on"])
-    (opening, *_), = [R.tokens(t, 0, len(t)) for t in ["One thing: it rains"]]
-    looks = R._ids([[opening]])[0]
+    words = R.Words()
+    opening = R.read_unit(words, "One thing: it rains", 0, 19).tokens[0]
+    kind = R._own_ids(np.array([words.look[opening]]), np.array([2]))[0][0]  # what its kind alone says
     p = spark.createDataFrame([("a", 1, 1, 0, "One thing: it rains")], "video_id string, n int, turn int, ms long, text string")
     read = {}
     for tag in (R.SPEAKER, R.SPEECH):
         w = m.weight.copy()
-        w[looks[0], :], w[looks[0], tag] = -50.0, 50.0  # what its kind alone says
+        w[kind, :], w[kind, tag] = -50.0, 50.0
         read[tag] = [(u.label, u.form, u.number, u.speech, u.clean) for u in R.tagged_units(p, m._replace(weight=w)).collect()]
     assert read == {R.SPEAKER: [("One thing", "colon", None, True, "One thing: it rains")], R.SPEECH: [(None, None, None, True, "One thing: it rains")]}
     assert [(u.known_label, u.known_speech, u.known_clean) for u in R.tagged_units(p, m).collect()] == [("One thing", True, "it rains")]
@@ -75,26 +77,27 @@ def test_notes_no_list_has(data, monkeypatch):
     texts = [r[0] for r in duckdb.sql(f"select distinct text from '{data.replace('sf0.001', 'sf0.01')}/paragraphs.parquet' where text is not null order by text").fetchall()]
     hidden = {"laughs", "applause", "crosstalk", "sighs", "noise"}
     train, held = texts[::2], texts[1::2]
-    seqs = [(t, o) for t in held for a, z in R.units(t) if (o := R.tokens(t, a, z))]
-    where = {(t, k.start) for t, o in seqs for k in o if k.flag == R.NOTED and hidden & set(re.findall(r"\w+", k.span.text.lower()))}
-    sure = {(t, k.start): R.seed(k) for t, o in seqs for k in o if R.seed(k) >= 0}
+    words = R.Words()
+    read = [(t, u) for t in held for a, z in R.units(t) if (u := R.read_unit(words, t, a, z, where=True)).tokens]
+    where = {(t, u.start[i]) for t, u in read for i, x in u.notes if words.look[u.tokens[i]][1] == R.NOTED and hidden & set(re.findall(r"\w+", x.text.lower()))}
+    sure = {(t, u.start[i]): words.seed[n] for t, u in read for i, n in enumerate(u.tokens) if words.seed[n] >= 0}
     monkeypatch.setattr(marks, "NOTE_WORDS", marks.NOTE_WORDS - hidden)
-    m = R.fit(train)
-    counts = {}
+    tagger = R.Tagger(R.fit(train))
+    counts, w = {}, R.Words()
     for t in train:
         for a, z in R.units(t):
-            for k in R.tokens(t, a, z):
-                if R.seed(k) >= 0:
-                    counts.setdefault((k.kind, k.flag), []).append(R.seed(k))
+            for n in R.read_unit(w, t, a, z).tokens:
+                if w.seed[n] >= 0:
+                    counts.setdefault(w.look[n][:2], []).append(w.seed[n])
     likeliest = {s: max(set(v), key=v.count) for s, v in counts.items()}
-    new = [(t, o) for t in held for a, z in R.units(t) if (o := R.tokens(t, a, z))]
+    new = [(t, u) for t in held for a, z in R.units(t) if (u := R.read_unit(tagger.words, t, a, z, where=True)).tokens]
     hit = by_map = right = n = 0
-    for (t, o), path in zip(new, R.decode([o for _, o in new], m)):
-        for k, tag in zip(o, path):
-            if (t, k.start) in where:
-                hit, by_map, n = hit + (tag == R.NOTE), by_map + (likeliest.get((k.kind, k.flag)) == R.NOTE), n + 1
-            elif (t, k.start) in sure:
-                right += tag == sure[t, k.start]
+    for (t, u), path in zip(new, tagger.decode([u.tokens for _, u in new])):
+        for at, number, tag in zip(u.start, u.tokens, path):
+            if (t, at) in where:
+                hit, by_map, n = hit + (tag == R.NOTE), by_map + (likeliest.get(tagger.words.look[number][:2]) == R.NOTE), n + 1
+            elif (t, at) in sure:
+                right += tag == sure[t, at]
     print(f"notes of hidden words: {n}, decoded {hit}, by the map {by_map}; other sure tokens {right} of {len(sure) - n}")
     assert n > 50 and hit > 0.9 * n and by_map < 0.1 * n and right > 0.998 * (len(sure) - n)
 
