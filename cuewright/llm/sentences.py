@@ -18,11 +18,13 @@ from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.llm.marks import MAYBE_FILLERS, is_filler, scan, units
+from cuewright.llm.rows import first_of, gathered
 from cuewright.llm.sampling import fit_texts
 
 #: Rows of text the model is fitted on, at most.
@@ -280,17 +282,15 @@ def sentences(df: DataFrame, keys: list[str], text: str, trained_on: DataFrame |
     but for the drop of repeated ones; further columns are ignored. trained_on: other texts, in a column of the same name, to fit the model on.
     """
     w = model(df if trained_on is None else trained_on, text, sample)
-    d = df.select(*keys, F.col(f"`{text}`").alias("__t")).where(F.col("__t").isNotNull()).groupBy(*keys).agg(F.min("__t").alias("__t"))
+    d = gathered(df.select(*keys, F.col(f"`{text}`").alias("__t")).where(F.col("__t").isNotNull()), keys, ["__t"])
     schema = T.StructType([*d.select(*keys).schema.fields, T.StructField("end_pos", T.IntegerType())])
     b = df.sparkSession.sparkContext.broadcast(w)
 
     def run(batches):
-        for pdf in batches:
-            texts = pdf["__t"].tolist()
+        for rows in first_of(batches, keys):
+            texts = rows.column("__t").to_pylist()
             found = [x for lo in range(0, len(texts), 1000) for x in batch_ends(texts[lo : lo + 1000], b.value)]
-            at = np.repeat(np.arange(len(pdf)), [len(f) for f in found])
-            out = pdf[keys].iloc[at].reset_index(drop=True)
-            out["end_pos"] = np.array([e for f in found for e in f], np.int32)
-            yield out
+            at = pa.array(np.repeat(np.arange(len(rows)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([*[rows.column(k).take(at) for k in keys], pa.array([e for f in found for e in f], pa.int32())], names=schema.names)
 
-    return d.mapInPandas(run, schema)
+    return d.mapInArrow(run, schema)

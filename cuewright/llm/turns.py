@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from cuewright.functions.text import milliseconds
 from cuewright.llm.marks import FILLER_PHRASES, MAYBE_FILLERS, NUMBERED, TIME, is_filler, scan, units
 from cuewright.llm.people import deletions, fold_words, match_label, nick
+from cuewright.llm.rows import first_of, gathered
 from cuewright.llm.sampling import fit_texts
 from cuewright.operators.scan import _join, last_value
 from cuewright.session import cut
@@ -391,7 +392,7 @@ def _read(words: Words, tokens: list[int], path: np.ndarray, u: Unit, known: boo
 
 
 def tagged_paragraphs(paragraphs: DataFrame, tables: Model, text: bool = True) -> DataFrame:
-    """Rows (video_id, n, turn, ms, units) of the paragraphs (video_id, n, turn, ms, text): units holds what tagged_units says of each of its lines."""
+    """Rows (video_id, n, turn, ms, units) of the paragraphs (video_id, n, turn, ms, text): units holds what tagged_units says of each of its lines. Of rows that follow one another with one (video_id, n) the first counts."""
     with_text = text
     b = paragraphs.sparkSession.sparkContext.broadcast(tables)
     d = paragraphs.select("video_id", "n", F.col("turn").cast("long").alias("turn"), F.col("ms").cast("long").alias("ms"), "text")
@@ -399,7 +400,7 @@ def tagged_paragraphs(paragraphs: DataFrame, tables: Model, text: bool = True) -
 
     def run(batches):
         tagger = Tagger(b.value)
-        for whole in batches:
+        for whole in first_of(batches, ["video_id", "n"]):
             for lo in range(0, len(whole), 1000):
                 tagger.forget()
                 words = tagger.words
@@ -437,33 +438,43 @@ def tagged_units(paragraphs: DataFrame, tables: Model, text: bool = True) -> Dat
 def _named(labels: DataFrame, known: DataFrame) -> DataFrame:
     """Rows (video_id, label, speaker): what each label means among the names known for its recording; labels that mean none are left out.
 
-    Candidates come from an equi-join on the recording and a word, initials or a word less one letter, so typos of one letter meet; each is then scored, the best wins,
+    Candidates come from an equi-join on the recording and a word or initials, and for labels that fit none so, a word less one letter, so typos of one letter meet; each is then scored, the best wins,
     of equal ones the least name.
     """
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keys(x: pd.Series) -> pd.Series:
-        def of(raw: str) -> list[str]:
-            words = fold_words(raw)
-            out = {d for w in words for d in deletions(w)} | {nick(w) for w in words}
-            letters = [w[0] for w in words if w]
-            if len(letters) > 1:
-                out.add("=" + "".join(sorted((letters[0], letters[-1]))))
-            if len(words) == 1 and len(words[0]) in (2, 3):
-                out.add("=" + "".join(sorted((words[0][0], words[0][-1]))))
-            return sorted(out)
+    def keys(column: str, slips: bool):
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def of(x: pd.Series) -> pd.Series:
+            def one(raw: str) -> list[str]:
+                words = fold_words(raw)
+                out = {nick(w) for w in words} | ({d for w in words for d in deletions(w)} if slips else set(words))
+                letters = [w[0] for w in words if w]
+                if len(letters) > 1:
+                    out.add("=" + "".join(sorted((letters[0], letters[-1]))))
+                if len(words) == 1 and len(words[0]) in (2, 3):
+                    out.add("=" + "".join(sorted((words[0][0], words[0][-1]))))
+                return sorted(out)
 
-        return x.map(of)
+            return x.map(one)
+
+        return of(column)
 
     @F.pandas_udf(T.IntegerType())
     def score(label: pd.Series, name: pd.Series) -> pd.Series:
         return pd.Series([match_label(a, b) for a, b in zip(label, name)], dtype="int32")
 
-    left = labels.select("video_id", "label", F.explode(keys("label")).alias("key"))
-    right = known.select("video_id", "name").where("video_id is not null and name is not null").distinct().select("video_id", "name", F.explode(keys("name")).alias("key"))
-    pairs = left.join(right, ["video_id", "key"]).select("video_id", "label", "name").distinct()
-    scored = pairs.withColumn("s", score("label", "name")).where("s > 0")
-    return scored.groupBy("video_id", "label").agg(F.max(F.struct("s", F.col("name"))).alias("m"), F.max("s").alias("top"), F.min(F.struct((-F.col("s")).alias("s"), "name")).alias("best")).select("video_id", "label", F.col("best.name").alias("speaker"))
+    people = known.select("video_id", "name").where("video_id is not null and name is not null").distinct()
+
+    def best(some: DataFrame, slips: bool) -> DataFrame:
+        left = some.select("video_id", "label", F.explode(keys("label", slips)).alias("key"))
+        right = people.select("video_id", "name", F.explode(keys("name", slips)).alias("key"))
+        pairs = left.join(right, ["video_id", "key"]).select("video_id", "label", "name").distinct()
+        scored = pairs.withColumn("s", score("label", "name")).where("s > 0")
+        return scored.groupBy("video_id", "label").agg(F.min(F.struct((-F.col("s")).alias("s"), "name"))["name"].alias("speaker"))
+
+    # Who shares no word or initials with a name can only be a slip of all its words, which scores less than anything that does.
+    exact = cut(best(labels, False))
+    return exact.unionByName(best(labels.join(exact, ["video_id", "label"], "left_anti"), True))
 
 
 def model(paragraphs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -477,7 +488,7 @@ def speech_units(paragraphs: DataFrame, known: DataFrame, sample: int = SAMPLE,
     Texts are shuffled once, to drop repeated rows; what is scanned after that holds tags and labels only.
     """
     p = paragraphs.select("video_id", "n", "start_ms", "timestamp", "turn", "text").where("video_id is not null and n is not null")
-    p = p.groupBy("video_id", "n").agg(F.min(F.struct("text", "turn", "start_ms", "timestamp")).alias("x")).select("video_id", "n", "x.*")
+    p = gathered(p, ["video_id", "n"], ["text", "turn", "start_ms", "timestamp"])
     p = p.withColumn("ms", milliseconds(F.col("start_ms"), F.col("timestamp")))
     tagged = cut(tagged_paragraphs(p, model(paragraphs, sample), text))
     labels = tagged.select("video_id", F.explode(F.array_distinct(F.transform("units", lambda u: u["known_label"]))).alias("label")).where("label is not null").distinct()
