@@ -467,7 +467,7 @@ def _named(labels: DataFrame, known: DataFrame) -> DataFrame:
 
     def best(some: DataFrame, slips: bool) -> DataFrame:
         left = some.select("video_id", "label", F.explode(keys("label", slips)).alias("key"))
-        right = people.select("video_id", "name", F.explode(keys("name", slips)).alias("key"))
+        right = people.join(some.select("video_id").distinct(), "video_id", "left_semi").select("video_id", "name", F.explode(keys("name", slips)).alias("key"))
         pairs = left.join(right, ["video_id", "key"]).select("video_id", "label", "name").distinct()
         scored = pairs.withColumn("s", score("label", "name")).where("s > 0")
         return scored.groupBy("video_id", "label").agg(F.min(F.struct((-F.col("s")).alias("s"), "name"))["name"].alias("speaker"))
