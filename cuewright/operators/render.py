@@ -67,8 +67,8 @@ def markdown(recordings: DataFrame, paragraphs: DataFrame, chapters: DataFrame |
     A time without start_ms is read from timestamp; one that can be read from neither is 00:00. A timestamp in another form than the documents' is written in theirs.
     """
     r = recordings.select("video_id", "title", "url")
-    p = turn_markers(paragraphs).join(r, "video_id")
-    ms = T.milliseconds(F.col("start_ms"), F.col("timestamp"))
+    p = turn_markers(paragraphs).join(r, "video_id").withColumn("__ms", T.milliseconds(F.col("start_ms"), F.col("timestamp")))  # a column of its own, as it is used many times
+    ms = F.col("__ms")
     shown = F.coalesce(F.when(F.col("timestamp").rlike(r"^\d[\d:]*$"), F.col("timestamp")), T.stamp(ms), F.lit("00:00"))
     link = F.concat(F.lit("["), shown, F.lit("]("), T.anchor_url(F.col("url"), F.coalesce(ms, F.lit(0))), F.lit(") "), "marker", "text")
     lines = p.select("video_id", "n", F.lit(1).alias("k"), F.lit(0).cast("long").alias("s"), link.alias("line"))
