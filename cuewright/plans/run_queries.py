@@ -12,6 +12,7 @@ from cuewright.plans import name_queries as N
 from cuewright.plans import source_queries as S
 from cuewright.session import cut, scratch, ship, table
 from cuewright.sources import captions, documents, feeds, sinks
+from cuewright.streaming import resume
 
 
 def chapters_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +122,34 @@ def files_saved(spark, d):
     return back.join(documents.transcript_index(back), F.col("name") == F.concat("stem", F.lit(".md"))).select("video_id", "stem", "channel", "paragraphs")
 
 
+def notes_saved(spark, d):
+    """All notes written in one call: how many files there are then, and the statistics the call gives."""
+    folder = f"{scratch(spark)}-notes"
+    r = table(spark, d, "recordings")
+    m = cut(graph.merge_people(N._people(spark, d).where("video_id is not null")))
+    e = table(spark, d, "edges").join(r.groupBy("video_id").agg(F.min("title").alias("video"), F.min("url").alias("url")), "video_id", "left")
+    said = sinks.write_notes(m, e, r, folder)
+    files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    return said.withColumn("files", F.lit(files.count()))
+
+
+def first_mentions(spark, d):
+    """The first mention of each name in its recording."""
+    p = N._people(spark, d).where("video_id is not null and name is not null").groupBy("video_id", "name", "pos").agg(F.min("person_id").alias("person_id"))
+    return documents.first_seen(p, ["video_id"], "name", "pos").select("video_id", "name", "pos", "person_id")
+
+
+def stream_resumed(spark, d):
+    """Files that come in twice, some recordings with both deliveries, run by a stream that is stopped and taken up again: each recording is worked on once."""
+    base = scratch(spark)
+    r = table(spark, d, "recordings").where("video_id is not null").select("video_id", F.coalesce("punctuated", F.lit(False)).alias("p")).distinct()
+    first, second = r.where("p").select("video_id"), r.select("video_id")
+    for k, part in enumerate((first, second)):
+        part.write.mode("append").json(f"{base}/in")
+        resume.process_new(spark, f"{base}/in", "video_id string", f"{base}/out", f"{base}/state", lambda b: b.withColumn("failed", F.lit(None).cast("string")))
+    return spark.read.parquet(f"{base}/out").select("video_id", "batch")
+
+
 def _catalogue(spark, d):
     c = table(spark, d, "recordings").where("channel <> ''").select("channel").distinct()
     code = F.md5(F.encode("channel", "utf-8"))
@@ -155,7 +184,7 @@ def feed_references(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    chapters_scan, srt_scan, rendered_srt, stacked_srt, learned_names, retry_hints, retry_choice, merged_edges, merged_failed, merged_totals, log_scan, graph_saved, people_saved, files_saved, show_search, feed_targets, newest_episode, best_episode, feed_references,
+    chapters_scan, srt_scan, rendered_srt, stacked_srt, learned_names, retry_hints, retry_choice, merged_edges, merged_failed, merged_totals, log_scan, graph_saved, people_saved, files_saved, notes_saved, first_mentions, stream_resumed, show_search, feed_targets, newest_episode, best_episode, feed_references,
 )}
 
 _CATALOGUE = "cat AS (SELECT DISTINCT channel AS sh, 'https://cast.invalid/' || md5(channel) || '/rss' AS feed, CASE WHEN unicode(channel) % 2 = 0 THEN '12345' ELSE '999' END AS apple_id FROM recordings WHERE channel <> '')"
@@ -182,6 +211,9 @@ SELECT video_id, CASE WHEN p THEN turns ELSE 0 END::INTEGER AS turns FROM r WHER
     "files_saved": f"""WITH m AS ({S.SQL['markdown_documents']}), s AS ({S.SQL['slugs']}), t AS (SELECT video_id, max(coalesce(title, '')) AS title FROM recordings GROUP BY video_id),
 u AS (SELECT video_id, trim(left(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-') AS s FROM t)
 SELECT video_id, CASE WHEN s = '' THEN video_id ELSE s || '-' || video_id END AS stem, channel, paragraphs FROM m JOIN u USING (video_id) WHERE s <> ''""",
+    "notes_saved": f"WITH {N._MERGE}, {N._NOTES}, z AS ({N.SQL['note_statistics']}) SELECT z.*, (SELECT count(*) FROM nt) AS files FROM z",
+    "first_mentions": "SELECT video_id, name, min(pos) AS pos, arg_min(person_id, (pos, person_id)) AS person_id FROM people WHERE video_id IS NOT NULL AND name IS NOT NULL GROUP BY video_id, name",
+    "stream_resumed": "SELECT video_id, (NOT bool_or(coalesce(punctuated, false)))::BIGINT AS batch FROM recordings WHERE video_id IS NOT NULL GROUP BY video_id",
     "show_search": f"WITH {_CATALOGUE} SELECT sh AS \"show\", feed FROM cat WHERE contains(lower(sh), 'the') ORDER BY sh LIMIT 5",
     "feed_targets": f"""WITH {S._URLS}, {_CATALOGUE}, t AS (SELECT DISTINCT url FROM u WHERE url IS NOT NULL UNION SELECT substr(channel, 3, 9) FROM recordings WHERE length(channel) > 8),
 h AS (SELECT url, CASE WHEN starts_with(url, 'podcast:') THEN 'reference' WHEN {S._FEEDISH} THEN 'feed' WHEN {S._APPLE} THEN 'apple' WHEN {S._STORE} THEN 'storefront' ELSE 'search' END AS how FROM t),

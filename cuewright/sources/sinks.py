@@ -55,3 +55,12 @@ def write_graph(people: DataFrame, edges: DataFrame, folder: str) -> None:
 def append_log(results: DataFrame, path: str) -> None:
     """Results as lines of an append-only JSON log."""
     results.write.mode("append").json(path)
+
+
+def write_notes(people: DataFrame, edges: DataFrame, recordings: DataFrame, folder: str, weights: bool = False, files: DataFrame | None = None) -> DataFrame:
+    """A note for every person of a graph as a file of a folder, in one call; gives the row of statistics of what was written (people, recurring, local, edges, stated, implied)."""
+    from cuewright.operators.render import note_statistics, person_notes
+
+    notes = person_notes(people, edges, recordings, weights, files)
+    write_files(notes.select(notes.file.alias("name"), "body"), folder, ".md")
+    return note_statistics(people, edges)
