@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 FIT_CHARS = 10_000
 
 
-def least_hashes(df: DataFrame, column: str, size: int, total: int | None = None) -> list[str]:
-    """The different values of `column` with the least hashes, `size` at most; one that is repeated counts once. total: how many different ones there are, if known.
+def least_hashes(df: DataFrame, column: str, size: int) -> list[str]:
+    """The different values of `column` with the least hashes, `size` at most; one that is repeated counts once.
 
-    Only those whose hash lies in the share that holds some four times as many are made distinct and sorted: else every task would send `size` rows to the driver.
-    They are counted by their hashes, so texts are not shuffled for it.
+    Only values whose hash lies in a share of all hashes are made distinct and sorted, else every task would send `size` values to the driver: one that would hold some four times as
+    many if no value were repeated, and eight times that again until it holds enough or everything.
     """
     d = df.select(F.col(f"`{column}`").alias("t")).where(F.col("t").isNotNull()).withColumn("h", F.xxhash64("t"))
-    n = d.select("h").distinct().count() if total is None else total
-    if n > 4 * size:
-        d = d.where(F.col("h") < int(-(2**63) + 2**64 * (4 * size / n)))
-    return [r.t for r in d.distinct().orderBy("h", "t").limit(size).collect()]
+    share = 4 * size / max(1, df.count())
+    while True:
+        some = d if share >= 1 else d.where(F.col("h") < int(-(2**63) + 2**64 * share))
+        found = [r.t for r in some.distinct().orderBy("h", "t").limit(size).collect()]
+        if len(found) == size or share >= 1:
+            return found
+        share *= 8
 
 
 def fit_texts(df: DataFrame, column: str, size: int) -> list[str]:
