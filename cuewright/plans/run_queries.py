@@ -130,7 +130,7 @@ def notes_saved(spark, d):
     e = table(spark, d, "edges").join(r.groupBy("video_id").agg(F.min("title").alias("video"), F.min("url").alias("url")), "video_id", "left")
     said = sinks.write_notes(m, e, r, folder)
     files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    return said.withColumn("files", F.lit(files.count()))
+    return said.withColumn("files", F.lit(files.count()).cast("long"))
 
 
 def first_mentions(spark, d):
@@ -213,7 +213,7 @@ u AS (SELECT video_id, trim(left(trim(regexp_replace(lower(title), '[^a-z0-9]+',
 SELECT video_id, CASE WHEN s = '' THEN video_id ELSE s || '-' || video_id END AS stem, channel, paragraphs FROM m JOIN u USING (video_id) WHERE s <> ''""",
     "notes_saved": f"WITH {N._MERGE}, {N._NOTES}, z AS ({N.SQL['note_statistics']}) SELECT z.*, (SELECT count(*) FROM nt) AS files FROM z",
     "first_mentions": "SELECT video_id, name, min(pos) AS pos, arg_min(person_id, (pos, person_id)) AS person_id FROM people WHERE video_id IS NOT NULL AND name IS NOT NULL GROUP BY video_id, name",
-    "stream_resumed": "SELECT video_id, (NOT bool_or(coalesce(punctuated, false)))::BIGINT AS batch FROM recordings WHERE video_id IS NOT NULL GROUP BY video_id",
+    "stream_resumed": "SELECT video_id, (NOT bool_or(coalesce(punctuated, false)))::INTEGER AS batch FROM recordings WHERE video_id IS NOT NULL GROUP BY video_id",
     "show_search": f"WITH {_CATALOGUE} SELECT sh AS \"show\", feed FROM cat WHERE contains(lower(sh), 'the') ORDER BY sh LIMIT 5",
     "feed_targets": f"""WITH {S._URLS}, {_CATALOGUE}, t AS (SELECT DISTINCT url FROM u WHERE url IS NOT NULL UNION SELECT substr(channel, 3, 9) FROM recordings WHERE length(channel) > 8),
 h AS (SELECT url, CASE WHEN starts_with(url, 'podcast:') THEN 'reference' WHEN {S._FEEDISH} THEN 'feed' WHEN {S._APPLE} THEN 'apple' WHEN {S._STORE} THEN 'storefront' ELSE 'search' END AS how FROM t),
