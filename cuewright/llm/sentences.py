@@ -45,6 +45,8 @@ _CANDIDATE = re.compile("[" + re.escape("".join(sorted(_ENDS))) + "]+")
 _CLOSE = set("\"'”’»)]}」』）】》〉›")
 _OPEN = set("\"'“‘«([{「『（【《〈‹„‚¿¡")
 _PAIRS = {"“": "”", "«": "»", "„": "“", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "‹": "›", '"': '"'}
+_LEAD = re.compile(r"\s*[^\W\d_][^.!?:：\n]{0,40}[:：]\s")
+_FIRST_PERSON = re.compile(r"\bI\b")
 _THAI = re.compile("[ก-๎]")
 _THAI_GAP = re.compile(r"(?<=[ก-๎])\s+(?=[ก-๎])")
 _BEFORE = re.compile(r"[\w\u0300-\u036f\u0900-\u0dff\u0e00-\u0e7f'’.-]*\Z")
@@ -118,7 +120,9 @@ def candidates(s: str) -> list[tuple[int, tuple[int, ...], int]]:
     found = list(_CANDIDATE.finditer(s))
     if not found:
         return []
-    one_case = any(c.isupper() for c in s) != any(c.islower() for c in s)
+    # A text is of one case if only its opening before a colon, or the English I, is not.
+    body = _FIRST_PERSON.sub("", s[lead.end() :] if (lead := _LEAD.match(s)) else s)
+    one_case = any(c.isupper() for c in body) != any(c.islower() for c in body)
     out = []
     where, depth, closed_at = _quotes(s)
     depth_at = lambda i: depth[bisect_right(where, i) - 1]

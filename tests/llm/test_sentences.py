@@ -21,6 +21,7 @@ CASES = [
     "Der Ofen usw. wurde am 3. Mai z. B. von Dr. Alt gebaut.| „Wo ist er?“, fragte sie.| Er rief: „Hier!“| Danach ging er.|", "«¿Está listo?», preguntó la Sra. Paz.| ¡Qué bien!| Cuesta 7,5 euros, p. ej. aquí.|",
     "Il a dit : « C'est fini. »| « Où est-il ? » demanda M. Blanc.| Quel jour !| Ensuite, cf. p. 4, il partit.|", "「駅はどこですか。」と先生が聞きました。|新しい本です！|『赤い！』という声。|", "“老师在哪里？”学生问道。|他说：“已经好了。”|后来下雨了（见第3页）。|嗯，“谁？”他问。|",
     "डॉ. राव ने देखा।| “नाव कहाँ है?” नदी ने पूछा।| क्या यह सच है?|", "เราไปตลาดแล้ว| เขาอยู่บ้าน| ฝนตก!|", "no marks are written here at all|\nbut a line ends it|", "well >> Ann Lee: yes|".replace("well", "well|"), "One. [music]|\n>> [laughs] Two.|".replace("One.", "One."),
+    "they saw i mean the dock.| then I mean they left!| why did he go?|", "One thing: the tea was cold.| nobody drank it?| they left.|", "The tea... well, it was cold.| I drank it.|",
     "[Dr. Adams] (00:01:02) Good day.| *sighs* And good night. <noise>|", "[music] [Applause]|", "A line.|\n\n  (laughter)\n>> next one|".replace("A line.|\n\n  (laughter)", "A line.\n\n  (laughter)|"), "copyright 2013 by the company. |all rights are ours.|".replace(". |", ".| "),
 ]
 
