@@ -506,15 +506,14 @@ def speech_units(paragraphs: DataFrame, known: DataFrame, sample: int = SAMPLE,
         "video_id", "n", "u.unit", "t", "an", F.floor(F.col("t") / BUCKET_MS).alias("b"), "turn", "u.opens", F.coalesce("speaker", F.when(F.col("u.label").isNotNull(), F.concat(F.lit("speaker "), F.col("u.number").cast("string")))).alias("who"),
         F.when(means, F.col("u.known_speech")).otherwise(F.col("u.speech") | F.coalesce(nobody, F.lit(False))).alias("speech"), F.when(means, F.col("u.known_clean")).otherwise(F.col("u.clean")).alias("clean"),
     )
-    s = cut(_speakers(cut(u)).where("speech").drop("speech"))
-    return _runs(s)
+    return _runs(cut(_speakers(cut(u))))
 
 
 _ORDER = ("t", "an", "n", "unit")
 
 
 def _speakers(u: DataFrame) -> DataFrame:
-    """Adds of (what a run has in common) and speaker to each unit: the last label so far where the recording has labels, else the turn number.
+    """The units of speech, with of (what a run has in common), speaker and c (changes of it so far in the bucket): the last label so far where the recording has labels, else the turn number.
 
     One window within buckets of time, one over a summary row a bucket. A missing turn number is the one before, plus one where a change marker opens the paragraph:
     with steps counted so far, it is the last (number - steps) plus the steps here.
@@ -534,15 +533,16 @@ def _speakers(u: DataFrame) -> DataFrame:
     number = F.coalesce(F.col("base") - F.col("before"), F.col("base0"), F.lit(0)) + F.col("steps") + F.col("before")
     name = F.coalesce("name", "name0", F.lit(""))
     of = F.when(F.col("labelled"), name).otherwise(number.cast("string"))
-    return u.select("video_id", "n", "unit", "t", "an", "b", "speech", "clean", of.alias("of"), F.when(F.col("labelled"), name).otherwise(F.lit("")).alias("speaker"))
-
-
-def _runs(s: DataFrame) -> DataFrame:
-    """Adds run: the number of the run of one speaker each unit of speech lies in, within its recording. Scanned as in _speakers."""
+    s = u.select("video_id", "n", "unit", "t", "an", "b", "speech", "clean", of.alias("of"), F.when(F.col("labelled"), name).otherwise(F.lit("")).alias("speaker")).where("speech").drop("speech")
+    # Changes from speech to speech, counted while the bucket is in order.
     order = Window.partitionBy("video_id", "b").orderBy(*_ORDER)
     s = s.withColumn("prev", F.lag("of").over(order))
     change = F.when(F.col("prev").isNotNull() & (F.col("prev") != F.col("of")), 1).otherwise(0)
-    s = s.withColumn("c", F.sum(change).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return s.withColumn("c", F.sum(change).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("prev")
+
+
+def _runs(s: DataFrame) -> DataFrame:
+    """Adds run: the number of the run of one speaker each unit of speech lies in, within its recording: changes in its bucket so far, and those of the buckets before, by one summary row a bucket."""
     at = F.struct(*_ORDER, "of", "c")
     tops = s.groupBy("video_id", "b").agg(F.min(at)["of"].alias("head"), F.max(at).alias("e")).select("video_id", "b", "head", F.col("e.of").alias("tail"), F.col("e.c").alias("c"))
     by = Window.partitionBy("video_id").orderBy("b")
