@@ -11,10 +11,11 @@ FILE_ID = r"-([\w-]{11})$"
 PARAGRAPH = r"(?m)^\[[\[(]?((?:\d[\d:]*(?:[.,]\d+)?|(?:\d+h)?(?:\d+m)?\d+s)?)[\])]?\]\(([^)]*)\)[ \t]*(?:\*\*(?:[^*]+)\*\*:[ \t]*)?(?:>> )?(.+)$"
 
 
-def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, title, channel, url, description, speakers, paragraphs, text) of the markdown files of a folder; files that cannot be read are left out."""
+def read_markdown(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
+    """(path, title, channel, url, description, speakers, paragraphs, text) of the markdown files of a folder, ordered by path if asked for; files that cannot be read are left out."""
     raw = spark.read.option("pathGlobFilter", "*.md").option("ignoreCorruptFiles", True).text(folder, wholetext=True)
-    return parse_markdown(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
+    d = parse_markdown(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
+    return d.orderBy("path") if ordered else d
 
 
 def parse_markdown(raw: DataFrame) -> DataFrame:

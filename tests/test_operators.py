@@ -408,3 +408,10 @@ def test_a_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_folder(Session())
+
+
+def test_whole_files_in_order(spark, tmp_path):
+    for name, title in (("b.md", "Second"), ("a.md", "First"), ("c.txt", "None")):
+        (tmp_path / name).write_text(f"---\ntitle: {title}\n---\n\n# {title}\n\n[00:01](https://x.invalid#t=1) one line\n\n[00:02](https://x.invalid#t=2) another\n", encoding="utf-8")
+    got = documents.read_markdown(spark, str(tmp_path), ordered=True).collect()
+    assert [(r.title, r.text) for r in got] == [("First", "one line another"), ("Second", "one line another")]
