@@ -25,7 +25,8 @@ _NAME = r"[^\W\d_](?:[\w.'’,-]|\([^()\n]{1,20}\)| (?=\S)(?!--|—)){0,58}?"
 LABEL = re.compile(rf"\*\*([^*\n]{{1,60}})\*\*:?|\[([^\[\]\n]{{1,60}})\]:?|<v[. ]\s*([^<>\n]{{1,60}})>|({_NAME})(?::|：)(?=\s|$|[^\x00-\x7f])|({_NAME}) (?:--|—)(?=\s|$)")
 NUMBERED = re.compile(r"(?i)^(?:speaker|spkr|spk|sprecher|locuteur|hablante|话者|話者)[ _#.-]*0*(\d{1,4})$")
 _UNIT = re.compile(r"\r\n|[\n\r\x85  ]|(?=(?<!>)>{2,})")
-_SPACE = re.compile(r"\s+")
+#: Every span holds one of these.
+_ANY = re.compile(r"[\[(（【<>*♪♫:：—]|--")
 _ELONGATED = re.compile(r"^(?:u+h*m*|e+r+m*|a+h+|h+m+|m+h*m*|e+h+m*|ä+h+m*|e+u+h+|m+-h+m+|u+h-h+u+h+)$")
 
 
@@ -60,6 +61,8 @@ def units(text: str) -> list[tuple[int, int]]:
 
 def scan(text: str, a: int, z: int) -> list[Span]:
     """The spans of a unit that are no plain words, in order: its opening (markers, times, one label), then notes and times anywhere."""
+    if not _ANY.search(text, a, z):
+        return []
     out, i, label = [], a, False
     while i < z:
         if text[i].isspace():

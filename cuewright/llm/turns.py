@@ -152,10 +152,13 @@ class Unit(NamedTuple):
 def read_unit(words: Words, text: str, a: int, z: int, where: bool = False) -> Unit:
     """The tokens of a unit as numbers."""
     out, start, at, label, label_at, notes = [], [], a, None, -1, []
-    plain, heads, low = words.plain, words.heads, words.low
+    plain, heads, low, known = words.plain, words.heads, words.low, words.number.get
     for x in [*scan(text, a, z), None]:
         stop = x.start if x else z
-        seg = [plain(t) for t in text[at:stop].split()]
+        raw = text[at:stop].split()
+        seg = list(map(known, raw))
+        if None in seg:
+            seg = list(map(plain, raw))
         pos = [m.start() for m in _WORD.finditer(text, at, stop)] if where else []
         if heads and not heads.isdisjoint(seg):
             k, merged, kept = 0, [], []
